@@ -4,24 +4,26 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: largest side that is ever shipped whole to every executor
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 << 20
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Cut the lineage through reliable storage, so that lost executors cost no recompute.
-
-    Uses the folder the cluster names in ``spark.checkpoint.dir``; only a
-    session without one (tests, a laptop) gets a folder of its own.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder every node can reach: the one the cluster names, or a private
+    one where the session names none (tests, a laptop)."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="hushscan-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="hushscan-"))
+    return context.getCheckpointDir()
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Cut the lineage through reliable storage, so that lost executors cost no recompute."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
