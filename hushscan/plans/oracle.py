@@ -175,7 +175,7 @@ def marker_ctes(source: str = "src") -> str:
     marked AS (SELECT id, unnest(string_split(text, chr(10))) AS body,
                       unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM {source}
                WHERE contains(text, 'hushscan:')),
-    marker AS (SELECT id, CASE WHEN nx[i] <> '' THEN line + 1 ELSE line END AS line, ks[i] AS k
+    marker AS (SELECT id, CASE WHEN coalesce(nx[i], '') <> '' THEN line + 1 ELSE line END AS line, coalesce(ks[i], '') AS k
                FROM (SELECT id, line, regexp_extract_all(body, {m}, 1) AS nx, regexp_extract_all(body, {m}, 2) AS ks
                      FROM marked), unnest(range(1, len(nx) + 1)) AS u(i)),
     marks AS (SELECT id, line, bool_or(k = '') AS all_kinds,
