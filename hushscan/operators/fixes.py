@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hushscan.functions.folds import bind
 from hushscan.functions.paths import suffix
+from hushscan.operators.cluster import materialise
 from hushscan.operators.detect import DEFAULT, scan_texts
 from hushscan.options import Options
 
@@ -266,6 +267,7 @@ def fix_plan(
     found = candidates(texts, path, text, options)
     if "project" not in found.columns:
         found = found.withColumn("project", F.lit(""))
+    found = materialise(found)  # read several times below; holds no values
     if existing is None:
         existing = found.sparkSession.createDataFrame([], "project string, key string")
     claimed = assign_env_keys(found.where("fixable"), existing)

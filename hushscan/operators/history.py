@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from hushscan.operators.cluster import materialise
 from hushscan.operators.detect import DEFAULT, explode_findings, scan_texts
-from hushscan.operators.ordered import BLOCK, carry_forward
+from hushscan.operators.ordered import BLOCK
 from hushscan.options import Options
 
 # --- Fixed values: the patch dialect --------------------------------------------
@@ -40,28 +41,37 @@ def annotate_patch(
     is_file = F.startswith(text, F.lit(FILE_PREFIX))
     start = F.regexp_extract(text, HUNK_HEADER, 1)
     is_hunk = start != ""
-    header = F.when(
-        is_commit | is_file | is_hunk,
-        F.struct(
-            is_hunk.alias("in_hunk"),
-            F.col("line_no").alias("at"),
-            F.when(is_hunk, start.cast("int")).alias("start"),
-        ),
-    )
-    commit = F.when(is_commit, F.trim(text.substr(F.lit(len(commit_prefix) + 1), F.length(text))))
-    rows = carry_forward(
-        rows, ["repo"], "line_no",
-        last={"header": header, "commit": commit},
-        total={"commits": is_commit.cast("long")},
-        block=block,
-    )
-    in_hunk = F.coalesce(F.col("header.in_hunk"), F.lit(False))
-    target = F.substring_index(text.substr(F.lit(len(TARGET_PREFIX) + 1), F.length(text)), "\t", 1)
-    named = F.when(F.startswith(target, F.lit("b/")), target.substr(F.lit(3), F.length(target)))
-    path_event = F.when(
-        is_commit | is_file, F.struct(F.lit(None).cast("string").alias("path"))
-    ).when(F.startswith(text, F.lit(TARGET_PREFIX)) & ~in_hunk, F.struct(named.alias("path")))
-    rows = carry_forward(rows, ["repo"], "line_no", last={"target": path_event}, block=block)
+    rows = rows.select(
+        "*",
+        F.floor(F.col("line_no") / F.lit(block)).alias("_block"),
+        is_commit.alias("is_commit"),
+        (is_commit | is_file | is_hunk).alias("is_header"),
+        F.when(
+            is_commit | is_file | is_hunk,
+            F.struct(
+                is_hunk.alias("in_hunk"),
+                F.col("line_no").alias("at"),
+                F.when(is_hunk, start.cast("int")).alias("start"),
+            ),
+        ).alias("header"),
+        F.when(
+            is_commit, F.trim(text.substr(F.lit(len(commit_prefix) + 1), F.length(text)))
+        ).alias("commit"),
+        _target(text, is_commit | is_file).alias("target"),
+    )
+    events = rows.where(F.col("is_header") | F.col("target").isNotNull()).drop("line")
+    blocks = rows.select("repo", "_block").distinct()
+    entering = _entering(blocks, _within_blocks(events))
+    rows = _within_blocks(rows).join(entering, ["repo", "_block"], "left")
+    header = F.coalesce("at_header", "in_header")
+    path = F.coalesce("at_sure", F.when(_outside(F.col("in_header")), F.col("at_open")), "in_target")
+    rows = rows.select(
+        "repo", "line_no", "line", "is_header",
+        F.coalesce("at_commit", "in_commit").alias("commit"),
+        (F.col("at_commits") + F.coalesce("in_commits", F.lit(0))).alias("commits"),
+        header.alias("header"),
+        path.alias("target"),
+    )
     return rows.select(
         "repo",
         "line_no",
@@ -71,8 +81,73 @@ def annotate_patch(
         F.col("target.path").alias("path"),
         F.when(F.col("header.in_hunk"), F.col("header.at")).alias("hunk"),
         F.col("header.start").alias("first_line"),
-        (is_commit | is_file | is_hunk).alias("is_header"),
+        "is_header",
+    )
+
+
+def _target(text: Column, reset: Column) -> Column:
+    """Path event of a line: a target header names a file, a reset forgets it."""
+    name = F.substring_index(text.substr(F.lit(len(TARGET_PREFIX) + 1), F.length(text)), "\t", 1)
+    path = F.when(F.startswith(name, F.lit("b/")), name.substr(F.lit(3), F.length(name)))
+    return F.when(reset, F.struct(F.lit(None).cast("string").alias("path"))).when(
+        F.startswith(text, F.lit(TARGET_PREFIX)), F.struct(path.alias("path"))
+    )
+
+
+def _within_blocks(rows: DataFrame) -> DataFrame:
+    """State at each row as far as its own block of lines tells.
+
+    Whether a ``+++`` line is a header depends on the last header before it.
+    Where that lies in an earlier block the line stays *open* and is settled by
+    the state entering the block.
+    """
+    so_far = (
+        Window.partitionBy("repo", "_block")
+        .orderBy("line_no")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    state = rows.select(
+        "*",
+        F.last("header", True).over(so_far).alias("at_header"),
+        F.last("commit", True).over(so_far).alias("at_commit"),
+        F.sum(F.col("is_commit").cast("long")).over(so_far).alias("at_commits"),
     )
+    sure = F.col("is_header") | (F.col("at_header").isNotNull() & ~F.col("at_header.in_hunk"))
+    return state.select(
+        "*",
+        F.last(F.when(sure, F.col("target")), True).over(so_far).alias("at_sure"),
+        F.last(F.when(F.col("at_header").isNull(), F.col("target")), True).over(so_far).alias("at_open"),
+    )
+
+
+def _entering(blocks: DataFrame, events: DataFrame) -> DataFrame:
+    """State entering each block: one row per block travels along the history.
+
+    ``events`` are the header lines with their in-block state; ``blocks`` lists
+    all blocks, also those inside one long hunk that hold no header.
+    """
+    ends = events.groupBy("repo", "_block").agg(
+        *[
+            F.max_by(c, "line_no").alias(c)
+            for c in ("at_header", "at_commit", "at_commits", "at_sure", "at_open")
+        ]
+    )
+    before = Window.partitionBy("repo").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    chain = blocks.join(ends, ["repo", "_block"], "left").select(
+        "*",
+        F.last("at_header", True).over(before).alias("in_header"),
+        F.last("at_commit", True).over(before).alias("in_commit"),
+        F.sum("at_commits").over(before).alias("in_commits"),
+    )
+    settled = F.coalesce("at_sure", F.when(_outside(F.col("in_header")), F.col("at_open")))
+    return chain.select(
+        "repo", "_block", "in_header", "in_commit", "in_commits",
+        F.last(settled, True).over(before).alias("in_target"),
+    )
+
+
+def _outside(header: Column) -> Column:
+    return header.isNull() | ~header["in_hunk"]
 
 
 def added_lines(annotated: DataFrame, accept: Callable[[Column], Column] | None = None) -> DataFrame:
@@ -101,7 +176,15 @@ def hunks_from_patch(
     **columns: str,
 ) -> DataFrame:
     """One text per hunk: (repo, commit, rank, path, hunk, first_line, text)."""
-    added = added_lines(annotate_patch(lines, commit_prefix=commit_prefix, block=block, **columns), accept)
+    annotated = annotate_patch(lines, commit_prefix=commit_prefix, block=block, **columns)
+    return hunks_from_annotated(annotated, accept)
+
+
+def hunks_from_annotated(
+    annotated: DataFrame, accept: Callable[[Column], Column] | None = None
+) -> DataFrame:
+    """Put the added lines of each hunk together."""
+    added = added_lines(annotated, accept)
     body = F.array_sort(F.collect_list(F.struct("line_no", "text")))
     return added.groupBy("repo", "commit", "rank", "path", "hunk", "first_line").agg(
         F.concat(F.array_join(F.transform(body, lambda b: b["text"]), "\n"), F.lit("\n")).alias("text")
@@ -162,4 +245,5 @@ def first_seen(findings: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
 
 
 def in_history_order(first: DataFrame) -> DataFrame:
-    return first.orderBy("file", "line", "kind")
+    """Report order; written out first, since sorting reads its input twice."""
+    return materialise(first).orderBy("file", "line", "kind")

@@ -134,8 +134,10 @@ def credentials(findings: DataFrame) -> DataFrame:
     )
     # the first identified match speaks for the credential, else the first one
     first = F.struct("unknown", "start")
-    places = keyed.groupBy("credential_id", "file", "line").agg(
-        F.min_by("match", first).alias("match"), F.min(first).alias("first")
+    places = materialise(
+        keyed.groupBy("credential_id", "file", "line").agg(
+            F.min_by("match", first).alias("match"), F.min(first).alias("first")
+        )
     )
     place = F.struct("file", "line")
     heads = places.groupBy("credential_id").agg(

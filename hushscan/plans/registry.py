@@ -12,7 +12,7 @@ from hushscan.functions.memo import memoised
 from hushscan.operators import baseline as B, fixes, history as H, lines as L, reports as RP
 from hushscan.operators import rules as RU, search, suppress, triage as T
 from hushscan.operators.cluster import materialise, shared_folder
-from hushscan.operators.detect import detect, finding_id, public, scan_texts, spread
+from hushscan.operators.detect import detect, explode_findings, finding_id, public, scan_texts, spread
 from hushscan.operators.redact import redact_nested, redact_texts
 from hushscan.options import Options
 from hushscan.plans import planted as PL
@@ -225,42 +225,43 @@ def inline_unsuppressed(spark, sf_dir):
 
 # --- baseline -----------------------------------------------------------------------
 # An earlier snapshot held the English and French texts; the current one lost the French.
+# The findings are written once and serve both sides.
 
 
-def _baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.to_baseline(_found(spark, sf_dir).where(F.col("lang").isin("en", "fr")))
+def _old(found: DataFrame) -> DataFrame:
+    return B.to_baseline(found.where(F.col("lang").isin("en", "fr")))
 
 
-def _current(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _found(spark, sf_dir).where("lang <> 'fr'")
+def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    found = materialise(_found(spark, sf_dir))
+    return found.where("lang <> 'fr'"), _old(found)
 
 
 @query
 def baseline_rows(spark, sf_dir):
-    return _baseline(spark, sf_dir)
+    return _old(_found(spark, sf_dir))
 
 
 @query
 def baseline_new_findings(spark, sf_dir):
-    new = B.new_findings(_current(spark, sf_dir), _baseline(spark, sf_dir))
-    return new.select("source_id", "line", "kind", "finding_id")
+    return B.new_findings(*_sides(spark, sf_dir)).select("source_id", "line", "kind", "finding_id")
 
 
 @query
 def baseline_accepted(spark, sf_dir):
-    kept = B.accepted_findings(_current(spark, sf_dir), _baseline(spark, sf_dir))
-    return kept.select("source_id", "line", "kind", "finding_id")
+    return B.accepted_findings(*_sides(spark, sf_dir)).select("source_id", "line", "kind", "finding_id")
 
 
 @query
 def baseline_resolved(spark, sf_dir):
-    return B.resolved(_baseline(spark, sf_dir), _current(spark, sf_dir))
+    current, baseline = _sides(spark, sf_dir)
+    return B.resolved(baseline, current)
 
 
 @query
 def baseline_former_kinds(spark, sf_dir):
     """A baseline written when provider formats were still reported as something general."""
-    found = _found(spark, sf_dir)
+    found = materialise(_found(spark, sf_dir))
     former = F.when(F.col("lang") == "en", F.lit("high_entropy")).otherwise(F.lit("generic_labeled_secret"))
     old = found.where(F.col("lang").isin("en", "fr")).select(
         finding_id(F.col("source_id"), former, F.col("value")).alias("id")
@@ -479,9 +480,9 @@ def history_under_path(spark, sf_dir):
 
 @query
 def scan_summary(spark, sf_dir):
-    scanned = scan_texts(_docs(spark, sf_dir), "doc_id", keep=("lang",))
-    left = B.new_findings(_found(spark, sf_dir), _baseline(spark, sf_dir))
-    return RP.scan_summary(scanned, left)
+    scanned = materialise(scan_texts(_docs(spark, sf_dir), "doc_id", keep=("lang",)))
+    found = explode_findings(scanned, ("lang",))
+    return RP.scan_summary(scanned, B.new_findings(found, _old(found)))
 
 
 @query
@@ -528,7 +529,7 @@ def _report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def sarif_locations(spark, sf_dir):
-    return _report(spark, sf_dir).orderBy(*RP.SARIF_ORDER)
+    return materialise(_report(spark, sf_dir)).orderBy(*RP.SARIF_ORDER)
 
 
 @query
@@ -582,15 +583,11 @@ def leftover_references(spark, sf_dir):
     return T.references(_credentials(spark, sf_dir), _copies(spark, sf_dir), "path")
 
 
-def _history_work(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    patch = H.annotate_patch(PL.patch_lines(spark, sf_dir))
-    found = H.history_findings(_hunks(spark, sf_dir))
-    return T.credentials(found), patch
-
-
 @query
 def history_references(spark, sf_dir):
-    creds, patch = _history_work(spark, sf_dir)
+    """Commits whose diff still shows one of the credentials found in the history."""
+    patch = materialise(H.annotate_patch(PL.patch_lines(spark, sf_dir)))
+    creds = T.credentials(H.history_findings(H.hunks_from_annotated(patch)))
     return T.history_references(creds, patch).select(
         "credential_id", "history_commits", F.array_join("commits", ",").alias("commits")
     )
@@ -689,8 +686,11 @@ def line_reassembly(spark, sf_dir):
 
 
 def _live(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    schema = PL.table(spark, sf_dir, table).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir)
+    at_rest = PL.table(spark, sf_dir, table)
+    live = spark.readStream.schema(at_rest.schema).option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir)
+    cores = spark.sparkContext.defaultParallelism
+    # a few large files would leave most cores idle; many files need no shuffle
+    return live if len(at_rest.inputFiles()) >= cores else live.repartition(cores)
 
 
 def _drain(stream: DataFrame) -> DataFrame:

@@ -103,3 +103,58 @@ def test_rank_ties_take_the_first_occurrence(spark):
     rows = [("f", 5, "c", 1, 9, 0, "k", "id"), ("f", 2, "c", 1, 4, 0, "k", "id")]
     df = spark.createDataFrame(rows, "source_id string, line int, commit string, rank long, hunk long, start int, kind string, finding_id string")
     assert H.first_seen(df).first()["line"] == 2
+
+
+def plain_reader(lines_):
+    """Line-by-line reading of one patch stream."""
+    out, commit, path, start, added, in_hunk, rank = [], None, None, 0, [], False, -1
+
+    def close():
+        if path is not None and added:
+            out.append((commit, rank, path, start, "\n".join(added) + "\n"))
+
+    import re
+
+    for line in lines_:
+        found = re.match(H.HUNK_HEADER, line)
+        if line.startswith("@@commit "):
+            close()
+            commit, rank, path, added, in_hunk = line[9:].strip(), rank + 1, None, [], False
+        elif line.startswith("diff --git "):
+            close()
+            path, added, in_hunk = None, [], False
+        elif found:
+            close()
+            start, added, in_hunk = int(found.group(1)), [], True
+        elif not in_hunk and line.startswith("+++ "):
+            name = line[4:].split("\t")[0]
+            path = name[2:] if name.startswith("b/") else None
+        elif in_hunk and line.startswith("+"):
+            added.append(line[1:])
+    close()
+    return out
+
+
+def test_random_patches_equal_reading_in_order(spark):
+    import random
+
+    rng = random.Random(11)
+    kinds = ["@@commit c%d", "diff --git a/f%d b/f%d", "--- a/f%d", "+++ b/f%d", "+++ /dev/null", "@@ -1 +%d @@",
+             "@@ bad %d", "+added %d", "-gone %d", " same", "\\ No newline", "+++ b/t%d\tx", "+", "--- x"]
+    repos = {}
+    for r in range(4):
+        seq = []
+        for i in range(300):
+            k = rng.choices(kinds, weights=[1, 2, 2, 4, 1, 4, 1, 6, 2, 2, 1, 1, 1, 1])[0]
+            seq.append(k.replace("%d", str(i if "commit" in k else rng.randint(0, 5))))
+        repos[f"r{r}"] = seq
+    df = spark.createDataFrame(
+        [(r, i * 3, line) for r, seq in repos.items() for i, line in enumerate(seq)],
+        "repo string, line_no long, line string",
+    ).repartition(3)
+    for block in (4, 50, 10_000):
+        got = {}
+        for h in H.hunks_from_patch(df, block=block).collect():
+            got.setdefault(h.repo, []).append((h.commit, h["rank"], h.path, h.first_line, h.text))
+        for r, seq in repos.items():
+            assert sorted(got.get(r, []), key=repr) == sorted(plain_reader(seq), key=repr), (r, block)
