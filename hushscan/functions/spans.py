@@ -30,12 +30,23 @@ def _any_of(text: Column, words: Sequence[str]) -> Column:
     return found
 
 
-def _may_match(rule: P.Rule, text: Column, lowered: Column, folding: Column) -> Column:
-    source = lowered if rule.folded else text
+def _view(text: Column) -> Column:
+    """What the anchors of the rules are looked up in, computed once per text."""
+    runs = F.regexp_extract_all(text, F.lit(P.LONG_RUN), F.lit(0))
+    return F.struct(
+        text.alias("text"),
+        F.lower(text).alias("lowered"),
+        _any_of(text, P.FOLDING_LETTERS).alias("folding"),
+        F.array_join(runs, " ").alias("runs"),
+    )
+
+
+def _may_match(rule: P.Rule, view: Column) -> Column:
+    source = view["lowered" if rule.folded else "runs" if rule.in_run else "text"]
     present = F.lit(True)
     for group in rule.anchors:
         present = present & _any_of(source, group)
-    return (folding | present) if rule.folded else present
+    return (present | view["folding"]) if rule.folded else present
 
 
 # --- value predicates ---------------------------------------------------------
@@ -225,13 +236,14 @@ def builtin_spans(text: Column, threshold: float = P.DEFAULT_ENTROPY_THRESHOLD)
         hits = []
         for rule in P.BUILTIN_RULES:
             matches = F.when(
-                _may_match(rule, v["text"], v["lowered"], v["folding"]),
-                F.regexp_extract_all(v["text"], F.lit(rule.java), F.lit(0)),
+                _may_match(rule, v), F.regexp_extract_all(v["text"], F.lit(rule.java), F.lit(0))
             )
             hits.append(_hit(rule.order, rule.kind, v["text"], matches))
+        # masking only blanks characters, so a candidate is a run of the text as well
+        has_candidate = v["runs"].rlike(f"[^ ]{{{P.ENTROPY_RUN}}}")
         hits.append(
             bind(
-                mask_urls(v["text"]),
+                F.when(has_candidate, mask_urls(v["text"])),
                 lambda masked: _hit(
                     P.ENTROPY_ORDER,
                     P.ENTROPY_KIND,
@@ -244,14 +256,9 @@ def builtin_spans(text: Column, threshold: float = P.DEFAULT_ENTROPY_THRESHOLD)
 
     regexes = {rule.order: rule.java for rule in P.BUILTIN_RULES}
     regexes[P.ENTROPY_ORDER] = P.ENTROPY_CANDIDATE
-    view = F.struct(
-        text.alias("text"),
-        F.lower(text).alias("lowered"),
-        _any_of(text, P.FOLDING_LETTERS).alias("folding"),
-    )
     filler_rules = [rule.order for rule in P.BUILTIN_RULES if rule.reject_filler]
     return F.filter(
-        bind(view, matched),
+        bind(_view(text), matched),
         lambda s: F.when(s["rule"].isin(*filler_rules), ~is_filler(s["value"]))
         .when(
             s["rule"] == P.ENTROPY_ORDER,
@@ -369,7 +376,6 @@ def locate_spans(text: Column, spans: Column) -> Column:
         )
         return running(F.sort_array(v["spans"]), origin, step, emit, LOCATED)
 
-    bound = F.struct(chunked(text).alias("chunks"), spans.alias("spans"))
     return bind(
         spans,
         lambda s: F.when(

@@ -55,6 +55,7 @@ _PARTS = (
         "https://u:" + BODY + "@h.io/p?q=" + BODY + "#" + BODY, "www.x.io/" + BODY, "HTTP://é.io/",
         "aws", " key ", "AWS_SECRET", "bearer\x1d", "BEARER\u00a0", "é", "ß", "😀", "\u0130", "\u0131", "\u2028",
         "\x0c", "\x85", "-", "/", "_", "+", "=", "==", "'", '"', ".", " ", "\n", "\r\n", "\t", "x", "9", "0" * 24, ":",
+        "sk-" + "ant-api\u0663\u0664-" + BODY, "discord.com/api/v\u0663/webhooks/", "https://", "-----",
         "?", "#", "@", "://", "lorem", "example",
     ]
 )
