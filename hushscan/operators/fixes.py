@@ -10,6 +10,7 @@ from hushscan.functions.folds import bind
 from hushscan.functions.paths import suffix
 from hushscan.operators.cluster import materialise
 from hushscan.operators.detect import DEFAULT, scan_texts
+from hushscan.operators.ordered import numbered
 from hushscan.options import Options
 
 # --- Fixed values: languages a plan is offered for, and display names -------------
@@ -149,7 +150,7 @@ def assign_env_keys(rows: DataFrame, existing: DataFrame, order: tuple[str, ...]
     numeric suffixes).  Where a stem has a single desired name, which is nearly
     always, the n-th claim is computed directly from the row number and the
     taken numbers; only stems whose names interact are claimed one after the
-    other, streaming through a sorted partition.
+    other, as keys streaming through a sorted partition.
 
     ``rows`` need ``project`` and ``desired``; ``existing`` is ``(project, key)``.
     """
@@ -166,17 +167,13 @@ def assign_env_keys(rows: DataFrame, existing: DataFrame, order: tuple[str, ...]
 
 
 def _claim_directly(rows: DataFrame, taken: DataFrame, order: tuple[str, ...]) -> DataFrame:
-    """n-th claim of a name = n-th number free of existing entries.
-
-    Claim numbers are counted from position blocks so that one name claimed by
-    very many rows is not one window task.
-    """
+    """n-th claim of a name = n-th number free of existing entries."""
     names = rows.select("project", "desired").distinct()
     number = F.when(
         F.col("_key") == F.col("desired"), F.lit(1)
     ).otherwise(F.substring_index("_key", "_", -1).cast("int"))
     # an existing entry is `name` or `name_n` with n >= 2 written without leading zero
-    numbered = (
+    entries = (
         names.join(
             taken.withColumn("desired", F.explode(F.array("_key", F.regexp_replace("_key", "_[1-9][0-9]*$", "")))),
             ["project", "desired"],
@@ -185,75 +182,73 @@ def _claim_directly(rows: DataFrame, taken: DataFrame, order: tuple[str, ...]) -
         .groupBy("project", "desired")
         .agg(F.sort_array(F.collect_set(number)).alias("_used"))
     )
-    ranked = _row_numbers(rows, ("project", "desired"), order)
+    ranked = numbered(rows, ("project", "desired"), order)
     free = F.aggregate(
         F.coalesce("_used", F.array().cast("array<int>")),
-        F.col("_nth"),
+        F.col("nth").cast("int"),
         lambda n, used: F.when(used <= n, n + 1).otherwise(n),
     )
-    joined = ranked.join(numbered, ["project", "desired"], "left").withColumn("_n", free)
+    joined = ranked.join(entries, ["project", "desired"], "left").withColumn("_n", free)
     key = F.when(F.col("_n") == 1, F.col("desired")).otherwise(F.concat_ws("_", "desired", "_n"))
     return joined.select(*rows.columns, key.alias("env_key"))
 
 
-def _row_numbers(rows: DataFrame, group: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:
-    """``_nth`` per group in order, counted per file first, then over files."""
-    head, *rest = order
-    within = Window.partitionBy(*group, head).orderBy(*rest)
-    per_file = rows.groupBy(*group, head).agg(F.count(F.lit(1)).alias("_here"))
-    before = (
-        Window.partitionBy(*group).orderBy(head).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    offsets = per_file.select(*group, head, F.coalesce(F.sum("_here").over(before), F.lit(0)).alias("_before"))
-    return (
-        rows.withColumn("_in_file", F.row_number().over(within))
-        .join(offsets, [*group, head])
-        .withColumn("_nth", (F.col("_in_file") + F.col("_before")).cast("int"))
-        .select(*rows.columns, "_nth")
-    )
-
-
 def _claim_in_turn(rows: DataFrame, taken: DataFrame, order: tuple[str, ...]) -> DataFrame:
-    columns = rows.columns
+    """Claims in order for stems with several desired names.
+
+    Only keys are streamed.  Every name before a desired name's next number is
+    taken, so the state is one number per desired name plus the existing entries.
+    """
+    keys = rows.select("project", "_stem", *order, "desired")
     stems = rows.select("project", "_stem").distinct()
     used = taken.withColumn("_stem", F.regexp_replace("_key", _STEM, "")).join(
         stems, ["project", "_stem"], "left_semi"
     )
-    blank = [F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in columns if c not in ("project", "_stem")]
-    both = rows.select(*columns, F.lit(None).cast("string").alias("_key"), F.lit(1).alias("_turn")).unionByName(
+    blank = [F.lit(None).cast(keys.schema[c].dataType).alias(c) for c in (*order, "desired")]
+    both = keys.select("*", F.lit(None).cast("string").alias("_key"), F.lit(1).alias("_turn")).unionByName(
         used.select("project", "_stem", *blank, "_key", F.lit(0).alias("_turn"))
     )
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
 
     def claim(batches: Iterator) -> Iterator:
         here: tuple | None = None
-        names: set[str] = set()
+        existing: set[str] = set()
         following: dict[str, int] = {}
+
+        def is_taken(name: str) -> bool:
+            base, _, number = name.rpartition("_")
+            counted = number.isdigit() and str(int(number)) == number and 2 <= int(number) < following.get(base, 0)
+            return counted or name in following or name in existing
+
         for batch in batches:
-            keys: list[str | None] = []
-            for project, group, desired, known in zip(
+            claims: list[str | None] = []
+            for project, stem, desired, known in zip(
                 batch["project"], batch["_stem"], batch["desired"], batch["_key"]
             ):
-                if (project, group) != here:
-                    here, names, following = (project, group), set(), {}
+                if (project, stem) != here:
+                    here, existing, following = (project, stem), set(), {}
                 if known is not None:
-                    names.add(known)
-                    keys.append(None)
+                    existing.add(known)
+                    claims.append(None)
                     continue
-                key, n = desired, following.get(desired, 2)
-                while key in names:
-                    key, n = f"{desired}_{n}", n + 1
-                following[desired] = n
-                names.add(key)
-                keys.append(key)
-            batch["env_key"] = keys
-            yield batch.loc[batch["env_key"].notna(), [*columns, "env_key"]]
-
-    return (
+                if desired not in following and not is_taken(desired):
+                    claims.append(desired)
+                    following[desired] = 2
+                    continue
+                number = following.get(desired, 2)
+                while is_taken(f"{desired}_{number}"):
+                    number += 1
+                claims.append(f"{desired}_{number}")
+                following[desired] = number + 1
+            batch["env_key"] = claims
+            yield batch.loc[batch["env_key"].notna(), ["project", *order, "env_key"]]
+
+    fields = ", ".join(f"`{c}` {keys.schema[c].dataType.simpleString()}" for c in ("project", *order))
+    claimed = (
         both.repartition("project", "_stem")
         .sortWithinPartitions("project", "_stem", "_turn", *order)
         .mapInPandas(claim, f"{fields}, env_key string")
     )
+    return rows.join(claimed, ["project", *order]).select(*rows.columns, "env_key")
 
 
 def fix_plan(

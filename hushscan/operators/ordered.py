@@ -11,6 +11,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from hushscan.operators.cluster import materialise
+
 BLOCK = 100_000
 
 
@@ -62,3 +64,28 @@ def carry_forward(
             for n in total
         ],
     )
+
+
+def numbered(rows: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Add ``nth``, the 1-based position of each row in its group.
+
+    Rows are range-partitioned by group *and* order, so that one huge group
+    spans many partitions; positions inside a partition are offset by the
+    counts of the partitions before it.  The partition numbers are fixed by
+    writing the sorted rows.
+    """
+    keys = [*group, *order]
+    placed = materialise(
+        rows.repartitionByRange(*keys)
+        .sortWithinPartitions(*keys)
+        .withColumn("_part", F.spark_partition_id())
+    )
+    counts = placed.groupBy(*group, "_part").agg(F.count(F.lit(1)).alias("_here"))
+    earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*group, "_part", F.coalesce(F.sum("_here").over(earlier), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(*group, "_part").orderBy(*order)
+    return (
+        placed.withColumn("_in_part", F.row_number().over(inside))
+        .join(offsets, [*group, "_part"])
+        .select(*rows.columns, (F.col("_in_part") + F.col("_before")).alias("nth"))
+    )
