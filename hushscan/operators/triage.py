@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from hushscan.functions import catalog as K, patterns as P
 from hushscan.functions.folds import bind, running
 from hushscan.functions.spans import newline_count
-from hushscan.operators.cluster import materialise
+from hushscan.operators.cluster import broadcast_if_small, materialise
 from hushscan.operators.search import line_hits, lines_of
 
 SHOWN = 5
@@ -216,7 +216,9 @@ def references(creds: DataFrame, texts: DataFrame, source_id: str = "source_id",
     """Every distinct (credential, file, line) where the credential itself occurs."""
     needles = _needles(creds)
     sources = texts.select(F.col(source_id).cast("string").alias("file"), F.col(text).alias("text"))
-    hits = line_hits(lines_of(sources, ["file"]), _line_literals(needles), ["file", "line_no"])
+    hits = materialise(
+        line_hits(lines_of(sources, ["file"]), _line_literals(needles), ["file", "line_no"])
+    )
     keyed = needles.withColumn("needle_id", F.sha2("needle", 256))
     whole = F.col("core") == F.col("needle")
     single = keyed.where(whole).select("credential_id", "needle_id")
@@ -225,9 +227,9 @@ def references(creds: DataFrame, texts: DataFrame, source_id: str = "source_id",
     )
     # several-line credentials: the body line gave candidate texts, the block decides
     blocks = keyed.where(~whole).select("credential_id", "needle_id", "core")
-    pairs = hits.select("needle_id", "file").distinct().join(blocks, "needle_id")
+    pairs = materialise(hits.select("needle_id", "file").distinct().join(blocks, "needle_id"))
     located = (
-        pairs.join(sources, "file")
+        sources.join(broadcast_if_small(pairs, "core"), "file")
         .where(F.contains("text", F.col("core")))
         .select("credential_id", "file", F.explode(_core_lines(F.col("text"), F.col("core"))).alias("line"))
     )
