@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from hushscan.functions import catalog as K, patterns as P
 from hushscan.functions.paths import SCANNED_EXTENSIONS, SKIPPED_DIRECTORIES
-from hushscan.operators import fixes as FX
 from hushscan.options import Options
 from hushscan.plans import oracle as O, planted as PL, registry as R
 

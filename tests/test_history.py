@@ -1,5 +1,4 @@
 import samples
-from pyspark.sql import functions as F
 
 from hushscan.operators import history as H
 
