@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hushscan.llm import chat, mixing
+from hushscan.llm import chat, gridjoin, mixing, neighbours
 from hushscan.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -104,3 +104,45 @@ SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_cha
        CAST(formatted_chars AS BIGINT) AS formatted_chars
 FROM said
 """
+
+
+@query
+def op9_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gridjoin.near_duplicates(table(spark, sf_dir, "embeddings"), 0.9)
+
+
+_SOUND = """sound AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len([x FOR x IN embedding IF x IS NULL OR isnan(x) OR isinf(x)]) = 0
+    AND len([x FOR x IN embedding IF x <> 0]) > 0
+)"""
+
+STATEMENTS["op9_embedding_near_duplicates"] = f"""
+WITH RECURSIVE {_SOUND}, linked AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM sound a JOIN sound b
+  ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.9
+), reached(node, seen) AS (
+  SELECT a, b FROM linked UNION SELECT node, b FROM reached JOIN linked ON seen = a
+)
+SELECT e.vec_id, (SELECT count(*) FROM linked WHERE a = e.vec_id) AS n_links,
+       least(e.vec_id, coalesce((SELECT min(seen) FROM reached WHERE node = e.vec_id), e.vec_id)) AS component_id,
+       e.vec_id <= coalesce((SELECT min(seen) FROM reached WHERE node = e.vec_id), e.vec_id) AS kept
+FROM embeddings e
+"""
+
+
+@query
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
+STATEMENTS["op10_nearest_neighbours"] = f"""
+WITH {_SOUND}, scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_cosine_similarity(q.v, c.v) AS score
+  FROM sound q JOIN sound c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
