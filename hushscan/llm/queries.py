@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hushscan.llm import chat, gridjoin, mixing, neighbours
+from hushscan.llm import chat, gridjoin, langid, mixing, neighbours, packing, pieces
 from hushscan.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -146,3 +146,21 @@ WITH {_SOUND}, scored AS (
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
+
+
+@query
+def op1_pack_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_encode_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_texts(table(spark, sf_dir, "documents"), pieces.Vocabulary.load())
+
+
+@query
+def op7_identify_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(~langid.held_out("doc_id")), order=F.xxhash64("doc_id"))
+    tagged = langid.identify(docs.select("doc_id", "text"), model)
+    return tagged.select("doc_id", langid.held_out("doc_id").alias("held_out"), "lang_pred", "score")
