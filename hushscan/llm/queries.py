@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hushscan.llm import chat, gridjoin, langid, mixing, neighbours, packing, pieces
+from hushscan.llm import chat, gridjoin, langid, minhash, mixing, neighbours, packing, pieces
 from hushscan.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -164,3 +164,8 @@ def op7_identify_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.fit(docs.where(~langid.held_out("doc_id")), order=F.xxhash64("doc_id"))
     tagged = langid.identify(docs.select("doc_id", "text"), model)
     return tagged.select("doc_id", langid.held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), minhash.Similarity(words=3, num=85))
