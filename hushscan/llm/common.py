@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -26,10 +27,18 @@ class Scratch:
         self.root = f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}"
         self.count = 0
 
-    def write(self, df: DataFrame) -> DataFrame:
+    def write(self, df: DataFrame, settle: bool = False) -> DataFrame:
+        """``settle`` also frees the shuffle files behind the table.
+
+        Spark removes them only once the driver has collected the garbage of
+        the finished job, which may be long after they are of any use.
+        """
         self.count += 1
         path = f"{self.root}/{self.count}"
         df.write.parquet(path)
+        if settle:
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
         table = self.spark.read.schema(df.schema).parquet(path)
         table._scratch_path = path
         return table

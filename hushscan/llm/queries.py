@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hushscan.llm import chat, gridjoin, langid, minhash, mixing, neighbours, packing, pieces
+from hushscan.llm import chat, gridjoin, langid, minhash, mixing, neighbours, packing, pieces, suffixes
 from hushscan.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -169,3 +169,8 @@ def op7_identify_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), minhash.Similarity(words=3, num=85))
+
+
+@query
+def op2_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.duplicate_bytes(table(spark, sf_dir, "documents"), suffixes.Depth(100))
