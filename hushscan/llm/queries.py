@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hushscan.llm import chat, gridjoin, langid, minhash, mixing, neighbours, packing, pieces, suffixes
+from hushscan.llm import chat, extraction, gridjoin, langid, minhash, mixing, neighbours, packing, pieces, suffixes
 from hushscan.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -174,3 +174,9 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.duplicate_bytes(table(spark, sf_dir, "documents"), suffixes.Depth(100))
+
+
+@query
+def op4_extract_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return extraction.main_text(pages, extraction.fit(pages))
