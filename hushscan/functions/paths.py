@@ -52,11 +52,21 @@ def suffix(path: Column) -> Column:
     return F.regexp_extract(base_name(path), r"(?s)^.+(\.[^.]+)$", 1)
 
 
+_FOLD = 100
+
+
 def matches_any(path: Column, globs: Iterable[str]) -> Column:
+    """Does the path or its last part match a glob?  Long lists stay a short plan:
+    plain names become one set, other globs a regex per hundred."""
+    globs = list(dict.fromkeys(globs))
+    names = [g for g in globs if not re.search(r"[*?\[]", g)]
+    regexes = [glob_to_regex(g) for g in globs if re.search(r"[*?\[]", g)]
     hit = F.lit(False)
-    for pattern in globs:
-        regex = glob_to_regex(pattern)
-        hit = hit | path.rlike(regex) | base_name(path).rlike(regex)
+    if names:
+        hit = path.isin(*names) | base_name(path).isin(*names)
+    for i in range(0, len(regexes), _FOLD):
+        folded = "|".join(f"(?:{r})" for r in regexes[i : i + _FOLD])
+        hit = hit | path.rlike(folded) | base_name(path).rlike(folded)
     return hit
 
 

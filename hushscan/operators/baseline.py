@@ -18,53 +18,43 @@ def to_baseline(findings: DataFrame) -> DataFrame:
     )
 
 
-def _former_ids(findings: DataFrame) -> tuple[DataFrame, list[str]]:
-    """Add the fingerprints a reclassified finding may be stored under.
+def _former_ids(findings: DataFrame) -> DataFrame:
+    """(finding_id, former_id): under which fingerprints reclassified findings may be stored."""
+    old = [finding_id(F.col("source_id"), F.lit(kind), F.col("value")) for kind in P.FORMER_KINDS]
+    changed = findings.where(F.col("kind").isin(*P.RECLASSIFIED_KINDS))
+    return changed.select("finding_id", F.explode(F.array(*old)).alias("former_id"))
 
-    Other kinds repeat their own id instead of a NULL, so that the join key
-    stays spread out and no partition collects all the NULLs.
+
+def _accepted_ids(findings: DataFrame, baseline: DataFrame, legacy: bool) -> DataFrame:
+    """Current fingerprints that the baseline holds, directly or under a former one.
+
+    Only the few reclassified findings take part in the former-id join.
     """
-    names = []
-    reclassified = F.col("kind").isin(*P.RECLASSIFIED_KINDS)
-    for i, former in enumerate(P.FORMER_KINDS):
-        name = f"_former_{i}"
-        old = finding_id(F.col("source_id"), F.lit(former), F.col("value"))
-        findings = findings.withColumn(
-            name, F.when(reclassified, old).otherwise(F.col("finding_id"))
-        )
-        names.append(name)
-    return findings, names
+    known = baseline.select(F.col("id").alias("_known")).where("id is not null").distinct()
+    if not legacy:
+        return known
+    former = _former_ids(findings).join(known, F.col("former_id") == F.col("_known"), "left_semi")
+    return known.unionByName(former.select(F.col("finding_id").alias("_known"))).distinct()
 
 
 def new_findings(findings: DataFrame, baseline: DataFrame, legacy: bool = True) -> DataFrame:
     """Findings whose current or former id is not in the baseline.
 
-    Equi anti-joins only: Spark broadcasts a baseline it measures as small and
-    sort-merges a large one, splitting skewed fingerprints at run time.
+    One equi anti-join of all findings: Spark broadcasts a baseline it measures
+    as small and sort-merges a large one, splitting skewed fingerprints.
     """
-    known = baseline.select(F.col("id").alias("_known")).where("id is not null").distinct()
-    if not legacy:
-        return findings.join(known, F.col("finding_id") == F.col("_known"), "left_anti")
-    keyed, names = _former_ids(findings)
-    for name in ["finding_id", *names]:
-        keyed = keyed.join(known, F.col(name) == F.col("_known"), "left_anti")
-    return keyed.drop(*names)
+    known = _accepted_ids(findings, baseline, legacy)
+    return findings.join(known, F.col("finding_id") == F.col("_known"), "left_anti")
 
 
 def accepted_findings(findings: DataFrame, baseline: DataFrame, legacy: bool = True) -> DataFrame:
     """Findings the baseline already holds, under their current or a former id."""
-    known = baseline.select(F.col("id").alias("_known")).where("id is not null").distinct()
-    flagged, names = _former_ids(findings) if legacy else (findings, [])
-    marks = []
-    for i, name in enumerate(["finding_id", *names]):
-        hit = known.select(F.col("_known").alias(f"_k{i}"))
-        flagged = flagged.join(hit, F.col(name) == F.col(f"_k{i}"), "left")
-        marks.append(f"_k{i}")
-    return flagged.where(F.coalesce(*marks).isNotNull()).drop(*names, *marks)
+    known = _accepted_ids(findings, baseline, legacy)
+    return findings.join(known, F.col("finding_id") == F.col("_known"), "left_semi")
 
 
 def resolved(baseline: DataFrame, findings: DataFrame) -> DataFrame:
     """Baseline entries that no current finding corresponds to any more."""
-    keyed, names = _former_ids(findings)
-    ids = keyed.select(F.explode(F.array_distinct(F.array("finding_id", *names))).alias("_id")).distinct()
+    own = findings.select(F.col("finding_id").alias("_id"))
+    ids = own.unionByName(_former_ids(findings).select(F.col("former_id").alias("_id"))).distinct()
     return baseline.join(ids, F.col("id") == F.col("_id"), "left_anti")

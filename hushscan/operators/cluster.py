@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,11 +14,16 @@ BROADCAST_BYTES = 64 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every node can reach: the one the cluster names, or a private
-    one where the session names none (tests, a laptop)."""
+    """The folder every node can reach: the one the cluster names.
+
+    Only a local session, where all work is on one machine, may do without;
+    it gets a folder of its own.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[[^]]*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all nodes share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="hushscan-"))
     return context.getCheckpointDir()
 
@@ -34,12 +40,15 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, width: str) -> DataFrame:
+def broadcast_if_small(df: DataFrame, *columns: str) -> DataFrame:
     """Broadcast ``df`` only after measuring it; otherwise Spark shuffles the join.
 
-    ``df`` should be materialised: it is counted here and read again later.
+    ``columns`` are all its columns of variable width.  ``df`` is counted here
+    and read again later, so it should be materialised.
     """
-    size = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(width)).alias("b")).first()
+    widths = [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in columns]
+    width = sum(widths, F.lit(16 + 8 * len(df.columns)))
+    size = df.agg(F.count(F.lit(1)).alias("n"), F.sum(width).alias("b")).first()
     if size["n"] <= BROADCAST_ROWS and (size["b"] or 0) <= BROADCAST_BYTES:
         return F.broadcast(df)
     return df

@@ -89,9 +89,12 @@ def scan_texts(
     return scanned.select("source_id", *keep, "scan.spans", "scan.inline_ignored")
 
 
-def explode_findings(scanned: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+def explode_findings(scanned: DataFrame, keep: Sequence[str] = (), first_line: str | None = None) -> DataFrame:
     """One row per finding.
 
+    ``first_line`` names a kept column with the line number at which each text
+    starts in its file (default: all start at line 1).
+
     ``explode_outer`` with a filter behind it, not ``explode``: the latter makes
     the optimizer copy the whole detection expression into an inferred filter.
     """
@@ -99,8 +102,8 @@ def explode_findings(scanned: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
         F.col("f").isNotNull()
     )
     line, end_line = F.col("f.line"), F.col("f.end_line")
-    if "first_line" in keep:
-        shift = F.coalesce(F.col("first_line"), F.lit(1)).cast("int") - 1
+    if first_line is not None:
+        shift = F.coalesce(F.col(first_line), F.lit(1)).cast("int") - 1
         line, end_line = line + shift, end_line + shift
     return rows.select(
         "source_id",
@@ -133,15 +136,3 @@ def public(findings: DataFrame) -> DataFrame:
     """What may leave the engine: every column but the credential itself."""
     secret = [c for c in ("value", "core", "needle") if c in findings.columns]
     return findings.drop(*secret)
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Repartition an input that arrives as fewer files than there are cores.
-
-    Regex work is CPU-bound, so a handful of files would leave a cluster idle.
-    A large table has far more files than cores and is left alone: no shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= cores:
-        return df
-    return df.repartition(cores, *keys)

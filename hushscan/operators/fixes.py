@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hushscan.functions.folds import bind
 from hushscan.functions.paths import suffix
 from hushscan.operators.cluster import materialise
 from hushscan.operators.detect import DEFAULT, scan_texts
-from hushscan.operators.ordered import numbered
+from hushscan.operators.ordered import carry_forward, numbered
 from hushscan.options import Options
 
 # --- Fixed values: languages a plan is offered for, and display names -------------
@@ -35,20 +35,20 @@ _PY = (
     rf"(?U)^([ \t]*)(?!(?:{_PYTHON_KEYWORDS})\b)([^\W\d]\w*)[ \t]*=[ \t]*"
     r"(?:\"([^\"\\]*+)\"(?!\")|'([^'\\]*+)'(?!'))[ \t]*(?:;[ \t]*)?(?:#.*)?$"
 )
-# One const/let/var declaration of a plain literal, possibly exported and typed.
-_JS = (
-    r"(?U)^([ \t]*)(export\s+)?(const|let|var)\s+([A-Za-z_$][A-Za-z0-9_$]*)"
-    r"(\s*:\s*[A-Za-z_$][A-Za-z0-9_$<>\[\].,\s|&]*?)?\s*=\s*"
-    r"(?:\"((?:[^\"\\]|\\.)*+)\"|'((?:[^'\\]|\\.)*+)'|`((?:[^`\\]|\\.)*+)`)(\s*;)?\s*(?://.*)?$"
+# A script declaration is read as two halves around its first equals sign:
+# what is declared, and one literal that ends the line.
+_DECLARED = (
+    r"(?U)^(\s*(?:export\s+)?(?:const|let|var))\s+([A-Za-z_$][A-Za-z0-9_$]*)"
+    r"(\s*:\s*[A-Za-z_$][A-Za-z0-9_$<>\[\].,|&\s]*?)?\s*$"
 )
+_LITERAL = r"(?sU)^\s*([\"'`])((?:(?!\1)[^\\]|\\.)*+)\1\s*(;?)\s*(?://[^\n]*)?$"
+_WORD = "[A-Z]+(?![a-z])[a-z0-9]*|[A-Z]?[a-z0-9]+"
 
 
 def suggest_env_name(name: Column) -> Column:
     """Environment variable name for an identifier: ``myAPIKey`` -> ``MY_API_KEY``."""
-    words = F.regexp_replace(name, "(?<=[a-z0-9])(?=[A-Z])", "_")
-    words = F.regexp_replace(words, "(?<=[A-Z])(?=[A-Z][a-z])", "_")
-    key = F.upper(F.trim(F.regexp_replace(words, "[^A-Za-z0-9]+", "_"), F.lit("_")))
-    return F.when(key == "", F.lit("SECRET_KEY")).otherwise(key)
+    words = F.regexp_extract_all(name, F.lit(_WORD), F.lit(0))
+    return F.when(F.size(words) == 0, F.lit("SECRET_KEY")).otherwise(F.upper(F.array_join(words, "_")))
 
 
 def language(path: Column) -> Column:
@@ -71,7 +71,10 @@ def assignment(line: Column, path: Column, value: Column) -> Column:
     code = F.rtrim(line, F.lit("\r\n"))
     extension = F.lower(suffix(path))
     py = lambda i: F.regexp_extract(code, _PY, i)
-    js = lambda i: F.regexp_extract(code, _JS, i)
+    left = F.substring_index(code, "=", 1)
+    right = code.substr(F.length(left) + 2, F.length(code))
+    declared = lambda i: F.regexp_extract(left, _DECLARED, i)
+    literal = lambda i: F.regexp_extract(right, _LITERAL, i)
     quote = F.when(F.regexp_replace(code, r"^[^=]*=\s*", "").startswith("'"), F.lit("'")).otherwise(F.lit('"'))
     python = bind(
         F.concat(py(3), py(4)),
@@ -84,21 +87,15 @@ def assignment(line: Column, path: Column, value: Column) -> Column:
             ),
         ),
     )
-    script = bind(
-        F.concat(js(6), js(7), js(8)),
-        lambda v: F.when(
-            code.rlike(_JS) & (v == value) & ~F.contains(js(8), F.lit("${")),
-            F.struct(
-                js(4).alias("variable"),
-                F.concat(
-                    js(1), js(2), js(3), F.lit(" "), js(4), js(5), F.lit(' = process.env["')
-                ).alias("head"),
-                F.concat(
-                    F.lit('"]'),
-                    F.when(extension.isin(*TYPESCRIPT), F.lit("!")).otherwise(F.lit("")),
-                    F.when(js(9) != "", F.lit(";")).otherwise(F.lit("")),
-                ).alias("tail"),
-            ),
+    template = (literal(1) == "`") & F.contains(literal(2), F.lit("${"))
+    script = F.when(
+        left.rlike(_DECLARED) & right.rlike(_LITERAL) & (literal(2) == value) & ~template,
+        F.struct(
+            declared(2).alias("variable"),
+            F.concat(declared(1), F.lit(" "), declared(2), declared(3), F.lit(' = process.env["')).alias("head"),
+            F.concat(
+                F.lit('"]'), F.when(extension.isin(*TYPESCRIPT), F.lit("!")).otherwise(F.lit("")), literal(3)
+            ).alias("tail"),
         ),
     )
     return F.when(extension.isin(*PYTHON), python).when(
@@ -145,7 +142,8 @@ _STEM = r"(?:_[0-9]+)+$"
 def assign_env_keys(rows: DataFrame, existing: DataFrame, order: tuple[str, ...] = ("file", "start")) -> DataFrame:
     """Give each row a key no other row and no existing entry of its project has.
 
-    Rows claim in ``order``: the desired name, else the first free ``_2``,
+    ``order`` names a row within its project, so it must be unique there.  Rows
+    claim in that order: the desired name, else the first free ``_2``,
     ``_3``, ...  Names can only collide within one stem (the name without its
     numeric suffixes).  Where a stem has a single desired name, which is nearly
     always, the n-th claim is computed directly from the row number and the
@@ -179,16 +177,21 @@ def _claim_directly(rows: DataFrame, taken: DataFrame, order: tuple[str, ...]) -
             ["project", "desired"],
         )
         .where((F.col("_key") == F.col("desired")) | F.col("_key").rlike("_([2-9]|[1-9][0-9]{1,8})$"))
-        .groupBy("project", "desired")
-        .agg(F.sort_array(F.collect_set(number)).alias("_used"))
+        .select("project", "desired", number.alias("number"))
+        .distinct()
     )
     ranked = numbered(rows, ("project", "desired"), order)
-    free = F.aggregate(
-        F.coalesce("_used", F.array().cast("array<int>")),
-        F.col("nth").cast("int"),
-        lambda n, used: F.when(used <= n, n + 1).otherwise(n),
+    # The k-th taken number u pushes every claim from the (u - k + 1)-th on by one.
+    # Claims and such pushes are put in one order and the pushes counted in it.
+    at = Window.partitionBy("project", "desired").orderBy("number")
+    pushes = entries.select("project", "desired", (F.col("number") - F.row_number().over(at) + 1).alias("nth"))
+    places = ranked.select("project", "desired", F.col("nth").cast("long").alias("nth"), F.lit(0).alias("push")).unionByName(
+        pushes.select("project", "desired", F.col("nth").cast("long").alias("nth"), F.lit(1).alias("push"))
     )
-    joined = ranked.join(entries, ["project", "desired"], "left").withColumn("_n", free)
+    places = places.withColumn("place", 2 * F.col("nth") - F.col("push"))  # a push comes before its claim
+    counted = carry_forward(places, ("project", "desired"), "place", {}, {"pushed": F.col("push")})
+    numbers = counted.where("push = 0").select("project", "desired", "nth", (F.col("nth") + F.col("pushed")).alias("_n"))
+    joined = ranked.join(numbers, ["project", "desired", "nth"])
     key = F.when(F.col("_n") == 1, F.col("desired")).otherwise(F.concat_ws("_", "desired", "_n"))
     return joined.select(*rows.columns, key.alias("env_key"))
 
@@ -258,14 +261,20 @@ def fix_plan(
     text: str = "text",
     options: Options = DEFAULT,
 ) -> DataFrame:
-    """Every finding with ``fixable`` and, where so, its env key and proposed line."""
+    """Every finding with ``fixable`` and, where so, its env key and proposed line.
+
+    A source line is rewritten once, for its first fixable finding; after that
+    it no longer holds the literal, so its other findings are not fixable.
+    """
     found = candidates(texts, path, text, options)
     if "project" not in found.columns:
         found = found.withColumn("project", F.lit(""))
+    line = Window.partitionBy("project", "file", "line", "fixable").orderBy("start", "kind")
+    found = found.withColumn("fixable", F.col("fixable") & (F.row_number().over(line) == 1))
     found = materialise(found)  # read several times below; holds no values
     if existing is None:
         existing = found.sparkSession.createDataFrame([], "project string, key string")
-    claimed = assign_env_keys(found.where("fixable"), existing)
+    claimed = assign_env_keys(found.where("fixable"), existing, ("file", "line"))
     fixable = claimed.select(
         "project", "file", "line", "start", "kind", "language", "fixable", "env_key",
         F.concat("head", "env_key", "tail").alias("proposed_line"),

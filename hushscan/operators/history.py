@@ -196,9 +196,9 @@ def newest(hunks: DataFrame, commits: int) -> DataFrame:
     return hunks.where(F.col("rank") < commits)
 
 
-def limit_reached(ranked: DataFrame, commits: int) -> DataFrame:
-    """One row: commits scanned, and whether a further commit exists beyond the limit."""
-    return ranked.agg(
+def limit_reached(ranked: DataFrame, commits: int, scope: tuple[str, ...] = ()) -> DataFrame:
+    """Per ``scope`` (default: one row): commits scanned, and whether there are more beyond the limit."""
+    return ranked.groupBy(*scope).agg(
         F.least(F.coalesce(F.max("rank") + 1, F.lit(0)), F.lit(commits)).cast("long").alias("commits_scanned"),
         F.coalesce(F.max("rank") >= commits, F.lit(False)).alias("max_commits_reached"),
     )
@@ -215,7 +215,8 @@ def under_path(hunks: DataFrame, path: str) -> DataFrame:
 def history_findings(hunks: DataFrame, options: Options = DEFAULT) -> DataFrame:
     """Detection per hunk, with line numbers in the new version of the file."""
     keep = [c for c in ("repo", "commit", "rank", "hunk", "first_line") if c in hunks.columns]
-    return explode_findings(scan_texts(hunks, "path", "text", options, keep), keep)
+    first_line = "first_line" if "first_line" in keep else None
+    return explode_findings(scan_texts(hunks, "path", "text", options, keep), keep, first_line)
 
 
 def first_seen(findings: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from hushscan.functions import redaction
+from hushscan.functions import patterns as P, redaction
 from hushscan.functions.folds import bind
 from hushscan.operators.detect import DEFAULT, redact_column
+from hushscan.operators.search import automaton, line_hits, shippable
 from hushscan.options import Options
 
 
@@ -75,3 +76,70 @@ def redact_nested(
         value = redact_value(F.col(f.name), f.dataType, options) if chosen else F.col(f.name)
         out.append(value.alias(f.name))
     return df.select(*out)
+
+
+def scrub_literals(values: DataFrame, column: str = "value", min_length: int = 6, min_line: int = 12) -> DataFrame:
+    """Distinct literals to hide for a table of known values: ``needle_id``, ``needle``.
+
+    Values of ``min_length`` characters or more, and the stripped lines of
+    several-line values from ``min_line`` characters on.
+    """
+    value = F.col(column)
+    lines = F.transform(F.split(value, r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"), lambda l: F.regexp_replace(l, r"(?U)^\s+|\s+$", ""))
+    found = F.concat(
+        F.filter(F.array(value), lambda v: F.length(v) >= min_length),
+        F.when(F.contains(value, F.lit("\n")), F.filter(lines, lambda l: F.length(l) >= min_line)).otherwise(
+            F.array().cast("array<string>")
+        ),
+    )
+    rows = values.where(value.isNotNull()).select(F.explode(found).alias("needle")).distinct()
+    return rows.select(F.sha2("needle", 256).alias("needle_id"), "needle")
+
+
+def scrub_texts(texts: DataFrame, literals: DataFrame, text: str = "text", mask: str = P.DEFAULT_MASK, key: str | None = None) -> DataFrame:
+    """Replace the literals of a table in every text, the longest first.
+
+    A literal counts if it occurs in the text as given.  Literals that are
+    measured to fit are shipped and every text is read once; otherwise the
+    hits are joined, and ``key`` must name a column that identifies a text.
+    """
+    if shippable(literals):
+        return _scrubbed_in_place(texts, literals, text, mask)
+    if key is None:
+        raise ValueError("these literals have to be joined: name the key of a text")
+    hits = line_hits(texts, literals, [key], text).join(literals, "needle_id")
+    order = F.array_sort(F.collect_list(F.struct((-F.length("needle")).alias("n"), "needle")))
+    found = hits.groupBy(F.col(key).alias("_key")).agg(order.alias("_found"))
+    hidden = F.aggregate(
+        F.coalesce("_found", F.array().cast("array<struct<n:int,needle:string>>")),
+        F.col(text),
+        lambda out, f: F.replace(out, f["needle"], F.lit(mask)),
+    )
+    joined = texts.join(found, F.col(key) == F.col("_key"), "left")
+    return joined.withColumn(text, hidden).select(*texts.columns)
+
+
+def _scrubbed_in_place(texts: DataFrame, literals: DataFrame, text: str, mask: str) -> DataFrame:
+    known = sorted((r[0] for r in literals.select("needle").distinct().collect()), key=lambda v: (-len(v), v))
+    shared = texts.sparkSession.sparkContext.broadcast(known)  # bounded by AUTOMATON_CHARS
+    at = texts.columns.index(text)
+    plain = texts.toDF(*[f"c{i}" for i in range(len(texts.columns))])
+
+    def scrub(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        words = shared.value
+        search = automaton(words) if words else None
+        for batch in batches:
+            out = []
+            for said in batch.column(at).to_pylist():
+                if said and search is not None:
+                    for n in sorted({n for _, n in search.iter(said)}):
+                        said = said.replace(words[n], mask)
+                out.append(said)
+            columns = batch.columns
+            columns[at] = pa.array(out, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema)
+    return plain.mapInArrow(scrub, fields).toDF(*texts.columns)

@@ -12,8 +12,6 @@ from hushscan.functions import spans as S
 
 _ERRORS = "rule_index int, name string, message string"
 _RULES = "name string, pattern string"
-#: a rules table is configuration; beyond this it is not read onto the driver
-MAX_RULES = 2000
 
 
 @dataclass(frozen=True)
@@ -28,10 +26,35 @@ class RuleSet:
         return spark.createDataFrame(list(self.errors), _ERRORS)
 
 
+_TOKEN = re.compile(r"\\.|\(\?P<|\(\?P=(\w+)\)|\[|\]|.", re.S)
+
+
 def to_java(pattern: str) -> str:
-    """Named groups in Java spelling, `.` stopping at newline, Unicode classes."""
-    renamed = pattern.replace("(?P<", "(?<")
-    return "(?dU)" + re.sub(r"\(\?P=(\w+)\)", r"\\k<\1>", renamed)
+    """Named groups in Java spelling, `.` stopping at newline, Unicode classes.
+
+    The pattern is read token by token, so escaped parentheses and those
+    inside a character class stay as they are.
+    """
+    out, in_class, opened = ["(?dU)"], False, False
+    for token in _TOKEN.finditer(pattern):
+        text = token.group(0)
+        if in_class:
+            # a bracket right after the opening one, or after its ^, is a plain character
+            closes = text == "]" and not opened
+            opened = opened and text == "^" and out[-1] == "["
+            in_class = not closes
+            for char in (text,) if len(text) <= 1 or text[0] == "\\" else text:
+                out.append("\\" + char if char in "[&" or char == "]" and not closes else char)
+        elif text == "[":
+            in_class = opened = True
+            out.append(text)
+        elif text == "(?P<":
+            out.append("(?<")
+        elif token.group(1):
+            out.append(f"\\k<{token.group(1)}>")
+        else:
+            out.append(text)
+    return "".join(out)
 
 
 def compile_rules(spark: SparkSession, entries: object) -> RuleSet:
@@ -64,10 +87,12 @@ def compile_rules(spark: SparkSession, entries: object) -> RuleSet:
 
 
 def rules_from_table(rules: DataFrame) -> RuleSet:
-    """Rules kept in a table ``(name, pattern)``, in name order."""
-    rows = rules.select("name", "pattern").orderBy("name", "pattern").limit(MAX_RULES + 1).collect()
-    if len(rows) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules: each one is a regex pass over every text")
+    """Rules kept in a table ``(name, pattern)``, in name order.
+
+    A rule is configuration that becomes part of the plan, so all of them are
+    read onto the driver, however many there are.
+    """
+    rows = rules.select("name", "pattern").orderBy("name", "pattern").toLocalIterator()
     return compile_rules(rules.sparkSession, [r.asDict() for r in rows])
 
 

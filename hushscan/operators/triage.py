@@ -9,6 +9,7 @@ from hushscan.functions import catalog as K, patterns as P
 from hushscan.functions.folds import bind, running
 from hushscan.functions.spans import newline_count
 from hushscan.operators.cluster import broadcast_if_small, materialise
+from hushscan.operators.history import COMMIT_PREFIX
 from hushscan.operators.search import line_hits, lines_of
 
 SHOWN = 5
@@ -229,24 +230,31 @@ def references(creds: DataFrame, texts: DataFrame, source_id: str = "source_id",
     blocks = keyed.where(~whole).select("credential_id", "needle_id", "core")
     pairs = materialise(hits.select("needle_id", "file").distinct().join(blocks, "needle_id"))
     located = (
-        sources.join(broadcast_if_small(pairs, "core"), "file")
+        sources.join(broadcast_if_small(pairs, "core", "file"), "file")
         .where(F.contains("text", F.col("core")))
         .select("credential_id", "file", F.explode(_core_lines(F.col("text"), F.col("core"))).alias("line"))
     )
     return direct.unionAll(located).distinct()
 
 
-def history_references(creds: DataFrame, patch_lines: DataFrame) -> DataFrame:
-    """Per credential: distinct commits with a diff line containing it, and the first few.
+def history_commits(creds: DataFrame, patch_lines: DataFrame, commit_prefix: str = COMMIT_PREFIX) -> DataFrame:
+    """Every distinct (credential, repo, commit, rank) with a diff line containing the credential.
 
     ``patch_lines`` holds all lines of the patches (added, removed, context)
-    with ``repo``, ``line_no``, ``commit``, ``rank`` and ``line``.
+    with ``repo``, ``line_no``, ``commit``, ``rank`` and ``line``; lines that
+    start with ``commit_prefix`` are headers.
     """
     needles = _needles(creds)
-    body = patch_lines.where(F.col("commit").isNotNull() & ~F.startswith("line", F.lit("@@commit ")))
+    body = patch_lines.where(F.col("commit").isNotNull() & ~F.startswith("line", F.lit(commit_prefix)))
     hits = line_hits(body, _line_literals(needles), ["repo", "line_no", "commit", "rank"])
     ids = needles.select("credential_id", F.sha2("needle", 256).alias("needle_id"))
     commits = hits.select("needle_id", "repo", "commit", "rank").distinct().join(ids, "needle_id")
+    return commits.select("credential_id", "repo", "commit", "rank").distinct()
+
+
+def history_references(creds: DataFrame, patch_lines: DataFrame, commit_prefix: str = COMMIT_PREFIX) -> DataFrame:
+    """Per credential: how many commits show it, and the newest few (``history_commits`` has them all)."""
+    commits = materialise(history_commits(creds, patch_lines, commit_prefix))
     nth = F.row_number().over(Window.partitionBy("credential_id").orderBy("rank", "repo", "commit"))
     shown = (
         commits.withColumn("nth", nth)

@@ -10,8 +10,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hushscan.operators.detect import spread
-
 _UPPER = "aX9pQ2zM7vL0rT4w"
 _LOWER = "K8yB1nD6fH3jC5sE"
 _HEX = "0123456789abcdef"
@@ -160,8 +158,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: an input below this is one or two file splits, however many cores there are
+SMALL_BYTES = 256 << 20
+
+
+def is_small(spark: SparkSession, sf_dir: str, name: str) -> bool:
+    """By the bytes of the table, asked of its file system."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return system.getContentSummary(path).getLength() < SMALL_BYTES
+
+
+def evened(spark: SparkSession, sf_dir: str, name: str, *keys: str) -> DataFrame:
+    """A table for work that is bound by the CPU.
+
+    Small tables here are a single row group, which Spark cannot split, so
+    their rows are dealt out to all cores; any larger one is read as it is.
+    """
+    df = table(spark, sf_dir, name)
+    return df.repartition(spark.sparkContext.defaultParallelism, *keys) if is_small(spark, sf_dir, name) else df
+
+
 def documents(spark: SparkSession, sf_dir: str, seed: str = own_seed("doc_id")) -> DataFrame:
-    base = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), "doc_id")
+    base = evened(spark, sf_dir, "documents", "doc_id").select("doc_id", "text", "lang", "source")
     line = line_expr("spark", "doc_id", seed)
     return base.select(
         "doc_id", "lang", "source", F.concat("text", F.lit("\n"), F.expr(line), F.lit("\n")).alias("text")
@@ -169,7 +188,7 @@ def documents(spark: SparkSession, sf_dir: str, seed: str = own_seed("doc_id"))
 
 
 def patch_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = spread(table(spark, sf_dir, "conversations"), "conv_id")
+    base = evened(spark, sf_dir, "conversations", "conv_id")
     inner = patch_sql("spark")
     start, end = inner.index("(SELECT"), inner.index(" FROM conversations)")
     exploded = base.selectExpr(

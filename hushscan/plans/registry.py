@@ -12,8 +12,8 @@ from hushscan.functions.memo import memoised
 from hushscan.operators import baseline as B, fixes, history as H, lines as L, reports as RP
 from hushscan.operators import rules as RU, search, suppress, triage as T
 from hushscan.operators.cluster import materialise, shared_folder
-from hushscan.operators.detect import detect, explode_findings, finding_id, public, scan_texts, spread
-from hushscan.operators.redact import redact_nested, redact_texts
+from hushscan.operators.detect import detect, explode_findings, finding_id, public, scan_texts
+from hushscan.operators.redact import redact_nested, redact_texts, scrub_literals, scrub_texts
 from hushscan.options import Options
 from hushscan.plans import planted as PL
 from hushscan.sources import config, files
@@ -94,7 +94,7 @@ def merged_spans(spark, sf_dir):
 @query
 def labeled_values(spark, sf_dir):
     """Labelled credentials in the documents as given."""
-    docs = spread(PL.table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    docs = PL.evened(spark, sf_dir, "documents", "doc_id").select("doc_id", "text")
     return public(detect(docs, "doc_id").where("kind = 'generic_labeled_secret'")).select(
         "source_id", "line", "start", "end", "finding_id"
     )
@@ -117,7 +117,7 @@ def url_entropy(spark, sf_dir):
 @query
 def url_masked_text(spark, sf_dir):
     """URL identifiers blanked in whole pages."""
-    pages = spread(PL.table(spark, sf_dir, "pages"), "page_id")
+    pages = PL.evened(spark, sf_dir, "pages", "page_id")
     login = F.concat(F.lit("https://u:"), F.md5("url"), F.lit("@h.io/a?q="), F.col("page_id"))
     text = F.concat("html", F.lit(" "), "url", F.lit(" "), login)
     masked = pages.select("page_id", text.alias("text")).select("page_id", "text", _masked("text").alias("masked"))
@@ -160,7 +160,7 @@ EVENT_TEXT = (
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spread(PL.table(spark, sf_dir, "events"), "event_id")
+    events = PL.evened(spark, sf_dir, "events", "event_id")
     return events.select("event_id", "ts", "props", "event_type", F.expr(EVENT_TEXT).alias("text"))
 
 
@@ -189,13 +189,12 @@ def redact_nested_records(spark, sf_dir):
 
 @query
 def scrubbed_documents(spark, sf_dir):
-    """Known literal values masked: the country names, in a text that mentions some."""
-    names = [r["n_name"] for r in PL.table(spark, sf_dir, "nation").select("n_name").distinct().limit(1000).collect()]
-    docs = PL.table(spark, sf_dir, "documents").join(
-        F.broadcast(PL.table(spark, sf_dir, "nation")), F.col("doc_id") % 25 == F.col("n_nationkey")
-    )
+    """Known literal values masked: a table's country names, in a text that mentions some."""
+    nations = PL.table(spark, sf_dir, "nation")
+    docs = PL.table(spark, sf_dir, "documents").join(nations, F.col("doc_id") % 25 == F.col("n_nationkey"))
     text = F.concat("text", F.lit(" in "), "n_name", F.lit(" and "), "n_name")
-    return docs.select("doc_id", F.md5(R.scrub(text, names)).alias("digest"))
+    hidden = scrub_texts(docs.select("doc_id", text.alias("text")), scrub_literals(nations, "n_name"))
+    return hidden.select("doc_id", F.md5("text").alias("digest"))
 
 
 # --- suppression --------------------------------------------------------------------
@@ -258,6 +257,15 @@ def baseline_resolved(spark, sf_dir):
     return B.resolved(baseline, current)
 
 
+@query
+def baseline_round_trip(spark, sf_dir):
+    """New findings against a baseline that was written and read again."""
+    current, baseline = _sides(spark, sf_dir)
+    path = f"{shared_folder(spark)}/baseline-{uuid.uuid4().hex}"
+    baseline.write.json(path)
+    return B.new_findings(current, config.load_baseline(spark, path)).select("source_id", "line", "kind", "finding_id")
+
+
 @query
 def baseline_former_kinds(spark, sf_dir):
     """A baseline written when provider formats were still reported as something general."""
@@ -340,6 +348,44 @@ def file_selection(spark, sf_dir):
     )
 
 
+def _tree(spark: SparkSession, sf_dir: str) -> str:
+    """The planted documents as files in the shared folder; returns their root."""
+    root = f"{shared_folder(spark)}/tree-{uuid.uuid4().hex}"
+
+    def write(batches):
+        import pyarrow as pa
+
+        system, base = files.filesystem(root)
+        for batch in batches:
+            for path, text in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist()):
+                target = f"{base}/{path}"
+                system.create_dir(target.rpartition("/")[0], recursive=True)
+                with system.open_output_stream(target) as out:
+                    out.write(text.encode("utf-8"))
+            yield pa.RecordBatch.from_arrays([batch.column("path")], names=["path"])
+
+    _copies(spark, sf_dir).select("path", "text").mapInArrow(write, "path string").count()
+    return root
+
+
+@query
+def scan_files(spark, sf_dir):
+    """A file tree, listed, read and scanned."""
+    found = detect(files.read_files(spark, _tree(spark, sf_dir)), "path")
+    return found.select("source_id", "line", "kind", "finding_id")
+
+
+@query
+def exclude_union(spark, sf_dir):
+    """Patterns of flags, options and an ignore list together."""
+    docs = PL.table(spark, sf_dir, "documents")
+    listed = docs.select("source").distinct().where(F.col("source").rlike("[37]$"))
+    ignore = config.ignore_patterns(listed.select(F.concat(F.lit(" src/"), "source", F.lit("/e* ")).alias("value")))
+    patterns = config.exclude_patterns(EXCLUDE, Options(ignore_paths=("f*",)), ignore)
+    rows = docs.select("doc_id", F.expr(FILE_EXPR).alias("path"))
+    return files.select_files(rows, exclude=patterns)
+
+
 @query
 def explicit_files(spark, sf_dir):
     """A named file bypasses every rule."""
@@ -398,7 +444,7 @@ def staged_findings(spark, sf_dir):
 @query
 def changed_files(spark, sf_dir):
     """Texts whose version differs from an older snapshot without the German ones."""
-    docs = spread(PL.table(spark, sf_dir, "documents"), "doc_id")
+    docs = PL.evened(spark, sf_dir, "documents", "doc_id")
     old = docs.where("lang <> 'de'").select(F.col("doc_id").alias("path"), F.sha2("text", 256).alias("version"))
     edited = F.when(F.col("lang") == "en", F.concat("text", F.lit("!"))).otherwise(F.col("text"))
     new = docs.select(F.col("doc_id").alias("path"), F.sha2(edited, 256).alias("version"))
@@ -461,12 +507,7 @@ def history_newest(spark, sf_dir):
 @query
 def history_limit(spark, sf_dir):
     """Per repo: commits scanned under a limit and whether more exist."""
-    ranked = H.annotate_patch(PL.patch_lines(spark, sf_dir)).groupBy("repo").agg(F.max("rank").alias("rank"))
-    return ranked.select(
-        "repo",
-        F.least(F.col("rank") + 1, F.lit(140)).alias("commits_scanned"),
-        (F.col("rank") >= 140).alias("max_commits_reached"),
-    )
+    return H.limit_reached(H.annotate_patch(PL.patch_lines(spark, sf_dir)), 140, ("repo",))
 
 
 @query
@@ -537,6 +578,33 @@ def sarif_results(spark, sf_dir):
     return RP.sarif_results(_report(spark, sf_dir))
 
 
+@query
+def sarif_log(spark, sf_dir):
+    """Whole reports, taken apart again: which log and place every result has."""
+    logs = RP.sarif_logs(_report(spark, sf_dir), WITH_RULES, per_log=50)
+    place = "physicalLocation:struct<artifactLocation:struct<uri:string>,region:struct<startLine:int>>"
+    shape = f"runs array<struct<results:array<struct<ruleId:string,locations:array<struct<{place}>>>>>>"
+    results = F.from_json("value", shape)["runs"][0]["results"]
+    rows = logs.select("log", F.posexplode(results).alias("place", "r"))
+    at = F.col("r.locations")[0]["physicalLocation"]
+    return rows.select(
+        "log", "place", F.col("r.ruleId").alias("rule_id"), at["artifactLocation"]["uri"].alias("uri"),
+        at["region"]["startLine"].alias("start_line"),
+    )
+
+
+@query
+def rule_id_collisions(spark, sf_dir):
+    """Report ids of rules whose names differ only in punctuation."""
+    sources = PL.table(spark, sf_dir, "documents").select("source").distinct()
+    ends = F.explode(F.array(*[F.lit(e) for e in ("!", "?", " ", "-2")]))
+    rules = RU.rules_from_table(sources.select("source", ends.alias("e")).select(
+        F.concat("source", "e").alias("name"), F.lit("INT-[0-9]+").alias("pattern")
+    )).rules
+    catalog = RP.rule_catalog(spark, Options(rules=rules))
+    return catalog.where(F.startswith("rule_id", F.lit("hushscan.custom."))).select("name", "rule_id")
+
+
 # --- triage ---------------------------------------------------------------------------------
 
 
@@ -593,9 +661,17 @@ def history_references(spark, sf_dir):
     )
 
 
+@query
+def history_commits(spark, sf_dir):
+    """Every commit whose diff still shows a credential of the history, as rows."""
+    patch = materialise(H.annotate_patch(PL.patch_lines(spark, sf_dir)))
+    creds = T.credentials(H.history_findings(H.hunks_from_annotated(patch)))
+    return T.history_commits(creds, patch)
+
+
 def _worklist(spark: SparkSession, sf_dir: str) -> DataFrame:
     creds = materialise(_credentials(spark, sf_dir))
-    refs = T.references(creds, _copies(spark, sf_dir).where("lang <> 'es'"), "path")
+    refs = T.references(creds, _copies(spark, sf_dir), "path")
     status = creds.select("credential_id", F.col("credential_id").rlike("^[0-7]").alias("revoked"))
     return T.worklist(creds, refs, status)
 
@@ -627,7 +703,7 @@ CODE_EXPR = "concat(text, chr(10), " + SOURCE_LINE.format(t=TOKEN) + ", chr(10))
 
 
 def _code(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spread(PL.table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"), "doc_id")
+    docs = PL.evened(spark, sf_dir, "documents", "doc_id").select("doc_id", "source", "lang", "text")
     return docs.select(
         F.concat(F.lit("p"), (F.col("doc_id") % 3).cast("string")).alias("project"),
         F.expr(PL.PATH_EXPR).alias("path"), F.expr(CODE_EXPR).alias("text"),
@@ -671,7 +747,7 @@ NAME_EXPR = (
 
 
 def _fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    talk = spread(PL.table(spark, sf_dir, "conversations"), "conv_id")
+    talk = PL.evened(spark, sf_dir, "conversations", "conv_id")
     pieces = F.posexplode(F.regexp_extract_all("text", F.lit("(?s).{1,37}"), F.lit(0))).alias("at", "fragment")
     rows = talk.select(F.col("conv_id").cast("string").alias("stream_id"), "turn", pieces)
     return rows.select(
@@ -688,9 +764,7 @@ def line_reassembly(spark, sf_dir):
 def _live(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     at_rest = PL.table(spark, sf_dir, table)
     live = spark.readStream.schema(at_rest.schema).option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir)
-    cores = spark.sparkContext.defaultParallelism
-    # a few large files would leave most cores idle; many files need no shuffle
-    return live if len(at_rest.inputFiles()) >= cores else live.repartition(cores)
+    return live.repartition(spark.sparkContext.defaultParallelism) if PL.is_small(spark, sf_dir, table) else live
 
 
 def _drain(stream: DataFrame) -> DataFrame:

@@ -127,6 +127,7 @@ STATEMENTS["baseline_rows"] = _found() + _SIDES + "SELECT * FROM old"
 STATEMENTS["baseline_new_findings"] = (
     _found() + _SIDES + "SELECT * FROM cur WHERE finding_id NOT IN (SELECT id FROM old)"
 )
+STATEMENTS["baseline_round_trip"] = STATEMENTS["baseline_new_findings"]
 STATEMENTS["baseline_accepted"] = (
     _found() + _SIDES + "SELECT * FROM cur WHERE finding_id IN (SELECT id FROM old)"
 )
@@ -351,9 +352,9 @@ STATEMENTS["gate_status"] = _found() + "SELECT CASE WHEN count(*) > 0 THEN 1 ELS
 _SARIF = (
     _found(_paths(), custom=R.CUSTOM) + f", {_CATALOG}, "
     + f"""rows AS (SELECT id AS file, kind, rule_id, rule_index, level,
-    concat(CASE WHEN rule_index < 20 THEN concat('Potential secret detected: ', label, '.')
-      ELSE concat('Potential secret detected by custom rule "', kind, '".') END,
-      ' Rotate the credential and remove it from source code.') AS message,
+    concat(CASE WHEN rule_index < 20 THEN concat('This looks like a credential: ', label, '.')
+      ELSE concat('Match of the rule "', kind, '".') END,
+      ' Revoke it at its issuer, then take it out of the text.') AS message,
     {_URI.format(p='id')} AS uri, line AS start_line, "column" AS start_column, end_line, end_column
     FROM found JOIN catalog USING (kind)) """
 )
@@ -365,6 +366,27 @@ STATEMENTS["sarif_results"] = (
     uri, '"},"region":{"startLine":', start_line, ',"startColumn":', start_column, ',"endLine":', end_line,
     ',"endColumn":', end_column, '}}}]}') AS value FROM rows"""
 )
+STATEMENTS["sarif_log"] = (
+    _SARIF
+    + """, numbered AS (SELECT *, row_number() OVER (ORDER BY file, start_line, start_column, end_line, end_column, kind) - 1 AS n
+    FROM rows)
+    SELECT n // 50 AS log, n % 50 AS place, rule_id, uri, start_line FROM numbered"""
+)
+# slugs are lower case with one dash for each run of other characters; later names get the next free number
+STATEMENTS["rule_id_collisions"] = """
+WITH names AS (SELECT DISTINCT concat(source, unnest(['!', '?', ' ', '-2'])) AS name FROM documents),
+ids AS (SELECT name, CASE WHEN name LIKE '%-2' THEN 2 ELSE 0 END AS given, regexp_replace(name, '(!|\\?| |-2)$', '') AS base,
+    row_number() OVER (PARTITION BY regexp_replace(name, '(!|\\?| |-2)$', '') ORDER BY name) AS n FROM names)
+SELECT name, concat('hushscan.custom.', base, CASE
+    WHEN name LIKE '% ' THEN '' WHEN name LIKE '%!' THEN '-2'
+    WHEN name LIKE '%-2' THEN '-2-2' ELSE '-3' END) AS rule_id FROM ids"""
+STATEMENTS["scan_files"] = (
+    _found(_paths()) + f"SELECT {_ID}, line, kind, finding_id FROM found WHERE NOT ends_with(id, '.rb')"
+)
+STATEMENTS["exclude_union"] = f"""
+SELECT doc_id, path FROM (SELECT doc_id, {R.FILE_EXPR} AS path FROM documents)
+WHERE {_selected('path', (), R.EXCLUDE)} AND NOT regexp_matches(path, '(?s)^src/[a-z0-9]*[37]/e.*$')
+    AND NOT regexp_matches(path, '(?s)(^|/)f[^/]*$')"""
 
 # --- triage -------------------------------------------------------------------------------------------
 
@@ -450,8 +472,7 @@ STATEMENTS["leftover_references"] = (
 )
 _WORK = (
     _credentials(_paths())
-    + ", still AS (SELECT * FROM src WHERE lang <> 'es')"
-    + _REFS.replace("{texts}", "still")
+    + _REFS.replace("{texts}", "src")
     + """, counted AS (SELECT credential_id, kind, needs_rotation, count(line) AS refs_remaining,
         regexp_matches(credential_id, '^[0-7]') AS revoked_reported
       FROM creds LEFT JOIN refs USING (credential_id) GROUP BY ALL),
@@ -464,12 +485,16 @@ STATEMENTS["rotation_rollup"] = (
     + """SELECT count(*) AS credentials, count(*) FILTER (WHERE NOT resolved) AS unresolved,
     count(*) FILTER (WHERE NOT needs_rotation) AS no_rotation_needed, sum(refs_remaining)::BIGINT AS refs_remaining FROM work"""
 )
-STATEMENTS["history_references"] = (
+_COMMITS = (
     _HUNK_FOUND.replace("{scope}", "").replace("{same}", "")
     + f""", cores AS (SELECT DISTINCT {_CORE} AS core FROM seen),
     hits AS (SELECT DISTINCT sha256(core) AS credential_id, repo, commit, rank FROM cores
-             JOIN named ON contains(line, {_NEEDLE.format(c='core')}) AND NOT c),
-    numbered AS (SELECT *, row_number() OVER (PARTITION BY credential_id ORDER BY rank, repo, commit) AS n FROM hits)
+             JOIN named ON contains(line, {_NEEDLE.format(c='core')}) AND NOT c)"""
+)
+STATEMENTS["history_commits"] = _COMMITS + " SELECT * FROM hits"
+STATEMENTS["history_references"] = (
+    _COMMITS
+    + """, numbered AS (SELECT *, row_number() OVER (PARTITION BY credential_id ORDER BY rank, repo, commit) AS n FROM hits)
     SELECT credential_id, count(*) AS history_commits,
       string_agg(substr(commit, 1, 8), ',' ORDER BY n) FILTER (WHERE n <= 5) AS commits FROM numbered GROUP BY 1"""
 )

@@ -13,8 +13,6 @@ from hushscan.operators.rules import RuleSet, compile_rules
 from hushscan.options import Options
 
 _BASELINE = "id string, file string, kind string, line int"
-#: an ignore list becomes one predicate per pattern, so it must stay a list
-MAX_PATTERNS = 5000
 
 
 def ignore_patterns(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -30,13 +28,14 @@ def ignore_patterns(lines: DataFrame, column: str = "value") -> DataFrame:
 def exclude_patterns(
     flags: Iterable[str] = (), options: Options = Options(), ignore: DataFrame | None = None
 ) -> tuple[str, ...]:
-    """Union of the pattern sources, ready for a path predicate."""
+    """Union of the pattern sources, ready for a path predicate.
+
+    Patterns are configuration that becomes part of the plan: however many
+    there are, all count.
+    """
     patterns = [*flags, *options.ignore_paths]
     if ignore is not None:
-        rows = ignore.select("pattern").distinct().limit(MAX_PATTERNS + 1).collect()
-        if len(rows) > MAX_PATTERNS:
-            raise ValueError(f"more than {MAX_PATTERNS} ignore patterns")
-        patterns += sorted(r["pattern"] for r in rows)
+        patterns += sorted(r["pattern"] for r in ignore.select("pattern").distinct().toLocalIterator())
     return tuple(dict.fromkeys(patterns))
 
 

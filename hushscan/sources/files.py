@@ -16,10 +16,13 @@ _BATCH_BYTES = 16 << 20
 _READERS_PER_CORE = 4
 
 
-def _filesystem(root: str):
+def filesystem(root: str):
+    """The file system of a folder and the folder's name in it."""
     from pyarrow import fs
 
-    if "://" in root or root.startswith("file:"):
+    if root.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + root.removeprefix("file:").lstrip("/")
+    if "://" in root:
         return fs.FileSystem.from_uri(root)
     return fs.LocalFileSystem(), root
 
@@ -27,7 +30,7 @@ def _filesystem(root: str):
 def _listing(root: str, folder: str, recursive: bool):
     from pyarrow import fs
 
-    system, _ = _filesystem(root)
+    system, _ = filesystem(root)
     return system.get_file_info(fs.FileSelector(folder, recursive=recursive, allow_not_found=True))
 
 
@@ -38,7 +41,7 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
     are ordinary sources here.  The upper folder levels are read first, until
     there are enough folders to list the rest in parallel tasks.
     """
-    _, base = _filesystem(root)
+    _, base = filesystem(root)
     base = base.rstrip("/")
     wanted = spark.sparkContext.defaultParallelism * 4
     folders, shallow, levels = [base], [], 0
@@ -74,33 +77,35 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
 
 
 def read_contents(paths: DataFrame, root: str) -> DataFrame:
-    """(path, content) for listed files; a file that cannot be read is left out."""
+    """(path, content, error) for listed files; one that cannot be read has an error and no content."""
 
     def read(batches):
         import pyarrow as pa
 
-        system, _ = _filesystem(root)
-        schema = pa.schema([("path", pa.string()), ("content", pa.binary())])
-        names, contents, held = [], [], 0
+        system, _ = filesystem(root)
+        schema = pa.schema([("path", pa.string()), ("content", pa.binary()), ("error", pa.string())])
+        names, contents, errors, held = [], [], [], 0
         for batch in batches:
             for name, location in zip(batch["path"].to_pylist(), batch["location"].to_pylist()):
+                data, error = None, None
                 try:
                     with system.open_input_stream(location) as stream:
                         data = stream.read()
-                except OSError:
-                    continue
+                except OSError as problem:
+                    error = str(problem) or type(problem).__name__
                 names.append(name)
                 contents.append(data)
-                held += len(data)
+                errors.append(error)
+                held += len(data or b"")
                 if held >= _BATCH_BYTES:
-                    yield pa.record_batch([names, contents], schema=schema)
-                    names, contents, held = [], [], 0
-        yield pa.record_batch([names, contents], schema=schema)
+                    yield pa.record_batch([names, contents, errors], schema=schema)
+                    names, contents, errors, held = [], [], [], 0
+        yield pa.record_batch([names, contents, errors], schema=schema)
 
     # a fixed number: rows are short here, and runtime coalescing would judge
     # by their size and leave all the reading to one task
     tasks = paths.sparkSession.sparkContext.defaultParallelism * _READERS_PER_CORE
-    return paths.repartition(tasks, "location").mapInArrow(read, "path string, content binary")
+    return paths.repartition(tasks, "location").mapInArrow(read, "path string, content binary, error string")
 
 
 def accepted_path(
@@ -129,22 +134,24 @@ def read_files(
     explicit: bool = False,
     strict_sniff: bool = False,
 ) -> DataFrame:
-    """(path, text) of the text files under ``root``.
+    """(path, text, error) of the text files under ``root``.
 
-    Path rules run on the listing, so rejected files are never opened.
+    Path rules run on the listing, so rejected files are never opened.  A file
+    that cannot be read is a row with an error and a null text, so an
+    incomplete scan can be told from a clean one.
     ``explicit`` marks a root that is a single file, which bypasses every rule.
     """
     if explicit:
         name = root.rstrip("/").rsplit("/", 1)[-1]
-        _, location = _filesystem(root)
+        _, location = filesystem(root)
         single = spark.createDataFrame([(name, location, 0)], _LISTED)
-        return read_contents(single, root).select("path", C.decode_text(F.col("content")).alias("text"))
+        return read_contents(single, root).select("path", C.decode_text(F.col("content")).alias("text"), "error")
     listed = list_files(spark, root)
     chosen = listed.where(accepted_path(F.col("path"), options, include, exclude, no_ignore))
     return (
         read_contents(chosen, root)
-        .where(~C.looks_binary(F.col("content"), strict_sniff))
-        .select("path", C.decode_text(F.col("content")).alias("text"))
+        .where(F.col("error").isNotNull() | ~C.looks_binary(F.col("content"), strict_sniff))
+        .select("path", C.decode_text(F.col("content")).alias("text"), "error")
     )
 
 

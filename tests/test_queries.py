@@ -14,7 +14,8 @@ CHECKED = [
     "detected_findings", "known_format_matches", "url_masked_text", "redacted_documents", "inline_markers",
     "baseline_former_kinds", "custom_rule_findings", "file_selection", "decoded_files", "history_first_seen",
     "severity_rollup", "sarif_results", "credentials", "leftover_references", "fix_plan", "line_reassembly",
-    "alert_counts",
+    "alert_counts", "scrubbed_documents", "history_commits", "rotation_rollup", "sarif_log", "scan_files", "exclude_union",
+    "baseline_round_trip", "rule_id_collisions", "history_limit",
 ]
 
 

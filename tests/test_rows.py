@@ -337,3 +337,35 @@ def test_invalid_text_is_withheld(spark):
     df = spark.createDataFrame([(bytearray(b"ok"),), (bytearray(b"\xffk"),)], "b binary").select(F.col("b").cast("string").alias("text"))
     got = sorted((r.quarantined, r.text) for r in stream.quarantine(df).collect())
     assert got == [(False, "ok"), (True, None)]
+
+
+def test_a_line_is_rewritten_once(spark):
+    opts = Options(rules=(("Own", "ghp_[A-Za-z0-9]+"), ("Own 2", "ghp_[A-Za-z0-9]+")))
+    texts = [("p", "a.py", f"api_key = '{GH}'\n"), ("p", "b.py", f"api_key_2 = '{GH}'\n")]
+    df = spark.createDataFrame(texts, "project string, path string, text string")
+    rows = fixes.fix_plan(df, options=opts).collect()
+    assert len(rows) == 6
+    fixed = {r.file: (r.env_key, r.proposed_line) for r in rows if r.fixable}
+    assert sum(r.fixable for r in rows) == 2
+    assert fixed["a.py"][0] == "API_KEY" and fixed["b.py"][0] == "API_KEY_2"
+
+
+def test_claims_skip_many_existing_numbers(spark):
+    rows = [("p", f"f{i:03}", i, "K") for i in range(60)]
+    taken = [("p", f"K_{n}") for n in (2, 3, 5, 8, 13, 21, 34, 55, 61, 62, 63, 900)] + [("p", "K"), ("q", "K_4"), ("p", "K_04")]
+    df = spark.createDataFrame(rows, "project string, file string, start int, desired string")
+    ex = spark.createDataFrame(taken, "project string, key string")
+    got = [r.env_key for r in fixes.assign_env_keys(df, ex).orderBy("file").collect()]
+    used, want, n = {k for p, k in taken if p == "p"}, [], 1
+    while len(want) < 60:
+        name = "K" if n == 1 else f"K_{n}"
+        if name not in used:
+            want.append(name)
+        n += 1
+    assert got == want
+
+
+def test_rule_patterns_are_read_by_token():
+    assert rules.to_java(r"\(?P<a>") == r"(?dU)\(?P<a>"
+    assert rules.to_java(r"[(?P<]") == "(?dU)[(?P<]"
+    assert rules.to_java(r"(?P<n>[]x&&])(?P=n)") == r"(?dU)(?<n>[\]x\&\&])\k<n>"

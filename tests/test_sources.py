@@ -30,7 +30,7 @@ def test_directory_selection(spark, tmp_path):
     some = files.read_files(spark, root, include=["*.py", "*.md"], exclude=["p*"])
     assert {r.path for r in some.collect()} == {"a.py"}
     one = files.read_files(spark, root + "/notes.rst", explicit=True)
-    assert [tuple(r) for r in one.collect()] == [("notes.rst", "x")]
+    assert [tuple(r) for r in one.collect()] == [("notes.rst", "x", None)]
 
 
 def test_rejected_files_are_not_opened(spark, tmp_path):
@@ -120,3 +120,22 @@ def test_rules_file(spark, tmp_path):
     path.write_text("[[[")
     assert len(config.load_rules(spark, path).errors) == 1
     assert loaded.errors_frame(spark).count() == 3
+
+
+def test_an_unreadable_file_is_a_row(spark, tmp_path):
+    (tmp_path / "a.py").write_text("x")
+    listed = spark.createDataFrame(
+        [("a.py", str(tmp_path / "a.py"), 1), ("gone.py", str(tmp_path / "gone.py"), 1)], "path string, location string, length long"
+    )
+    got = {r.path: r for r in files.read_contents(listed, str(tmp_path)).collect()}
+    assert bytes(got["a.py"].content) == b"x" and got["a.py"].error is None
+    assert got["gone.py"].content is None and got["gone.py"].error
+
+
+def test_long_ignore_lists_are_folded(spark):
+    from hushscan.functions.paths import matches_any
+    from pyspark.sql import functions as F
+
+    globs = [f"lib{i}/*.py" for i in range(3000)] + [f"name{i}" for i in range(3000)]
+    df = spark.createDataFrame([("lib2999/x.py",), ("a/name17",), ("lib3000/x.py",)], "p string")
+    assert [r[0] for r in df.select(matches_any(F.col("p"), globs)).collect()] == [True, True, False]

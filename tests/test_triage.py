@@ -147,7 +147,7 @@ def test_reports(spark, tmp_path):
     place = results[0]["locations"][0]["physicalLocation"]
     assert place["artifactLocation"]["uri"] == "a%20b.py"
     assert place["region"] == {"startLine": 2, "startColumn": 8, "endLine": 2, "endColumn": 8 + len(TOKENS["github_token"])}
-    assert results[1]["message"]["text"].startswith('Potential secret detected by custom rule "My Rule!".')
+    assert results[1]["message"]["text"].startswith('Match of the rule "My Rule!".')
     assert run["invocations"][0]["properties"] == {"filesScanned": 3}
     pages = reports.sarif_logs(rows, opts, per_log=1).collect()
     assert sum(p.results for p in pages) == 3 and len(pages) == 3
@@ -167,3 +167,44 @@ def test_reports(spark, tmp_path):
     lines = spark.read.text(str(tmp_path / "r/matches")).collect()
     assert sorted(json.loads(r.value)["line"] for r in lines) == [1, 2, 2]
     assert all(TOKENS["github_token"] not in r.value for r in lines)
+
+
+def test_literals_shipped_and_joined_find_the_same(spark, monkeypatch):
+    from hushscan.operators import redact, search
+
+    lines = [(i, t) for i, t in enumerate(["ab hunter2! x", "abcdefghijkl0123", "", None, "x" * 50, "hunter2!hunter2!", "ü-ü", "ü"])]
+    df = spark.createDataFrame(lines, "n int, line string")
+    words = ["hunter2!", "abcdefghijkl", "xxxx", "ü", "ü-ü", "b", "nowhere at all"]
+    needles = spark.createDataFrame([(w, w) for w in words], "needle_id string, needle string")
+    want = sorted((w, i) for i, t in lines for w in words if t and w in t)
+    values = spark.createDataFrame([("hunter2!",), ("hunter2!hunter2!",), (None,), ("abc",), ("first line of it\n  second line of it \n",)], "value string")
+    texts = spark.createDataFrame([(1, "a hunter2!hunter2! hunter2! abc", "k"), (2, "the second line of it.", "k"), (3, None, "k")], "id int, text string, needle string")
+    scrubbed = [(1, "a ******** ******** abc", "k"), (2, "the ********.", "k"), (3, None, "k")]
+    for limit in (search.AUTOMATON_CHARS, 0):
+        monkeypatch.setattr(search, "AUTOMATON_CHARS", limit)
+        hits = search.line_hits(df, needles, ["n"])
+        assert sorted((r.needle_id, r.n) for r in hits.collect()) == want
+        out = redact.scrub_texts(texts, redact.scrub_literals(values), key="id")
+        assert sorted(map(tuple, out.collect())) == scrubbed and out.columns == texts.columns
+
+
+def test_shared_tables_need_a_named_folder_on_a_cluster():
+    import pytest
+    from hushscan.operators.cluster import shared_folder
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            @staticmethod
+            def get(name, default=None):
+                return default
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_folder(Session())
