@@ -116,6 +116,10 @@ def curriculum(docs: DataFrame, plan: Curriculum = Curriculum(), *, doc_id: str
     so many documents; ties in the order can only be between equal rows.
     Running sums go over buckets of a source, so no source is one task's work.
     """
+    return _allotted(docs, plan, doc_id, source, text, keep).sort(F.col("position").asc_nulls_last(), "doc_id")
+
+
+def _allotted(docs: DataFrame, plan: Curriculum, doc_id: str, source: str, text: str, keep: tuple[str, ...]) -> DataFrame:
     key = F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("")).alias("key")
     rows = docs.select(
         *[F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)],
@@ -150,24 +154,23 @@ def curriculum(docs: DataFrame, plan: Curriculum = Curriculum(), *, doc_id: str
             F.when(words > 0, position).alias("position"),
         )
 
-    out = counted.withColumn("every", F.array(*[use(e) for e in range(plan.epochs)])).select(
+    return counted.withColumn("every", F.array(*[use(e) for e in range(plan.epochs)])).select(
         *[F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)],
         "doc_id", "size", "source_size", "target",
         F.aggregate("every", F.lit(0).cast("long"), lambda n, u: n + u["words"]).alias("taken"),
         F.filter("every", lambda u: u["words"] > 0).alias("uses"),
         F.get("every", F.lit(0))["position"].alias("position"),
     )
-    return out.sort(F.col("position").asc_nulls_last(), "doc_id")
 
 
-def training_rows(docs: DataFrame, plan: Curriculum = Curriculum(), *, text: str = "text", **names) -> DataFrame:
+def training_rows(docs: DataFrame, plan: Curriculum = Curriculum(), *, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """The mix itself: one row of ``docs`` per use, with all its columns, in training order.
 
     A use that takes only part of a document carries its first words, up to
     where the next one would start.  Documents the mix leaves out are gone.
     """
     kept = tuple(docs.columns)
-    mixed = curriculum(docs, plan, text=text, keep=tuple(kept), **names)
+    mixed = _allotted(docs, plan, doc_id, source, text, kept)
     mixed = mixed.toDF(*[f"c{i}" for i in range(len(kept))], *[f"m_{c}" for c in mixed.columns[len(kept):]])
     used = mixed.select("*", F.explode("m_uses").alias("u"))
     at = kept.index(text)
