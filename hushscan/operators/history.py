@@ -59,10 +59,8 @@ def annotate_patch(
         ).alias("commit"),
         _target(text, is_commit | is_file).alias("target"),
     )
-    events = rows.where(F.col("is_header") | F.col("target").isNotNull()).drop("line")
-    blocks = rows.select("repo", "_block").distinct()
-    entering = _entering(blocks, _within_blocks(events))
-    rows = _within_blocks(rows).join(entering, ["repo", "_block"], "left")
+    local = _within_blocks(rows)
+    rows = local.join(_entering(local), ["repo", "_block"], "left")
     header = F.coalesce("at_header", "in_header")
     path = F.coalesce("at_sure", F.when(_outside(F.col("in_header")), F.col("at_open")), "in_target")
     rows = rows.select(
@@ -120,20 +118,17 @@ def _within_blocks(rows: DataFrame) -> DataFrame:
     )
 
 
-def _entering(blocks: DataFrame, events: DataFrame) -> DataFrame:
+def _entering(local: DataFrame) -> DataFrame:
     """State entering each block: one row per block travels along the history.
 
-    ``events`` are the header lines with their in-block state; ``blocks`` lists
-    all blocks, also those inside one long hunk that hold no header.
+    ``local`` are the lines with their in-block state; the state at a block's
+    last line is the block's summary, also of blocks without any header.
     """
-    ends = events.groupBy("repo", "_block").agg(
-        *[
-            F.max_by(c, "line_no").alias(c)
-            for c in ("at_header", "at_commit", "at_commits", "at_sure", "at_open")
-        ]
+    ends = local.groupBy("repo", "_block").agg(
+        F.max_by(F.struct("at_header", "at_commit", "at_commits", "at_sure", "at_open"), "line_no").alias("end")
     )
     before = Window.partitionBy("repo").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    chain = blocks.join(ends, ["repo", "_block"], "left").select(
+    chain = ends.select("repo", "_block", "end.*").select(
         "*",
         F.last("at_header", True).over(before).alias("in_header"),
         F.last("at_commit", True).over(before).alias("in_commit"),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from hushscan.functions import catalog as K, patterns as P
 from hushscan.functions.folds import bind, running
 from hushscan.functions.spans import newline_count
-from hushscan.operators.cluster import broadcast_if_small, materialise
+from hushscan.operators.cluster import broadcast_if_small, hold, materialise
 from hushscan.operators.history import COMMIT_PREFIX
 from hushscan.operators.search import line_hits, lines_of
 
@@ -135,7 +135,7 @@ def credentials(findings: DataFrame) -> DataFrame:
     )
     # the first identified match speaks for the credential, else the first one
     first = F.struct("unknown", "start")
-    places = materialise(
+    places = hold(
         keyed.groupBy("credential_id", "file", "line").agg(
             F.min_by("match", first).alias("match"), F.min(first).alias("first")
         )
@@ -184,7 +184,7 @@ def credential_locations(findings: DataFrame) -> DataFrame:
 
 
 def _needles(creds: DataFrame) -> DataFrame:
-    return materialise(
+    return hold(
         creds.select(
             "credential_id", "core", history_needle(F.col("core")).alias("needle")
         ).where(F.length("needle") > 0)
@@ -193,7 +193,7 @@ def _needles(creds: DataFrame) -> DataFrame:
 
 def _line_literals(needles: DataFrame) -> DataFrame:
     """Distinct single-line literals; a needle never spans lines."""
-    return materialise(
+    return hold(
         needles.select(F.sha2("needle", 256).alias("needle_id"), "needle").distinct()
     )
 
@@ -228,7 +228,7 @@ def references(creds: DataFrame, texts: DataFrame, source_id: str = "source_id",
     )
     # several-line credentials: the body line gave candidate texts, the block decides
     blocks = keyed.where(~whole).select("credential_id", "needle_id", "core")
-    pairs = materialise(hits.select("needle_id", "file").distinct().join(blocks, "needle_id"))
+    pairs = hold(hits.select("needle_id", "file").distinct().join(blocks, "needle_id"))
     located = (
         sources.join(broadcast_if_small(pairs, "core", "file"), "file")
         .where(F.contains("text", F.col("core")))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -11,7 +10,7 @@ from hushscan.functions import content as C, paths as PA, redaction as R, spans
 from hushscan.functions.memo import memoised
 from hushscan.operators import baseline as B, fixes, history as H, lines as L, reports as RP
 from hushscan.operators import rules as RU, search, suppress, triage as T
-from hushscan.operators.cluster import materialise, shared_folder
+from hushscan.operators.cluster import hold, materialise, scratch_path
 from hushscan.operators.detect import detect, explode_findings, finding_id, public, scan_texts
 from hushscan.operators.redact import redact_nested, redact_texts, scrub_literals, scrub_texts
 from hushscan.options import Options
@@ -232,7 +231,7 @@ def _old(found: DataFrame) -> DataFrame:
 
 
 def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    found = materialise(_found(spark, sf_dir))
+    found = hold(_found(spark, sf_dir))
     return found.where("lang <> 'fr'"), _old(found)
 
 
@@ -261,7 +260,7 @@ def baseline_resolved(spark, sf_dir):
 def baseline_round_trip(spark, sf_dir):
     """New findings against a baseline that was written and read again."""
     current, baseline = _sides(spark, sf_dir)
-    path = f"{shared_folder(spark)}/baseline-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "baseline")
     baseline.write.json(path)
     return B.new_findings(current, config.load_baseline(spark, path)).select("source_id", "line", "kind", "finding_id")
 
@@ -269,7 +268,7 @@ def baseline_round_trip(spark, sf_dir):
 @query
 def baseline_former_kinds(spark, sf_dir):
     """A baseline written when provider formats were still reported as something general."""
-    found = materialise(_found(spark, sf_dir))
+    found = hold(_found(spark, sf_dir))
     former = F.when(F.col("lang") == "en", F.lit("high_entropy")).otherwise(F.lit("generic_labeled_secret"))
     old = found.where(F.col("lang").isin("en", "fr")).select(
         finding_id(F.col("source_id"), former, F.col("value")).alias("id")
@@ -350,7 +349,7 @@ def file_selection(spark, sf_dir):
 
 def _tree(spark: SparkSession, sf_dir: str) -> str:
     """The planted documents as files in the shared folder; returns their root."""
-    root = f"{shared_folder(spark)}/tree-{uuid.uuid4().hex}"
+    root = scratch_path(spark, "tree")
 
     def write(batches):
         import pyarrow as pa
@@ -521,7 +520,7 @@ def history_under_path(spark, sf_dir):
 
 @query
 def scan_summary(spark, sf_dir):
-    scanned = materialise(scan_texts(_docs(spark, sf_dir), "doc_id", keep=("lang",)))
+    scanned = hold(scan_texts(_docs(spark, sf_dir), "doc_id", keep=("lang",)))
     found = explode_findings(scanned, ("lang",))
     return RP.scan_summary(scanned, B.new_findings(found, _old(found)))
 
@@ -654,7 +653,7 @@ def leftover_references(spark, sf_dir):
 @query
 def history_references(spark, sf_dir):
     """Commits whose diff still shows one of the credentials found in the history."""
-    patch = materialise(H.annotate_patch(PL.patch_lines(spark, sf_dir)))
+    patch = hold(H.annotate_patch(PL.patch_lines(spark, sf_dir)))
     creds = T.credentials(H.history_findings(H.hunks_from_annotated(patch)))
     return T.history_references(creds, patch).select(
         "credential_id", "history_commits", F.array_join("commits", ",").alias("commits")
@@ -664,13 +663,13 @@ def history_references(spark, sf_dir):
 @query
 def history_commits(spark, sf_dir):
     """Every commit whose diff still shows a credential of the history, as rows."""
-    patch = materialise(H.annotate_patch(PL.patch_lines(spark, sf_dir)))
+    patch = hold(H.annotate_patch(PL.patch_lines(spark, sf_dir)))
     creds = T.credentials(H.history_findings(H.hunks_from_annotated(patch)))
     return T.history_commits(creds, patch)
 
 
 def _worklist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    creds = materialise(_credentials(spark, sf_dir))
+    creds = hold(_credentials(spark, sf_dir))
     refs = T.references(creds, _copies(spark, sf_dir), "path")
     status = creds.select("credential_id", F.col("credential_id").rlike("^[0-7]").alias("revoked"))
     return T.worklist(creds, refs, status)
@@ -770,7 +769,7 @@ def _live(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def _drain(stream: DataFrame) -> DataFrame:
     """Run a stream over what is there now into a table in the shared folder."""
     spark = stream.sparkSession
-    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    base = scratch_path(spark, "stream")
     started = (
         stream.writeStream.format("parquet").outputMode("append")
         .option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start(f"{base}/rows")
@@ -847,5 +846,5 @@ def lines_with_literals(spark, sf_dir):
         .select(F.col("needle").alias("needle_id"), "needle")
     )
     lines = search.lines_of(talk, ["conv_id", "turn"])
-    hits = search.line_hits(lines, materialise(needles), ["conv_id", "turn", "line_no"])
+    hits = search.line_hits(lines, hold(needles), ["conv_id", "turn", "line_no"])
     return hits.select(F.md5("needle_id").alias("needle"), "conv_id", "turn", "line_no")

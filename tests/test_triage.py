@@ -208,3 +208,23 @@ def test_shared_tables_need_a_named_folder_on_a_cluster():
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         shared_folder(Session())
+
+
+def test_no_credential_reaches_the_shared_folder(spark):
+    import os
+
+    from hushscan.operators import cluster
+
+    folder = cluster.shared_folder(spark).removeprefix("file:")
+    cluster.release()
+    before = {os.path.join(d, f) for d, _, names in os.walk(folder) for f in names}
+    token = TOKENS["github_token"]
+    df = spark.createDataFrame([("a", f"k = '{token}'\n"), ("b", f"x\n{token}\n")], "source_id string, text string")
+    creds = triage.credentials(detect(df))
+    refs = triage.references(creds, df)
+    assert {(r.file, r.line) for r in refs.collect()} == {("a", 1), ("b", 2)}
+    written = {os.path.join(d, f) for d, _, names in os.walk(folder) for f in names} - before
+    assert written and not any(token.encode() in open(f, "rb").read() for f in written)
+    cluster.release(spark)
+    after = {os.path.join(d, f) for d, _, names in os.walk(folder) for f in names}
+    assert not (after - before) and not cluster._TABLES and not cluster._HELD
