@@ -39,9 +39,9 @@ class Training:
     #: drawn pages of many layouts, labelled as they are built
     samples: int = 900
     longest: int = 200
-    steps: int = 120
+    steps: int = 160
     rate: float = 0.15
-    penalty: float = 0.02
+    penalty: float = 0.005
     seed: int = 5
 
 

@@ -15,13 +15,16 @@ _ARTICLES = (
 #: what stands beside an article: opening tag and the kind of its text
 _BESIDE = (
     ("nav", "links"), ('ul class="menu"', "items"), ('div class="navbar"', "links"), ('div class="breadcrumbs"', "links"),
-    ("header", "short"), ('div class="site-header"', "short"), ("footer", "short"), ('div class="footer"', "links"),
-    ("aside", "prose"), ('div class="sidebar"', "items"), ('aside class="related"', "links"), ('div class="related-posts"', "items"),
+    ("header", "site"), ("header", "site"), ("header", "site"), ('div class="site-header"', "site"), ('div id="header"', "site"), ("footer", "short"), ('div class="footer"', "links"),
+    ("aside", "prose"), ("aside", "prose"), ("aside", "items"), ('div class="sidebar"', "items"), ('aside class="related"', "links"), ('div class="related-posts"', "items"),
     ('div class="ad"', "short"), ('div class="ads"', "prose"), ('div class="advertisement"', "prose"), ('div class="sponsored"', "short"),
     ('div class="banner promo"', "short"), ('div class="cookie-notice"', "prose"), ('div id="cookie-consent"', "prose"),
     ('div class="notice"', "prose"), ('div class="alert popup"', "prose"), ('div class="modal" role="dialog"', "short"),
     ("form", "form"), ('form class="newsletter"', "form"), ('div class="subscribe"', "form"), ('form class="search" role="search"', "form"),
     ('section class="comments"', "comments"), ('div id="comments"', "comments"), ('ol class="comment-list"', "items"),
+    ('div class="advert"', "prose"), ('div class="adverts"', "short"), ('div class="widget"', "items"), ('div id="side-nav"', "items"),
+    ('div class="cookies"', "prose"), ('div class="disclaimer"', "prose"), ('div class="responses"', "comments"),
+    ('div class="signup"', "form"), ('div class="login"', "form"), ('div class="top-bar"', "links"), ('div class="copyright"', "short"),
     ('div class="share-buttons"', "items"), ('div class="social"', "links"), ("noscript", "prose"), ('div style="display:none"', "prose"),
 )
 
@@ -47,6 +50,9 @@ class _Drawer:
             body = f"<ul>{body}</ul>" if self.random.random() < 0.7 else body.replace("<li>", "<div>").replace("</li>", "</div>")
         elif kind == "items":
             body = "".join(f"<li>{self.sentence(1, 12)}</li>" for _ in range(n))
+        elif kind == "site":
+            title = f"<h1>{self.words(1, 5)}</h1>" if self.random.random() < 0.5 else f"<span>{self.words(1, 3)}</span>"
+            body = title + (self.beside("nav", "links") if self.random.random() < 0.4 else f"<p>{self.sentence(2, 9)}</p>")
         elif kind == "form":
             body = f"<p>{self.sentence(2, 10)}</p><label>{self.words(1, 3)}</label><input name=q><button>{self.words(1, 2)}</button>"
         elif kind == "comments":
@@ -86,11 +92,11 @@ class _Drawer:
         draw = self.random
         article = draw.choice(_ARTICLES)
         body = self.content()
-        for _ in range(draw.choice((0, 0, 0, 1, 2))):
-            body.insert(draw.randint(1, len(body)), self.beside(*draw.choice(_BESIDE[8:])))
+        for _ in range(draw.choice((0, 1, 1, 2, 3))):
+            body.insert(draw.randint(1, len(body)), self.beside(*draw.choice(_BESIDE[11:])))
         beside = [self.beside(*draw.choice(_BESIDE)) for _ in range(draw.randint(1, 6))]
         split = draw.randint(0, len(beside))
-        middle = f"<{article}>{''.join(body)}</{article.split()[0]}>"
+        middle = f"<{article}>{''.join(body)}</{article.split()[0]}>" if draw.random() < 0.98 else "".join(body)
         if draw.random() < 0.3:
             middle = f'<div class="container"><div class="row">{middle}</div></div>'
         whole = "".join(beside[:split]) + middle + "".join(beside[split:])
