@@ -35,6 +35,9 @@ HEADLINE = (
     "sarif_results",
     "credentials",
     "leftover_references",
+    "lines_with_literals",
+    "history_references",
+    "rotation_worklist",
     "fix_plan",
     "line_reassembly",
     "stream_findings",
