@@ -11,11 +11,14 @@ first.  That choice depends on the window's bytes alone, so equal windows have
 their anchor at the same place, and neighbouring windows share anchors: about
 one byte in forty is one.
 
-* first digit: the anchor string; groups of one are dropped;
-* second digit: all bytes that the windows of one anchor span (a segment).
-  Equal segments are repeats as a whole, and only the first of each goes on;
-* last digit: the windows themselves, of first segments whose anchor has
-  more than one kind of segment.
+Each pass groups runs of neighbouring windows by a string that all windows of
+a run contain, and splits a group into kinds by all the bytes a run spans.
+Runs of one kind are repeats as a whole: all but the first are settled, and
+the first goes on only if its group has another kind.
+
+* first pass: runs of windows with one anchor, grouped by the anchor;
+* second pass: runs of up to eight windows, grouped by the bytes they share;
+* last pass: single windows.
 """
 
 from __future__ import annotations
@@ -36,23 +39,36 @@ _PLACE = np.uint64((1 << 24) - 1)
 _TABLE = np.random.default_rng(11).integers(0, 1 << 63, 256, np.uint64)
 _STEP = 0x9E3779B97F4A7C15
 _LAST_ID = (1 << 63) - 1
+#: a place packs the first window of a run, how many more it has, how far
+#: after the first window its anchor lies, and a tag of the text
+_MORE, _OFFSET, _TAG = 25, 18, (1 << 18) - 1
+_MOST = 127
+#: windows a run has in the passes after the first
+_RUNS = (8, 1)
 
 
 @dataclass(frozen=True)
 class Depth:
-    """Repeats of at least ``threshold`` bytes; the first radix digit has ``digit`` bytes (a power of two)."""
+    """Repeats of at least ``threshold`` bytes."""
 
     threshold: int = 100
-    digit: int = 16
+
+    @property
+    def digit(self) -> int:
+        """Bytes of an anchor: short, but so long that a run has at most 128 windows."""
+        return max(min(16, -(-self.threshold // 2)), self.threshold - _MOST)
 
 
 def gram_hashes(data: np.ndarray, width: int) -> np.ndarray:
     """A hash of the ``width`` bytes at each place, by doubling."""
     hashes, step, factor = _TABLE[data], 1, _STEP
-    while step < width:
+    while 2 * step <= width:
         hashes = hashes[:-step] * np.uint64(factor) + hashes[step:]
         factor = factor * factor % (1 << 64)
         step *= 2
+    if step < width:
+        over = width - step
+        hashes = hashes[: len(hashes) - over] * np.uint64(_STEP) + hashes[over:]
     hashes ^= hashes >> np.uint64(31)
     hashes *= np.uint64(0xD6E8FEB86659FD93)
     return hashes ^ (hashes >> np.uint64(32))
@@ -85,15 +101,20 @@ def segments(data: np.ndarray, depth: Depth) -> tuple[np.ndarray, np.ndarray, np
 
 
 def tag_of(data: bytes) -> int:
-    """24 bits that tell apart texts of rows that repeat an id."""
-    return xxhash.xxh3_64_intdigest(data) & 0xFFFFFF
+    """A few bits that tell apart texts of rows that repeat an id."""
+    return xxhash.xxh3_64_intdigest(data) & _TAG
+
+
+def packed(first: np.ndarray, last: np.ndarray, anchor: np.ndarray, tag: int) -> np.ndarray:
+    return first << 32 | (last - first) << _MORE | (anchor - first) << _OFFSET | tag
 
 
-_SPARSE = pa.schema([("anchor", pa.int64()), ("segment", pa.int32()), ("doc", pa.int64()), ("place", pa.int64())])
+_RUN_ROWS = pa.schema([("shared", pa.int64()), ("spanned", pa.int64()), ("doc", pa.int64()), ("place", pa.int64())])
+_RUN_DDL = "shared long, spanned long, doc long, place long"
 
 
 def _sparse(rows: DataFrame, depth: Depth) -> DataFrame:
-    """Sparse suffixes (anchor, segment, doc, place); place packs first window, run length and tag."""
+    """Runs of windows with one anchor, as (shared, spanned, doc, place)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,9 +126,9 @@ def _sparse(rows: DataFrame, depth: Depth) -> DataFrame:
                     continue
                 shape = ((anchor - first) << 10 | (last - first)).tolist()
                 ends = (last + depth.threshold).tolist()
-                spanned = [xxhash.xxh3_64_intdigest(data[a:b], s) & 0xFFFFFFFF for a, b, s in zip(first.tolist(), ends, shape)]
-                place = first << 32 | (last - first) << 24 | tag_of(data)
-                parts.append((hashed.view(np.int64), np.array(spanned, np.uint32).view(np.int32), np.full(len(first), doc), place))
+                spanned = [xxhash.xxh3_64_intdigest(data[a:b], s) & 0xFFFFFFFFFF for a, b, s in zip(first.tolist(), ends, shape)]
+                place = packed(first, last, anchor, tag_of(data))
+                parts.append((hashed.view(np.int64), np.array(spanned, np.int64), np.full(len(first), doc), place))
                 held += len(first)
                 if held >= 100_000:
                     yield _columns(parts)
@@ -115,65 +136,79 @@ def _sparse(rows: DataFrame, depth: Depth) -> DataFrame:
             if parts:
                 yield _columns(parts)
 
-    return rows.mapInArrow(run, "anchor long, segment int, doc long, place long")
+    return rows.mapInArrow(run, _RUN_DDL)
 
 
 def _columns(parts: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], schema=_SPARSE)
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], schema=_RUN_ROWS)
 
 
-def _windows(texts: DataFrame, depth: Depth) -> DataFrame:
-    """(high, low, doc, place) of each window of the segments listed in ``places``."""
+def _split(texts: DataFrame, depth: Depth, most: int) -> DataFrame:
+    """The runs listed in ``places`` of each text, cut into runs of up to ``most`` windows.
+
+    Cuts lie at fixed distances from the anchor, so equal windows fall into
+    runs of equal position; ``shared`` is what a whole run there would share.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = depth.threshold
+        size, digest = depth.threshold, xxhash.xxh3_64_intdigest
         for batch in batches:
             for doc, text, places in zip(*(batch.column(c) for c in ("doc", "text", "places"))):
-                data, out = (text.as_py() or "").encode("utf-8"), []
+                data, shared, spanned, out = (text.as_py() or "").encode("utf-8"), [], [], []
                 tag = tag_of(data)
                 for place in places.as_py():
-                    if place & 0xFFFFFF == tag:
-                        at = place >> 32
-                        out += range(at, at + (place >> 24 & 0xFF) + 1)
+                    if place & _TAG != tag:
+                        continue
+                    offset = place >> _OFFSET & _MOST
+                    anchor = (place >> 32) + offset
+                    least = offset - (place >> _MORE & _MOST)
+                    while least <= offset:  # distances from window to anchor
+                        step = least // most
+                        high = min(offset, step * most + most - 1)
+                        common = data[anchor - step * most : anchor - (step * most + most - 1) + size]
+                        first = anchor - high
+                        shared.append(digest(common, step << 1))
+                        spanned.append(digest(data[first : anchor - least + size], high << 8 | least | 1 << 20))
+                        out.append(first << 32 | (high - least) << _MORE | high << _OFFSET | tag)
+                        least = high + 1
                 if out:
-                    digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(data[i : i + size]) for i in out), np.int64)
-                    yield pa.RecordBatch.from_pydict(
-                        {
-                            "high": pa.array(digests[::2]),
-                            "low": pa.array(digests[1::2]),
-                            "doc": pa.array([doc.as_py()] * len(out), pa.int64()),
-                            "place": pa.array(np.array(out, np.int64) << 32 | tag),
-                        }
-                    )
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.array(shared, np.uint64).view(np.int64)), pa.array(np.array(spanned, np.uint64).view(np.int64)),
+                         pa.array(np.full(len(out), doc.as_py())), pa.array(np.array(out, np.int64))],
+                        schema=_RUN_ROWS,
+                    )
+
+    return texts.mapInArrow(run, _RUN_DDL)
+
 
-    return texts.mapInArrow(run, "high long, low long, doc long, place long")
+def _settle(runs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """One pass: (repeats, first runs of groups with several kinds), both (doc, place)."""
+    kinds = runs.groupBy("shared", "spanned").agg(F.min(F.struct("doc", "place")).alias("first"), F.count(F.lit(1)).alias("n"))
+    kinds = scratch.write(kinds, settle=True)
+    later = runs.join(kinds.where("n > 1"), ["shared", "spanned"]).where("struct(doc, place) <> first").select("doc", "place")
+    later = scratch.write(later, settle=True)
+    mixed = kinds.groupBy("shared").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("shared")
+    heads = scratch.write(kinds.join(mixed, "shared").select("first.doc", "first.place"), settle=True)
+    scratch.drop(kinds)
+    return later, heads
 
 
 def repeats(rows: DataFrame, depth: Depth, scratch: Scratch) -> DataFrame:
     """Runs of repeated windows (doc, place) of rows (doc, text): all but each string's first place."""
     sparse = _sparse(rows, depth)
-    again = scratch.write(sparse.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), settle=True)
-    open_ = scratch.write(sparse.join(again, "anchor"), settle=True)
+    again = sparse.groupBy("shared").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("shared")
+    again = scratch.write(again, settle=True)
+    runs = scratch.write(sparse.join(again, "shared"), settle=True)
     scratch.drop(again)
-    kinds = scratch.write(open_.groupBy("anchor", "segment").agg(F.min(F.struct("doc", "place")).alias("first")), settle=True)
-    later = (
-        open_.join(kinds, ["anchor", "segment"])
-        .where("struct(doc, place) <> first")
-        .select("doc", "place")
-    )
-    mixed = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
-    split = kinds.join(mixed, "anchor").select("first.doc", "first.place")
-    listed = split.groupBy("doc").agg(F.collect_list("place").alias("places"))
-    windows = scratch.write(_windows(rows.join(listed, "doc"), depth), settle=True)
-    heads = windows.groupBy("high", "low").agg(F.min(F.struct("doc", "place")).alias("first"), F.count(F.lit(1)).alias("n"))
-    more = (
-        windows.join(heads.where("n > 1"), ["high", "low"])
-        .where("struct(doc, place) <> first")
-        .select("doc", "place")
-    )
-    found = scratch.write(later.unionByName(more), settle=True)
-    for table in (open_, kinds, windows):
-        scratch.drop(table)
+    found, heads = _settle(runs, scratch)
+    scratch.drop(runs)
+    for most in _RUNS:
+        listed = heads.groupBy("doc").agg(F.collect_list("place").alias("places"))
+        runs = scratch.write(_split(rows.join(listed, "doc"), depth, most), settle=True)
+        scratch.drop(heads)
+        later, heads = _settle(runs, scratch)
+        scratch.drop(runs)
+        found = found.unionByName(later)
     return found
 
 
@@ -182,10 +217,10 @@ def covered(data: bytes, places: list[int] | None, depth: Depth) -> np.ndarray:
     edges = np.zeros(len(data) + 1, np.int64)
     if places:
         tag = tag_of(data)
-        packed = np.array([p for p in places if p & 0xFFFFFF == tag], np.int64)
-        first = packed >> 32
+        runs = np.array([p for p in places if p & _TAG == tag], np.int64)
+        first = runs >> 32
         np.add.at(edges, first, 1)
-        np.add.at(edges, first + (packed >> 24 & 0xFF) + depth.threshold, -1)
+        np.add.at(edges, first + (runs >> _MORE & _MOST) + depth.threshold, -1)
     return np.cumsum(edges)[:-1] > 0
 
 
