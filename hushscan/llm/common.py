@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import gc
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hushscan.operators.cluster import shared_folder
+from hushscan.operators.cluster import delete, scratch_path
 
 #: a word: anything between ASCII white space
 WORD = r"[^\x20\x09-\x0D]+"
@@ -24,7 +23,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        self.root = f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}"
+        self.root = scratch_path(spark, "llm")
         self.count = 0
 
     def write(self, df: DataFrame, settle: bool = False) -> DataFrame:
@@ -44,9 +43,7 @@ class Scratch:
         return table
 
     def drop(self, table: DataFrame) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(table._scratch_path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        delete(self.spark, table._scratch_path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,16 +69,24 @@ def as_arrow(values, kind: pa.DataType) -> pa.Array:
 
 
 class Memo(dict):
-    """A bounded cache in front of ``make``; it starts anew when it is full."""
+    """A bounded cache in front of ``make``.
 
-    def __init__(self, make: Callable, limit: int = 400_000):
+    When it is full its entries become the old generation, from which those
+    still in use come back.
+    """
+
+    def __init__(self, make: Callable, limit: int = 300_000):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.old = make, limit, {}
 
     def __missing__(self, key):
         if len(self) >= self.limit:
+            self.old = dict(self)
             self.clear()
-        value = self[key] = self.make(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
         return value
 
 

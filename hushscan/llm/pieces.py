@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from array import array
 from collections.abc import Iterable, Iterator
 from pathlib import Path
 
@@ -39,16 +40,21 @@ class Vocabulary:
     """Pieces, scores and byte pieces of a model file; small, so tasks get it whole."""
 
     def __init__(self, pieces: list[str], scores: list[float], special: Iterable[int], byte_ids: list[int], unknown: int, merges: bool):
-        self.merges, self.stable, self.pairs = merges, Memo(self.is_stable), Memo(self.stay_apart)
+        self.merges, self.pieces, self.byte_ids, self.unknown = merges, pieces, byte_ids, unknown
         special = set(special) | set(byte_ids)
-        self.pieces, self.byte_ids, self.unknown = pieces, byte_ids, unknown
-        self.scores = {p: (s, i) for i, (p, s) in enumerate(zip(pieces, scores)) if i not in special and p}
-        #: every beginning of a piece, with the piece's score and id if it is one itself
-        self.starts = {p[:n]: (0.0, -1) for p in self.scores for n in range(1, len(p))} | self.scores
-        self.longest = max(map(len, self.scores), default=1)
-        self.floor = min((s for s, _ in self.scores.values()), default=0.0) - 10
-        self.apart = not any(SPACE in p.lstrip(SPACE) for p in self.scores)
-        self.kind = np.uint16 if len(pieces) <= 1 << 16 else np.uint32
+        self.ids = {p: i for i, p in enumerate(pieces) if i not in special and p}
+        self.scores = list(scores)
+        #: every beginning of a piece, with the piece's id if it is one itself, else -1
+        self.starts = {p[:n]: -1 for p in self.ids for n in range(1, len(p))}
+        # a piece that merging its own characters does not give is never an output
+        merged = {p: self.merge(p) for p in self.ids} if merges else {}
+        self.starts |= {p: i for p, i in self.ids.items() if not merges or merged[p][0] == [p]}
+        self.halves = {p: last for p, (parts, last) in merged.items() if parts == [p] and last}
+        self.pairs = Memo(self.stay_apart, 1_000_000)
+        self.longest = max(map(len, self.ids), default=1)
+        self.floor = min((scores[i] for i in self.ids.values()), default=0.0) - 10
+        self.apart = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
+        self.code, self.kind = ("H", np.uint16) if len(pieces) <= 1 << 16 else ("I", np.uint32)
         byte_of = {i: b for b, i in enumerate(byte_ids)}
         dropped = special - set(byte_ids)
         self.surface = [
@@ -73,63 +79,76 @@ class Vocabulary:
         scores = [model.get_score(i) for i in ids]
         return cls(pieces, scores, special, byte_ids, model.unk_id(), spec.model_type == spec.BPE)
 
-    def merge(self, text: str) -> list[str]:
-        """Pieces of a short text by merging the best-scored neighbours, leftmost first."""
-        parts, scores = list(text), self.scores
+    def merge(self, text: str) -> tuple[list[str], tuple[str, str] | None]:
+        """Pieces of a short text by merging the best-scored neighbours, leftmost first, and the last merge."""
+        parts, ids, scores, last = list(text), self.ids, self.scores, None
         while True:
-            found = [(-scores[a + b][0], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in scores]
+            found = [(-scores[ids[a + b]], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ids]
             if not found:
-                return parts
+                return parts, last
             _, i = min(found)
+            last = (parts[i], parts[i + 1])
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
 
-    def is_stable(self, piece: str) -> bool:
-        return self.merge(piece) == [piece]
+    def stay_apart(self, pair: int) -> bool:
+        """Does merging leave these two neighbouring pieces alone?
 
-    def stay_apart(self, pair: tuple[str, str]) -> bool:
-        return self.merge(pair[0] + pair[1]) == list(pair)
+        Goes back in time, undoing the latest merge on either side of the
+        border.  What then faces each other stood side by side until that
+        merge, so it must not merge with a better score; on equal scores the
+        left place goes first.
+        """
+        left, right = (self.pieces[i] for i in divmod(pair, len(self.pieces)))
+        ids, scores, halves = self.ids, self.scores, self.halves
+        if left + right in ids:
+            return False
+        while True:
+            undo_left, undo_right = halves.get(left), halves.get(right)
+            if undo_left is None and undo_right is None:
+                return True
+            if undo_right is None or undo_left is not None and scores[ids[left]] < scores[ids[right]]:
+                made, left = scores[ids[left]], undo_left[1]
+                joined = ids.get(left + right)
+                if joined is not None and scores[joined] > made:
+                    return False
+            else:
+                made, right = scores[ids[right]], undo_right[0]
+                joined = ids.get(left + right)
+                if joined is not None and scores[joined] >= made:
+                    return False
 
     def fallback(self, char: str) -> list[int]:
         if not self.byte_ids:
             return [self.unknown]
         return [self.byte_ids[b] for b in (SPACE if char == _LITERAL else char).encode()]
 
-    def relax(self, window: str, best: list, back: list, first: int, last: int, tail: str = "") -> None:
-        """Extend the paths that end at positions first..last-1 by every piece that fits the window."""
-        starts, size = self.starts, len(window)
+    def relax(self, window: str, best: list, origin: list, by: list, first: int, last: int) -> None:
+        """Extend the paths that end at positions first..last-1 by every piece that fits the window.
+
+        ``origin`` and ``by`` say where the best path's last piece begins and
+        which piece it is (-1: a character that no piece is).
+        """
+        starts, scores, size, merges, pairs, many = self.starts, self.scores, len(window), self.merges, self.pairs, len(self.pieces)
         for start in range(first, last):
-            here = best[start]
+            here, before = best[start], by[start]
             for end in range(start + 1, size + 1):
-                found = starts.get(window[start:end])
-                if found is None:
+                piece = starts.get(window[start:end])
+                if piece is None:
                     break
-                score, piece = found
                 if piece < 0:
                     continue
-                if self.merges:
-                    if best[end] > _NEVER or not self.fits(window, back, start, end, tail):
-                        continue
-                    score = 0.0
-                if here + score > best[end]:
-                    best[end] = here + score
-                    back[end] = (start, piece)
-            if best[start + 1] == _NEVER and window[start] not in self.scores:  # only where no piece is this one character
-                best[start + 1] = here + self.floor
-                back[start + 1] = (start, -1)
-
-    def fits(self, window: str, back: list, start: int, end: int, tail: str) -> bool:
-        """Merging gives this piece, and would not join it with the one before."""
-        if not self.stable[window[start:end]]:
-            return False
-        before, piece = back[start]
-        if not start:  # the text begins here, or goes on after ``tail``
-            return not tail or self.pairs[tail, window[:end]]
-        return piece < 0 or self.pairs[window[before:start], window[start:end]]
-
-    def trace(self, window: str, back: list, upto: int) -> list[int]:
+                if merges:
+                    if by[end] is None and (before < 0 or pairs[before * many + piece]):
+                        origin[end], by[end] = start, piece
+                elif here + scores[piece] > best[end]:
+                    best[end], origin[end], by[end] = here + scores[piece], start, piece
+            if by[start + 1] is None and window[start] not in starts:
+                best[start + 1], origin[start + 1], by[start + 1] = here + self.floor, start, -1
+
+    def trace(self, window: str, origin: list, by: list, upto: int) -> list[int]:
         parts, at = [], upto
         while at > 0:
-            start, piece = back[at]
+            piece, start = by[at], origin[at]
             parts.append(self.fallback(window[start]) if piece < 0 else (piece,))
             at = start
         return [i for part in reversed(parts) for i in part]
@@ -142,43 +161,42 @@ class Vocabulary:
         relaxed one, the backpointers are followed until they meet.
         """
         longest = self.longest
-        window, best, back, relaxed, tail = "", [0.0], [(0, 0)], 0, ""
+        window, best, origin, by, relaxed = "", [0.0], [0], [-1], 0
         for some in chars:
             window += some
             best += [_NEVER] * len(some)
-            back += [(0, 0)] * len(some)
+            origin += [0] * len(some)
+            by += [None] * len(some)
             ready = len(window) - longest + 1
             if ready - relaxed < 4 * longest:
                 continue
-            self.relax(window, best, back, relaxed, ready, tail)
+            self.relax(window, best, origin, by, relaxed, ready)
             relaxed = ready
-            heads = set(back[end][0] for end in range(ready, min(ready + longest, len(window) + 1)) if best[end] > _NEVER)
-            heads = {min(h, ready) for h in heads} | {ready}
+            heads = {min(origin[end], ready) for end in range(ready, len(window) + 1) if by[end] is not None} | {ready}
             while len(heads) > 1:
                 last = max(heads)
                 heads.remove(last)
-                heads.add(back[last][0])
+                heads.add(origin[last])
             met = heads.pop()
             if met:
-                yield self.trace(window, back, met)
-                start, piece = back[met]
-                tail = window[start:met] if piece >= 0 else ""
-                window, relaxed = window[met:], relaxed - met
+                yield self.trace(window, origin, by, met)
                 base = best[met]
+                window, relaxed = window[met:], relaxed - met
                 best = [x - base for x in best[met:]]
-                back = [(a - met, piece) for a, piece in back[met:]]
+                origin, by = [x - met for x in origin[met:]], by[met:]
         if window:
-            self.relax(window, best, back, relaxed, len(window), tail)
-            yield self.trace(window, back, len(window))
+            self.relax(window, best, origin, by, relaxed, len(window))
+            yield self.trace(window, origin, by, len(window))
 
     def word(self, word: str) -> bytes:
         """Ids of a text that fits the memory, packed."""
-        if len(word) > _MEMO_LENGTH:
-            parts = (word[i : i + 256] for i in range(0, len(word), 256))
-            return np.array([i for part in self.stream(parts) for i in part], self.kind).tobytes()
-        best, back = [0.0] + [_NEVER] * len(word), [(0, 0)] * (len(word) + 1)
-        self.relax(word, best, back, 0, len(word))
-        return np.array(self.trace(word, back, len(word)), self.kind).tobytes()
+        size = len(word)
+        if size > _MEMO_LENGTH:
+            parts = (word[i : i + 256] for i in range(0, size, 256))
+            return array(self.code, [i for part in self.stream(parts) for i in part]).tobytes()
+        best, origin, by = [0.0] + [_NEVER] * size, [0] * (size + 1), [-1] + [None] * size
+        self.relax(word, best, origin, by, 0, size)
+        return array(self.code, self.trace(word, origin, by, size)).tobytes()
 
     def encode(self, text: str, memo: Memo) -> bytes:
         """The ids of a text, packed."""
@@ -217,7 +235,7 @@ def encode_texts(docs: DataFrame, vocabulary: Vocabulary, *, text: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shared.value
         if _MEMO[:1] != [key]:
-            _MEMO[:] = [key, Memo(v.word)]
+            _MEMO[:] = [key, Memo(v.word, 500_000)]
         memo = _MEMO[1]
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
