@@ -13,6 +13,8 @@ from hushscan.operators.history import COMMIT_PREFIX
 from hushscan.operators.search import line_hits, lines_of
 
 SHOWN = 5
+#: what ends a line inside a credential of several lines
+LINE_ENDS = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
 
 
 # --- the credential inside a match ---------------------------------------------------
@@ -36,7 +38,7 @@ def history_needle(core: Column) -> Column:
     strip = lambda c: F.regexp_replace(c, edge, "")
     body = F.filter(
         F.transform(
-            F.filter(F.split(core, r"\r\n|[\n\r]"), lambda l: ~F.startswith(l, F.lit("-----"))), strip
+            F.filter(F.split(core, LINE_ENDS), lambda l: ~F.startswith(l, F.lit("-----"))), strip
         ),
         lambda l: l != "",
     )

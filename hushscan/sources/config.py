@@ -50,28 +50,38 @@ def load_rules(spark: SparkSession, path: str | Path) -> RuleSet:
     return compile_rules(spark, data.get("rules"))
 
 
+def _baseline_rows(spark: SparkSession, path: str) -> DataFrame | None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+        return None
+    shape, options = f"{_BASELINE}, malformed string", {"columnNameOfCorruptRecord": "malformed"}
+    return spark.read.text(path).where("trim(value) <> ''").select(F.from_json("value", shape, options).alias("r")).select("r.*")
+
+
 def load_baseline(spark: SparkSession, path: str) -> DataFrame:
     """Accepted findings from JSON rows or one document with a ``findings`` array.
 
-    A missing or malformed file is an empty baseline.
+    A missing file is an empty baseline.  Rows that are no JSON accept nothing;
+    ``malformed_baseline_rows`` has them.
     """
-    empty = spark.createDataFrame([], _BASELINE)
-    try:
-        # newline-delimited rows first; whole documents only when that is not the shape
-        rows = spark.read.schema(_BASELINE).option("mode", "DROPMALFORMED").json(path)
-        if not rows.where("id is not null").isEmpty():
-            return rows.where("id is not null")
-        document = (
-            spark.read.schema(f"findings array<struct<{_BASELINE.replace(' ', ':').replace(',:', ',')}>>")
-            .option("multiLine", "true")
-            .option("mode", "PERMISSIVE")
-            .json(path)
-        )
-        return document.select(F.inline("findings")).where("id is not null")
-    except Exception as problem:  # noqa: BLE001 - only a missing path is expected here
-        if "PATH_NOT_FOUND" in str(problem):
-            return empty
-        raise
+    rows = _baseline_rows(spark, path)
+    if rows is None:
+        return spark.createDataFrame([], _BASELINE)
+    # newline-delimited rows first; whole documents only when that is not the shape
+    known = rows.where("id is not null and malformed is null").drop("malformed")
+    if not known.isEmpty():
+        return known
+    entry = _BASELINE.replace(" ", ":").replace(",:", ",")
+    document = spark.read.schema(f"findings array<struct<{entry}>>").option("multiLine", "true").json(path)
+    return document.select(F.inline("findings")).where("id is not null")
+
+
+def malformed_baseline_rows(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of a baseline of JSON rows that cannot be read: (malformed)."""
+    rows = _baseline_rows(spark, path)
+    if rows is None:
+        return spark.createDataFrame([], "malformed string")
+    return rows.select("id", "malformed").where("malformed is not null").select("malformed")
 
 
 def write_baseline(findings: DataFrame, path: str) -> None:

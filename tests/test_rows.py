@@ -369,3 +369,13 @@ def test_rule_patterns_are_read_by_token():
     assert rules.to_java(r"\(?P<a>") == r"(?dU)\(?P<a>"
     assert rules.to_java(r"[(?P<]") == "(?dU)[(?P<]"
     assert rules.to_java(r"(?P<n>[]x&&])(?P=n)") == r"(?dU)(?<n>[\]x\&\&])\k<n>"
+
+
+def test_malformed_baseline_rows_are_known(spark, tmp_path):
+    from hushscan.sources.config import malformed_baseline_rows
+
+    (tmp_path / "b.json").write_text('{"id":"1","file":"f","kind":"k","line":3}\n{"id":"2"\nnonsense\n')
+    path = str(tmp_path / "b.json")
+    assert [r.id for r in load_baseline(spark, path).collect()] == ["1"]
+    assert sorted(r.malformed for r in malformed_baseline_rows(spark, path).collect()) == ["nonsense", '{"id":"2"']
+    assert malformed_baseline_rows(spark, str(tmp_path / "none")).collect() == []
