@@ -51,15 +51,15 @@ def invert(shape, demand: Column) -> Column:
     Inside a segment the demand is a parabola; the root is written so that it
     stays exact where the parabola is a line.
     """
-    cases = F
-    for start, width, h0, h1, before in reversed(integrate(shape)):
+    time = None
+    for start, width, h0, h1, before in integrate(shape):
         rest = demand - F.lit(before)
         bend = F.lit(2 * (h1 - h0) / width)
         root = F.lit(start) + F.lit(2.0) * rest / (F.lit(h0) + F.sqrt(F.lit(h0 * h0) + bend * rest))
-        if not before:
-            return root if cases is F else cases.otherwise(root)
-        cases = cases.when(demand > F.lit(before), root)
-    raise ValueError("a schedule needs two knots")
+        time = root if time is None else F.when(demand > F.lit(before), root).otherwise(time)
+    if time is None:
+        raise ValueError("a schedule needs two knots")
+    return time
 
 
 def sized(docs: DataFrame, text: str = "text") -> Column:
