@@ -16,7 +16,8 @@ c of these differences with
 
 for a threshold num/den, and the right side is positive.  Differences that no
 other member has cannot be shared, which rules out nearly all such members by
-counting; for the rest an equi-join on shared differences gives c exactly.
+counting; the rest meet in an equi-join on the rarest of the differences, of which
+they have to share one, and are then counted exactly.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from hushscan.llm.common import Scratch, components
 from hushscan.llm.shingles import set_id, shingle_set
@@ -97,6 +98,7 @@ def near_duplicates(docs: DataFrame, similarity: Similarity = Similarity(), *, d
     links = _links(rows, linkable, similarity, scratch)
     labels = components(links, scratch)
     named = classes.join(labels, "node", "left").select("set_id", F.coalesce("component", "node").alias("component_id"))
+    named = scratch.write(named)  # so that the join below can split a set with many copies
     joined = linkable.join(named, "set_id").select("doc_id", "n_shingles", "component_id")
     alone = signed.where("doc_id IS NULL OR n_shingles = 0").selectExpr("doc_id", "n_shingles", "doc_id AS component_id")
     return joined.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
@@ -191,22 +193,32 @@ def _beside_pivots(seen: DataFrame, similarity: Similarity, scratch: Scratch) ->
     cost = (F.col("added") * num + F.col("lost") * den).alias("cost")
     members = seen.join(apart, group, "left_semi").select(*group, "node", "set_id", "linked", "size", cost, "differences")
     elements = members.select(*group, "node", "set_id", "linked", "size", "cost", F.explode("differences").alias("e"))
-    common = elements.groupBy(*group, "e").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    common = elements.groupBy(*group, "e").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     kept = scratch.write(elements.join(common, [*group, "e"]))
-    spare = F.col("shareable") * (num + den) - F.col("cost")
+    share, slack = num + den, F.col("size") * (den - num)
     able = kept.groupBy(*group, "node", "set_id", "linked", "size", "cost").agg(F.count(F.lit(1)).alias("shareable"))
-    able = able.where(F.when(F.col("linked"), spare > 0).otherwise(spare + F.col("size") * (den - num) >= 0))
-    able = able.select(*group, "node", "set_id", "shareable")
-    sides = scratch.write(kept.join(able, [*group, "node", "set_id"]))
-    x = sides.where("NOT linked").select(*group, "e", F.col("node").alias("a"), F.col("set_id").alias("set_a"), F.col("cost").alias("cost_a"), F.col("shareable").alias("can_a"), "size")
-    y = sides.select(*group, "e", F.col("node").alias("b"), F.col("set_id").alias("set_b"), F.col("cost").alias("cost_b"), F.col("shareable").alias("can_b"), "linked")
-    needed = F.col("cost_a") + F.col("cost_b") - F.col("size") * (den - num)
+    # the least number of differences a member has to share with any other to link with it
+    least = F.when(F.col("linked"), F.floor(F.col("cost") / share) + 1).otherwise(
+        F.greatest(F.lit(1), F.ceil((F.col("cost") - slack) / share))
+    )
+    able = able.withColumn("least", least).where("shareable >= least")
+    sides = kept.join(able.select(*group, "node", "set_id", "shareable", "least"), [*group, "node", "set_id"])
+    # who shares that many shares one of the rarest, left when all but one of them are set aside
+    rarest = F.row_number().over(Window.partitionBy(*group, "node", "set_id").orderBy("n", "e"))
+    first = scratch.write(sides.withColumn("at", rarest).where("at <= shareable - least + 1"))
+    x = first.where("NOT linked").select(*group, "e", F.col("node").alias("a"), F.col("set_id").alias("set_a"), F.col("cost").alias("cost_a"), F.col("shareable").alias("can_a"), "size")
+    y = first.select(*group, "e", F.col("node").alias("b"), F.col("set_id").alias("set_b"), F.col("cost").alias("cost_b"), F.col("shareable").alias("can_b"), "linked")
+    needed = F.col("cost_a") + F.col("cost_b") - slack
     met = x.join(y, [*group, "e"]).where(
         ((F.col("set_a") < F.col("set_b")) | (F.col("linked") & (F.col("set_a") != F.col("set_b"))))
-        & (F.least("can_a", "can_b") * (num + den) >= needed)
+        & (F.least("can_a", "can_b") * share >= needed)
     )
-    counted = met.groupBy(*group, "a", "b", "set_a", "set_b").agg(F.count(F.lit(1)).alias("c"), F.first(needed).alias("needed"))
-    return counted.where(F.col("c") * (num + den) >= F.col("needed")).select("a", "b")
+    met = met.select(*group, "a", "b", "set_a", "set_b", needed.alias("needed")).distinct()
+    whole = kept.groupBy(*group, "set_id").agg(F.collect_set("e").alias("all"))
+    ones = whole.select(*group, F.col("set_id").alias("set_a"), F.col("all").alias("all_a"))
+    others = whole.select(*group, F.col("set_id").alias("set_b"), F.col("all").alias("all_b"))
+    checked = met.join(ones, [*group, "set_a"]).join(others, [*group, "set_b"])
+    return checked.where(F.size(F.array_intersect("all_a", "all_b")) * share >= F.col("needed")).select("a", "b")
 
 
 def deduplicate(docs: DataFrame, similarity: Similarity = Similarity(), *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
