@@ -12,8 +12,8 @@ their anchor at the same place, and neighbouring windows share anchors: about
 one byte in forty is one.
 
 Each pass groups runs of neighbouring windows by a string that all windows of
-a run contain, and splits a group into kinds by all the bytes a run spans.
-Runs of one kind are repeats as a whole: all but the first are settled, and
+a run contain, drops groups of one, and splits a group into kinds by all the
+bytes a run spans.  Runs of one kind are repeats as a whole: all but the first are settled, and
 the first goes on only if its group has another kind.
 
 * first pass: runs of windows with one anchor, grouped by the anchor;
@@ -181,31 +181,40 @@ def _split(texts: DataFrame, depth: Depth, most: int) -> DataFrame:
     return texts.mapInArrow(run, _RUN_DDL)
 
 
+def _in_groups(runs: DataFrame, scratch: Scratch) -> DataFrame:
+    """The runs whose group has another member."""
+    again = runs.groupBy("shared").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("shared")
+    again = scratch.write(again, settle=True)
+    kept = scratch.write(runs.join(again, "shared"), settle=True)
+    scratch.drop(again)
+    return kept
+
+
 def _settle(runs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """One pass: (repeats, first runs of groups with several kinds), both (doc, place)."""
+    """(repeats, first runs of groups with several kinds), both (doc, place)."""
     kinds = runs.groupBy("shared", "spanned").agg(F.min(F.struct("doc", "place")).alias("first"), F.count(F.lit(1)).alias("n"))
     kinds = scratch.write(kinds, settle=True)
     later = runs.join(kinds.where("n > 1"), ["shared", "spanned"]).where("struct(doc, place) <> first").select("doc", "place")
     later = scratch.write(later, settle=True)
-    mixed = kinds.groupBy("shared").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("shared")
+    # written, so that the join after it can split a group of very many kinds
+    mixed = scratch.write(kinds.groupBy("shared").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("shared"))
     heads = scratch.write(kinds.join(mixed, "shared").select("first.doc", "first.place"), settle=True)
+    scratch.drop(mixed)
     scratch.drop(kinds)
     return later, heads
 
 
 def repeats(rows: DataFrame, depth: Depth, scratch: Scratch) -> DataFrame:
     """Runs of repeated windows (doc, place) of rows (doc, text): all but each string's first place."""
-    sparse = _sparse(rows, depth)
-    again = sparse.groupBy("shared").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("shared")
-    again = scratch.write(again, settle=True)
-    runs = scratch.write(sparse.join(again, "shared"), settle=True)
-    scratch.drop(again)
+    runs = _in_groups(_sparse(rows, depth), scratch)
     found, heads = _settle(runs, scratch)
     scratch.drop(runs)
     for most in _RUNS:
         listed = heads.groupBy("doc").agg(F.collect_list("place").alias("places"))
-        runs = scratch.write(_split(rows.join(listed, "doc"), depth, most), settle=True)
+        split = scratch.write(_split(rows.join(listed, "doc"), depth, most), settle=True)
         scratch.drop(heads)
+        runs = _in_groups(split, scratch)
+        scratch.drop(split)
         later, heads = _settle(runs, scratch)
         scratch.drop(runs)
         found = found.unionByName(later)
