@@ -5,7 +5,7 @@ each permutation, so one hash evaluation gives two of its entries.  Entries
 are banded; documents that agree in a band are candidates, and links are
 confirmed on the full sets.
 
-No band bucket is ever multiplied out.  Each bucket has one pivot, the member
+No band bucket is ever multiplied out.  Each bucket has a pivot, the member
 that shares most buckets with others (the original, among edited copies), and
 every member is compared with it.  Two members that link with their pivot are
 joined through it.  For a member x that does not, write r for what it lacks of
@@ -18,12 +18,19 @@ for a threshold num/den, and the right side is positive.  Differences that no
 other member has cannot be shared, which rules out nearly all such members by
 counting; the rest meet in an equi-join on the rarest of the differences, of which
 they have to share one, and are then counted exactly.
+
+Members less than half similar to their pivot have too many differences for
+that.  They, and those members near it that may link with one of them, go on
+with a pivot of their own in each bucket, round after round while the rounds
+at least halve what is left.  What then remains meets in an equi-join on the
+rarest shingles of the whole sets.  No member is dropped in between.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -126,7 +133,23 @@ def _links(rows: DataFrame, linkable: DataFrame, similarity: Similarity, scratch
     first = linkable.groupBy("set_id").agg(F.min(F.struct("doc_id", "bands")).alias("f"))
     banded = first.select(F.col("f.doc_id").alias("node"), "set_id", F.explode("f.bands").alias("band"))
     shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    buckets = scratch.write(banded.join(shared, "band"))
+    texts = rows.where("text IS NOT NULL")
+    buckets, found = scratch.write(banded.join(shared, "band")), []
+    while True:
+        links, left = _round(buckets, texts, similarity, scratch)
+        before, after = buckets.count(), left.count()
+        scratch.drop(buckets)
+        buckets = left
+        found.append(links)
+        if 2 * after > before or not after:
+            break
+    if after:
+        found.append(_on_rarest(buckets, texts, similarity, scratch))
+    return reduce(DataFrame.unionByName, found)
+
+
+def _round(buckets: DataFrame, texts: DataFrame, similarity: Similarity, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Links through and beside one pivot a bucket, and the buckets of those that may have others."""
     weight = buckets.groupBy("node", "set_id").agg(F.sum("members").alias("weight"))
     pivots = (
         buckets.join(weight, ["node", "set_id"])
@@ -134,28 +157,72 @@ def _links(rows: DataFrame, linkable: DataFrame, similarity: Similarity, scratch
         .agg(F.max(F.struct("weight", (-F.col("node")).alias("n"), "set_id")).alias("p"))
         .select("band", (-F.col("p.n")).alias("pivot"), F.col("p.set_id").alias("pivot_set"))
     )
-    pairs = buckets.join(pivots, "band").where("set_id <> pivot_set").select("node", "set_id", "pivot", "pivot_set").distinct()
-    texts = rows.where("text IS NOT NULL")
-    compared = (
+    dealt = buckets.join(pivots, "band").where("set_id <> pivot_set").select("band", "node", "set_id", "pivot", "pivot_set")
+    pairs = dealt.select("node", "set_id", "pivot", "pivot_set").distinct()
+    seen = scratch.write(_compared(_with_texts(pairs, texts), similarity))
+    through = seen.where("linked").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+    links = through.unionByName(_beside_pivots(seen.where("near"), similarity, scratch))
+    going = seen.where("open").select("node", "set_id", "pivot", "pivot_set", "near").distinct()
+    going = scratch.write(dealt.join(going, ["node", "set_id", "pivot", "pivot_set"]).select("band", "node", "set_id", "near"))
+    sizes = going.groupBy("band").agg(F.count(F.lit(1)).alias("members"), F.every("near").alias("all_near"))
+    left = scratch.write(going.drop("near").join(sizes.where("members > 1 AND NOT all_near").drop("all_near"), "band"))
+    scratch.drop(going)
+    return links, left
+
+
+def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    return (
         pairs.join(texts.withColumnRenamed("doc_id", "node"), "node")
         .join(texts.toDF("pivot", "pivot_text"), "pivot")
         .select("node", "set_id", "text", "pivot", "pivot_set", "pivot_text")
     )
-    seen = scratch.write(_compared(compared, similarity))
-    scratch.drop(buckets)
-    through = seen.where("linked").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
-    return through.unionByName(_beside_pivots(seen, similarity, scratch))
 
 
-_SEEN = "node long, pivot long, set_id binary, pivot_set binary, linked boolean, size long, added long, lost long, differences array<long>"
+def _on_rarest(buckets: DataFrame, texts: DataFrame, similarity: Similarity, scratch: Scratch) -> DataFrame:
+    """All links between the members of ``buckets``, compared if they share one of their rarest shingles."""
+    words, num, den = similarity.words, similarity.num, similarity.den
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, own, text in zip(*(batch.column(c) for c in range(3))):
+                hashes = shingle_set(text.as_py(), words)
+                if set_id(hashes) != own.as_py():
+                    continue  # another row that repeats the id
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([node.as_py()], pa.int64()), pa.array([own.as_py()], pa.binary()),
+                     pa.array([len(hashes)], pa.int64()), pa.array([hashes.astype(np.int64)], pa.list_(pa.int64()))],
+                    names=["node", "set_id", "size", "elements"],
+                )
+
+    members = buckets.select("node", "set_id").distinct().join(texts.withColumnRenamed("doc_id", "node"), "node")
+    sets = members.select("node", "set_id", "text").mapInArrow(run, "node long, set_id binary, size long, elements array<long>")
+    elements = scratch.write(sets.dropDuplicates(["set_id"]).select("node", "set_id", "size", F.explode("elements").alias("e")))
+    common = elements.groupBy("e").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    own = Window.partitionBy("set_id")
+    kept = elements.join(common, "e").withColumn("shareable", F.count(F.lit(1)).over(own))
+    # a link shares at least this many shingles, so one of the rarest that stay when all but one of them are set aside
+    least = F.ceil(F.col("size") * num / den)
+    first = kept.withColumn("at", F.row_number().over(own.orderBy("n", "e"))).where(F.col("at") <= F.col("shareable") - least + 1)
+    first = scratch.write(first.select("e", "node", "set_id", "size"))
+    scratch.drop(elements)
+    x = first.toDF("e", "node", "set_id", "size")
+    y = first.toDF("e", "pivot", "pivot_set", "other")
+    alike = F.least("size", "other") * den >= F.greatest("size", "other") * num
+    met = x.join(y, "e").where(alike & (F.col("set_id") < F.col("pivot_set"))).select("node", "set_id", "pivot", "pivot_set").distinct()
+    seen = _compared(_with_texts(met, texts), similarity)
+    return scratch.write(seen.where("linked").select(F.col("node").alias("a"), F.col("pivot").alias("b")))
+
+
+_SEEN = "node long, pivot long, set_id binary, pivot_set binary, linked boolean, near boolean, open boolean, size long, added long, lost long, differences array<long>"
 
 
 def _compared(pairs: DataFrame, similarity: Similarity) -> DataFrame:
     """Exact comparisons of members with pivots.
 
-    Pairs below half similar are left out: two texts that link would have to
-    meet only in buckets whose pivot is that far from both, which is far less
-    likely than that they never meet.
+    Pairs at least half similar are ``near`` and carry their differences.
+    What is not near is ``open``, and so is a member that may link with such
+    a one: Jaccard distance is a metric, so its similarity is below 1.5 less
+    the threshold.
     """
     words, num, den = similarity.words, similarity.num, similarity.den
 
@@ -173,12 +240,12 @@ def _compared(pairs: DataFrame, similarity: Similarity) -> DataFrame:
                     continue  # another row that repeats the id
                 common = len(np.intersect1d(hashes, pivot_hashes, assume_unique=True))
                 united = len(hashes) + len(pivot_hashes) - common
-                if 2 * common < united:
-                    continue
-                differ = np.setxor1d(hashes, pivot_hashes, assume_unique=True).astype(np.int64)
-                out.append((node, at, own, other, den * common >= num * united, len(pivot_hashes),
+                near = 2 * common >= united
+                differ = np.setxor1d(hashes, pivot_hashes, assume_unique=True).astype(np.int64) if near else []
+                out.append((node, at, own, other, den * common >= num * united, near,
+                            not near or 2 * den * common < (3 * den - 2 * num) * united, len(pivot_hashes),
                             len(hashes) - common, len(pivot_hashes) - common, differ))
-            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.bool_(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
             names = [f.split()[0] for f in _SEEN.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], names=names)
 

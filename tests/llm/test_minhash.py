@@ -2,8 +2,10 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from hushscan.llm import minhash, shingles
+from hushscan.llm.common import Scratch, components
 
 SCHEMA = "doc_id long, text string, node string, set_id int, pivot long"
 
@@ -91,3 +93,27 @@ def test_both_ends_of_a_permutation_estimate_similarity():
     b = shingles.shingle_set(" ".join(f"x{i}" for i in range(100, 500)), 1)
     for one, other in zip(minhash.signature(a, multipliers, offsets), minhash.signature(b, multipliers, offsets)):
         assert abs((one == other).mean() - 0.6) < 0.06
+
+
+@pytest.mark.parametrize("words, num", [(1, 85), (3, 80)])
+def test_excerpts_in_a_bucket_of_edited_copies(spark, words, num):
+    """All documents share one bucket, whose pivot is far from some members that link with each other."""
+    draw = random.Random(num)
+    base = [f"b{i}" for i in range(200)]
+    texts = [base] + [edited(draw, base, draw.randint(0, 6), ["x", "y"]) for _ in range(40)]
+    for share in (30, 46, 52, 60):  # less than half of the pivot, and just more
+        texts += [base[: 2 * share], base[: 2 * share - 10], base[-2 * share :], base[10 - 2 * share :]]
+    for group in range(6):  # families beside it, and documents with a common start only
+        other = [f"g{group}w{i}" for i in range(100)]
+        texts += [other] + [edited(draw, other, 3, ["x", "y"]) for _ in range(group)]
+        texts += [base[:30] + [f"d{group}u{i}" for i in range(50)]]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    similarity = minhash.Similarity(words=words, num=num)
+    signed = minhash._signed(df, similarity).withColumn("bands", F.array(F.lit(1).cast("long")))
+    scratch = Scratch(spark)
+    labels = components(minhash._links(df, signed, similarity, scratch), scratch).collect()
+    found, sets = {r.node: r.component for r in labels}, sorted((r.doc_id, bytes(r.set_id)) for r in signed.collect())
+    first = {s: i for i, s in reversed(sets)}  # equal sets are one node
+    got = {i: found.get(first[s], first[s]) for i, s in sets}
+    assert got == {i: c for i, (_, c) in brute(rows, words, num).items()}
