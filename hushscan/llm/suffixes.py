@@ -126,9 +126,9 @@ def _sparse(rows: DataFrame, depth: Depth) -> DataFrame:
                     continue
                 shape = ((anchor - first) << 10 | (last - first)).tolist()
                 ends = (last + depth.threshold).tolist()
-                spanned = [xxhash.xxh3_64_intdigest(data[a:b], s) & 0xFFFFFFFFFF for a, b, s in zip(first.tolist(), ends, shape)]
+                spanned = [xxhash.xxh3_64_intdigest(data[a:b], s) for a, b, s in zip(first.tolist(), ends, shape)]
                 place = packed(first, last, anchor, tag_of(data))
-                parts.append((hashed.view(np.int64), np.array(spanned, np.int64), np.full(len(first), doc), place))
+                parts.append((hashed.view(np.int64), np.array(spanned, np.uint64).view(np.int64), np.full(len(first), doc), place))
                 held += len(first)
                 if held >= 100_000:
                     yield _columns(parts)

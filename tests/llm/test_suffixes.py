@@ -84,3 +84,10 @@ def test_rows_that_repeat_an_id(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert suffixes.duplicate_bytes(df).collect() == [] and suffixes.remove_repeats(df).collect() == []
+
+
+def test_runs_of_the_first_pass_are_told_apart_by_64_bits(spark):
+    draw = random.Random(6)
+    rows = [(i, "".join(draw.choice("abcdefgh") for _ in range(400))) for i in range(40)]
+    spanned = [r.spanned for r in suffixes._sparse(spark.createDataFrame(rows, "doc long, text string"), suffixes.Depth(100)).collect()]
+    assert len(spanned) > 200 and len({s >> 40 for s in spanned}) > 0.9 * len(spanned)
