@@ -29,7 +29,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from hushscan.llm.common import Scratch
 
@@ -39,9 +39,11 @@ _PLACE = np.uint64((1 << 24) - 1)
 _TABLE = np.random.default_rng(11).integers(0, 1 << 63, 256, np.uint64)
 _STEP = 0x9E3779B97F4A7C15
 _LAST_ID = (1 << 63) - 1
-#: a place packs the first window of a run, how many more it has, how far
-#: after the first window its anchor lies, and a tag of the text
-_MORE, _OFFSET, _TAG = 25, 18, (1 << 18) - 1
+#: a text is known by its id and, if the id is null or on several rows, a digest
+_KEY = ["doc", "text_id"]
+#: a place packs the first window of a run, how many more it has, and how far
+#: after the first window its anchor lies
+_MORE, _OFFSET = 25, 18
 _MOST = 127
 #: windows a run has in the passes after the first
 _RUNS = (8, 1)
@@ -100,26 +102,21 @@ def segments(data: np.ndarray, depth: Depth) -> tuple[np.ndarray, np.ndarray, np
     return tuple(np.concatenate(parts) for parts in zip(*found))
 
 
-def tag_of(data: bytes) -> int:
-    """A few bits that tell apart texts of rows that repeat an id."""
-    return xxhash.xxh3_64_intdigest(data) & _TAG
+def packed(first: np.ndarray, last: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+    return first << 32 | (last - first) << _MORE | (anchor - first) << _OFFSET
 
 
-def packed(first: np.ndarray, last: np.ndarray, anchor: np.ndarray, tag: int) -> np.ndarray:
-    return first << 32 | (last - first) << _MORE | (anchor - first) << _OFFSET | tag
-
-
-_RUN_ROWS = pa.schema([("shared", pa.int64()), ("spanned", pa.int64()), ("doc", pa.int64()), ("place", pa.int64())])
-_RUN_DDL = "shared long, spanned long, doc long, place long"
+_RUN_ROWS = pa.schema([("shared", pa.int64()), ("spanned", pa.int64()), ("doc", pa.int64()), ("text_id", pa.binary()), ("place", pa.int64())])
+_RUN_DDL = "shared long, spanned long, doc long, text_id binary, place long"
 
 
 def _sparse(rows: DataFrame, depth: Depth) -> DataFrame:
-    """Runs of windows with one anchor, as (shared, spanned, doc, place)."""
+    """Runs of windows with one anchor, as (shared, spanned, doc, text_id, place)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts, held = [], 0
-            for doc, text in zip(batch.column("doc").to_pylist(), batch.column("text")):
+            for doc, text_id, text in zip(*(batch.column(c).to_pylist() if c in _KEY else batch.column(c) for c in (*_KEY, "text"))):
                 data = (text.as_py() or "").encode("utf-8")
                 first, last, anchor, hashed = segments(np.frombuffer(data, np.uint8), depth)
                 if not len(first):
@@ -127,8 +124,8 @@ def _sparse(rows: DataFrame, depth: Depth) -> DataFrame:
                 shape = ((anchor - first) << 10 | (last - first)).tolist()
                 ends = (last + depth.threshold).tolist()
                 spanned = [xxhash.xxh3_64_intdigest(data[a:b], s) for a, b, s in zip(first.tolist(), ends, shape)]
-                place = packed(first, last, anchor, tag_of(data))
-                parts.append((hashed.view(np.int64), np.array(spanned, np.uint64).view(np.int64), np.full(len(first), doc), place))
+                place, text_ids = packed(first, last, anchor), np.repeat(np.array([text_id], object), len(first))
+                parts.append((hashed.view(np.int64), np.array(spanned, np.uint64).view(np.int64), np.full(len(first), doc), text_ids, place))
                 held += len(first)
                 if held >= 100_000:
                     yield _columns(parts)
@@ -140,7 +137,7 @@ def _sparse(rows: DataFrame, depth: Depth) -> DataFrame:
 
 
 def _columns(parts: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], schema=_RUN_ROWS)
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), f.type) for c, f in zip(zip(*parts), _RUN_ROWS)], schema=_RUN_ROWS)
 
 
 def _split(texts: DataFrame, depth: Depth, most: int) -> DataFrame:
@@ -153,12 +150,9 @@ def _split(texts: DataFrame, depth: Depth, most: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size, digest = depth.threshold, xxhash.xxh3_64_intdigest
         for batch in batches:
-            for doc, text, places in zip(*(batch.column(c) for c in ("doc", "text", "places"))):
+            for doc, text_id, text, places in zip(*(batch.column(c) for c in (*_KEY, "text", "places"))):
                 data, shared, spanned, out = (text.as_py() or "").encode("utf-8"), [], [], []
-                tag = tag_of(data)
                 for place in places.as_py():
-                    if place & _TAG != tag:
-                        continue
                     offset = place >> _OFFSET & _MOST
                     anchor = (place >> 32) + offset
                     least = offset - (place >> _MORE & _MOST)
@@ -169,12 +163,12 @@ def _split(texts: DataFrame, depth: Depth, most: int) -> DataFrame:
                         first = anchor - high
                         shared.append(digest(common, step << 1))
                         spanned.append(digest(data[first : anchor - least + size], high << 8 | least | 1 << 20))
-                        out.append(first << 32 | (high - least) << _MORE | high << _OFFSET | tag)
+                        out.append(first << 32 | (high - least) << _MORE | high << _OFFSET)
                         least = high + 1
                 if out:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.array(shared, np.uint64).view(np.int64)), pa.array(np.array(spanned, np.uint64).view(np.int64)),
-                         pa.array(np.full(len(out), doc.as_py())), pa.array(np.array(out, np.int64))],
+                         pa.array(np.full(len(out), doc.as_py())), pa.array([text_id.as_py()] * len(out), pa.binary()), pa.array(np.array(out, np.int64))],
                         schema=_RUN_ROWS,
                     )
 
@@ -191,27 +185,30 @@ def _in_groups(runs: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def _settle(runs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(repeats, first runs of groups with several kinds), both (doc, place)."""
-    kinds = runs.groupBy("shared", "spanned").agg(F.min(F.struct("doc", "place")).alias("first"), F.count(F.lit(1)).alias("n"))
+    """(repeats, first runs of groups with several kinds), both (doc, text_id, place)."""
+    kinds = runs.groupBy("shared", "spanned").agg(F.min(F.struct(*_KEY, "place")).alias("first"), F.count(F.lit(1)).alias("n"))
     kinds = scratch.write(kinds, settle=True)
-    later = runs.join(kinds.where("n > 1"), ["shared", "spanned"]).where("struct(doc, place) <> first").select("doc", "place")
+    later = runs.join(kinds.where("n > 1"), ["shared", "spanned"]).where("struct(doc, text_id, place) <> first").select(*_KEY, "place")
     later = scratch.write(later, settle=True)
     # written, so that the join after it can split a group of very many kinds
     mixed = scratch.write(kinds.groupBy("shared").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("shared"))
-    heads = scratch.write(kinds.join(mixed, "shared").select("first.doc", "first.place"), settle=True)
+    heads = scratch.write(kinds.join(mixed, "shared").select("first.doc", "first.text_id", "first.place"), settle=True)
     scratch.drop(mixed)
     scratch.drop(kinds)
     return later, heads
 
 
 def repeats(rows: DataFrame, depth: Depth, scratch: Scratch) -> DataFrame:
-    """Runs of repeated windows (doc, place) of rows (doc, text): all but each string's first place."""
+    """Runs of repeated windows (doc, text_id, place) of rows (doc, text_id, text): all but each string's first place.
+
+    Rows with one key hold one text, and list its places only once.
+    """
     runs = _in_groups(_sparse(rows, depth), scratch)
     found, heads = _settle(runs, scratch)
     scratch.drop(runs)
     for most in _RUNS:
-        listed = heads.groupBy("doc").agg(F.collect_list("place").alias("places"))
-        split = scratch.write(_split(rows.join(listed, "doc"), depth, most), settle=True)
+        listed = heads.groupBy(*_KEY).agg(F.collect_set("place").alias("places"))
+        split = scratch.write(_split(rows.join(listed, _KEY), depth, most), settle=True)
         scratch.drop(heads)
         runs = _in_groups(split, scratch)
         scratch.drop(split)
@@ -225,8 +222,7 @@ def covered(data: bytes, places: list[int] | None, depth: Depth) -> np.ndarray:
     """Which bytes the runs of windows cover."""
     edges = np.zeros(len(data) + 1, np.int64)
     if places:
-        tag = tag_of(data)
-        runs = np.array([p for p in places if p & _TAG == tag], np.int64)
+        runs = np.array(places, np.int64)
         first = runs >> 32
         np.add.at(edges, first, 1)
         np.add.at(edges, first + (runs >> _MORE & _MOST) + depth.threshold, -1)
@@ -236,11 +232,27 @@ def covered(data: bytes, places: list[int] | None, depth: Depth) -> np.ndarray:
 def _with_places(docs: DataFrame, depth: Depth, doc_id: str, text: str) -> DataFrame:
     """``docs`` under plain names c0, c1, ... with the list of repeated runs of each row."""
     scratch = Scratch(docs.sparkSession)
-    key = F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST_ID))
-    found = repeats(docs.select(key.alias("doc"), F.col(text).alias("text")), depth, scratch)
-    listed = found.groupBy("doc").agg(F.collect_list("place").alias("places"))
-    plain = docs.withColumn("__key", key).toDF(*[f"c{i}" for i in range(len(docs.columns))], "doc")
-    return plain.join(listed, "doc", "left").drop("doc")
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    said = F.col(f"c{docs.columns.index(text)}")
+    keyed = _keyed(plain, F.col(f"c{docs.columns.index(doc_id)}").cast("long"), said, scratch)
+    found = repeats(keyed.select(*_KEY, said.alias("text")), depth, scratch)
+    listed = found.groupBy(*_KEY).agg(F.collect_set("place").alias("places"))
+    return keyed.join(listed, _KEY, "left").drop(*_KEY)
+
+
+def _keyed(plain: DataFrame, doc: Column, said: Column, scratch: Scratch) -> DataFrame:
+    """``plain`` with a key that is the same for equal ids and texts only.
+
+    The digest is empty where an id stands on one row.  Null ids come last, so
+    their digests follow a byte that sorts behind that of other rows.
+    """
+    ids = plain.select(doc.alias("again")).where("again IS NOT NULL")
+    again = scratch.write(ids.groupBy("again").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("again"))
+    digest = F.unhex(F.sha2(F.coalesce(said, F.lit("")), 256))
+    text_id = F.when(F.col("doc").isNull(), F.concat(F.expr("X'01'"), digest))
+    text_id = text_id.when(F.col("again").isNotNull(), F.concat(F.expr("X'00'"), digest)).otherwise(F.expr("X''"))
+    told = plain.withColumn("doc", doc).join(again, F.col("doc") == F.col("again"), "left")
+    return told.withColumn("text_id", text_id).withColumn("doc", F.coalesce("doc", F.lit(_LAST_ID))).drop("again")
 
 
 def duplicate_bytes(docs: DataFrame, depth: Depth = Depth(), *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -88,6 +88,23 @@ def test_empty_table(spark):
 
 def test_runs_of_the_first_pass_are_told_apart_by_64_bits(spark):
     draw = random.Random(6)
-    rows = [(i, "".join(draw.choice("abcdefgh") for _ in range(400))) for i in range(40)]
-    spanned = [r.spanned for r in suffixes._sparse(spark.createDataFrame(rows, "doc long, text string"), suffixes.Depth(100)).collect()]
+    rows = [(i, bytearray(), "".join(draw.choice("abcdefgh") for _ in range(400))) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc long, text_id binary, text string")
+    spanned = [r.spanned for r in suffixes._sparse(df, suffixes.Depth(100)).collect()]
     assert len(spanned) > 200 and len({s >> 40 for s in spanned}) > 0.9 * len(spanned)
+
+
+def test_many_texts_of_null_and_repeated_ids(spark):
+    draw = random.Random(8)
+    text = lambda n: "".join(draw.choice("abcdefgh") for _ in range(n))
+    shared = [text(60) for _ in range(20)]
+    texts = [text(draw.randint(1, 90)) + draw.choice(shared) + text(draw.randint(0, 90)) for _ in range(3000)]
+    rows = [((1 << 63) - 1, texts[0])] + [(None if i % 3 else 5, t) for i, t in enumerate(texts + texts[:200])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = suffixes.duplicate_bytes(df, suffixes.Depth(40)).collect()
+    # one document of each id and text, in the order of the ids, then of the digests, null ids last
+    order = sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0, hashlib.sha256(r[1].encode()).digest()))
+    place = {row: i for i, row in enumerate(order)}
+    want = brute([(i, t) for i, (_, t) in enumerate(order)], 40)
+    said = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got)
+    assert said == sorted((str(r[0]), *want[place[r]]) for r in rows)
