@@ -6,17 +6,23 @@ import re
 from dataclasses import dataclass, field
 from html import unescape
 
-_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*"|'[^']*')*+)>""")
+#: a quote delimits a value only right after the equals sign, and only if it is closed
+_TAG = re.compile(
+    r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|(?!["'])[^\s>]*+))?+)*+)>"""
+)
+_TO_NEXT = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 _OTHER = re.compile(r"<!--.*?(?:-->|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)|\s(hidden)(?=[\s/>]|$)""")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 #: HTML elements by how they take part in the text (fixed by the HTML standard)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("script style title template iframe textarea noembed noframes xmp svg math object".split())
+UNSEEN = frozenset("script style title template iframe textarea noembed noframes xmp svg".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small "
-    "span strike strong sub sup time tt u var".split()
+    "span strike strong sub sup time tt u var object math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover "
+    "mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover "
+    "semantics annotation annotation-xml".split()
 )
 #: elements that end an open element of the same group
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
@@ -107,11 +113,12 @@ def read_blocks(html: str | None) -> list[Block]:
     """Leaf blocks of a page in order; scripts, styles, comments and the title are no text.
 
     A tag that the page's end cuts off, and an unseen element that is never
-    closed, end the text.
+    closed, end the text, but an svg element that is never closed does not.  A
+    tag that has no end because of its quotes ends at the next ``>``.
     """
     if not html:
         return []
-    reader, at, lowered = _Reader(), 0, None
+    reader, at, lowered, unclosed = _Reader(), 0, None, False
     while True:
         start = html.find("<", at)
         if start < 0:
@@ -129,7 +136,7 @@ def read_blocks(html: str | None) -> list[Block]:
             else:
                 at = other.end()
             continue
-        tag = _TAG.match(html, start)
+        tag = _TAG.match(html, start) or _TO_NEXT.match(html, start)
         if tag is None:
             break
         at = tag.end()
@@ -144,11 +151,14 @@ def read_blocks(html: str | None) -> list[Block]:
         elif name in VOID:
             continue
         elif name in UNSEEN:
-            if closing or attributes.endswith("/"):
+            if closing or attributes.endswith("/") or name == "svg" and unclosed:
                 continue
             if lowered is None:
                 lowered = html.lower() if len(html.lower()) == len(html) else _ascii_lower(html)
             end = lowered.find(f"</{name}", at)
+            if end < 0 and name == "svg":
+                unclosed = True
+                continue
             if end < 0:
                 break
             end = html.find(">", end)

@@ -25,6 +25,19 @@ def test_blocks():
     assert texts(None) == texts("") == texts(" \n ") == []
 
 
+def test_blocks_behind_stray_quotes_and_unclosed_elements():
+    assert texts('<p class="a"">Hello</p><p>More</p>') == ["Hello", "More"]
+    assert texts('<img alt=5" wide>Text') == ["Text"]
+    assert texts("<p title=it's>Hello</p><p>It's more</p>") == ["Hello", "It's more"]
+    assert texts('<p title="a>b</p><p>c</p>') == ["b", "c"]
+    assert texts('<p title="a>b</p><p>c "d') == ["b", 'c "d']
+    assert texts("<a href=x='>in</a> <p a = '>' / b=>out</p>") == ["in", "out"]
+    assert texts("<p>a</p><svg><path d='m'><p>b</p><svg><p>c</p>") == ["a", "b", "c"]
+    assert texts("<p>a <math><mi>x</mi><mo>=</mo><mn>2</mn></math> b</p><object data='f'><p>c</p></object>d") == ["a x=2 b", "c", "d"]
+    assert texts("<p>a</p><math><p>b</p>") == texts("<p>a</p><object><p>b</p>") == ["a", "b"]
+    assert texts("<p>a<svg><text>no</text></svg>b</p>") == ["ab"]
+
+
 def test_paths_and_links():
     block = read_blocks('<article id="mainText"><div class="x adBox"><a>li nk</a></div></article>')[0]
     assert {"article", ".main", ".text", "div", ".x", ".ad", ".box"} == set(block.path) and block.linked == 1
