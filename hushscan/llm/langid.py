@@ -22,6 +22,14 @@ LETTERS = r"\p{L}+"
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
+def words_of(text: str) -> list[str]:
+    """Runs of letters in lower case; number signs, which the pattern takes too, part them."""
+    found = _WORDS.findall(text.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return [part for w in found for part in "".join(c if c.isalpha() else " " for c in w).split()]
+
+
 @dataclass(frozen=True)
 class Training:
     """Bounds of the model; none of them depends on the number of documents."""
@@ -75,7 +83,7 @@ class Model:
         return np.full(len(self.languages), self.options.penalty, np.float32)
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        words = _WORDS.findall(text.lower()) if text else []
+        words = words_of(text) if text else []
         if not words or not self.languages:
             return UNKNOWN, 0.0
         row, known = self.row, self.known

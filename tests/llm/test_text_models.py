@@ -174,3 +174,10 @@ def test_backoff_takes_the_longest_known_grams(spark):
     long = model.cost("abcdq")  # of its grams of five only " abcd" is known
     assert long[0] == model.costs[model.ngrams[4][" abcd"]][0] and long[1] == 7.0
     assert model.cost("ÿ").tolist() == model.costs[[model.ngrams[0][" "]] * 2].mean(axis=0).tolist()
+
+
+def test_number_signs_are_no_letters():
+    model = langid.Model(["de", "en"], {}, [{} for _ in range(5)], np.zeros((0, 2), np.float32), langid.Training())
+    for text in ("\u00bd \u00bd", "\u00b2", "\u2460\u2461", "\u2167", "12 _ \u0663"):
+        assert model.predict(text) == (langid.UNKNOWN, 0.0)
+    assert langid.words_of("Ab\u00bdc d\u2167 \u4e00\u00b2\u00e9") == ["ab", "c", "d", "\u4e00", "\u00e9"]
