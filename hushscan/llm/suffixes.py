@@ -1,15 +1,15 @@
-"""Exact substring dedup by a depth-limited radix sort of suffixes.
+"""Substring dedup by grouping windows at minimiser anchors by hashes.
 
-Suffixes are ordered only through the threshold, digit by digit from the most
-significant one, and a suffix whose group has no other member is dropped after
-each pass; what is equal after the last pass are exactly the repeated windows.
+A radix sort of suffixes, from the most significant digit to the threshold,
+would find the repeated windows but shuffle many times the text (some 26 bytes
+a byte).  No suffix is ordered here and no digit refined; equal windows meet by
+hash instead.
 
-Sorting every suffix would shuffle many times the text, so the passes run over
-sparse suffixes: each window of ``threshold`` bytes is represented by the one
-of its short byte strings (of ``digit`` bytes) with the least hash, leftmost
-first.  That choice depends on the window's bytes alone, so equal windows have
+The passes run over anchors: each window of ``threshold`` bytes is represented
+by the one of its short byte strings (of ``digit`` bytes) with the least hash,
+leftmost first.  That choice depends on the window's bytes alone, so equal windows have
 their anchor at the same place, and neighbouring windows share anchors: about
-one byte in forty is one.
+one byte in forty is one.  Equality is that of 64-bit hashes.
 
 Each pass groups runs of neighbouring windows by a string that all windows of
 a run contain, drops groups of one, and splits a group into kinds by all the
