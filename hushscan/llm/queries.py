@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hushscan.llm import chat, extraction, gridjoin, langid, minhash, mixing, neighbours, packing, pieces, suffixes
+from hushscan.llm import chat, extraction, gridjoin, langid, minhash, mixing, neighbours, packing, periodic, pieces, simhash, suffixes, whitening
 from hushscan.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -180,3 +180,22 @@ def op2_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_extract_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return extraction.main_text(pages, extraction.fit(pages))
+
+@query
+def op11_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all texts and of their edited texts, and the documents within 3 of 128 bits."""
+    return simhash.documents_near(table(spark, sf_dir, "documents"), simhash.Near(radius=3, blocks=4))
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of four periods and six words or more in every text, a tenth of which is looped first."""
+    docs = periodic.looped(table(spark, sf_dir, "documents"))
+    return periodic.digests(periodic.periodic_runs(docs, periodic.Repetition(times=4, least=6)))
+
+
+@query
+def op13_whiten_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector along the eight leading components."""
+    rows = whitening.whitened_components(table(spark, sf_dir, "embeddings"), whitening.Filter(components=8))
+    return rows.withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))
