@@ -21,7 +21,7 @@ def fixture(n=260, dim=12, seed=4):
     rows += [(2000 + i, [float(np.float32(x * 3)) for x in rows[i][1]], 0, "c", 1) for i in range(5)]
     rows += [(3000, None, 0, "c", 1), (3050, [0.0] * dim, 0, "c", 1), (3100, [float("nan")] + [1.0] * (dim - 1), 0, "c", 1),
              (3150, [None] + [1.0] * (dim - 1), 0, "c", 1), (3200, [], 0, "c", 1), (3250, [float("inf")] * dim, 0, "c", 1),
-             (3300, [1.0, 2.0], 0, "c", 1), (3350, [1.0, 2.1], 0, "c", 1), (None, rows[0][1], 0, "c", 1), (7, rows[7][1], 0, "c", 1)]
+             (3300, [1.0, 2.0], 0, "c", 1), (3350, [1.0, float(np.float32(2.1))], 0, "c", 1), (None, rows[0][1], 0, "c", 1), (7, rows[7][1], 0, "c", 1)]
     return rows
 
 
