@@ -9,7 +9,6 @@ the fullest is taken; a segment tree over the room left finds it.
 from __future__ import annotations
 
 import base64
-import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -19,13 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from hushscan.llm.common import Memo
-
 #: the tokenizer file is a parameter; this is where the box has one
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-#: a single space between two words is always a token boundary
-_GAP = re.compile(r"(?<=\S) (?=\S)")
-_MEMO_LENGTH = 48
 PACKED = (
     "shard int, buffer int, row int, n_tokens int, ids binary, position_ids binary, cu_seqlens array<int>, "
     "doc_ids array<bigint>, doc_starts array<int>"
@@ -48,27 +42,15 @@ class Layout:
 
 
 class Tokeniser:
-    """A rank-file tokenizer whose single words are looked up in a bounded memo."""
+    """A rank-file tokenizer; whole texts go through it in one call."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import tiktoken
 
         self.coding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.kind = np.uint32
-        self.memo = Memo(self.word)
-
-    def word(self, word: str) -> bytes:
-        return np.array(self.coding.encode_ordinary(" " + word), self.kind).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
-        first, *words = _GAP.split(text)
-        look = self.memo.__getitem__
-        parts = [np.array(self.coding.encode_ordinary(first), self.kind).tobytes()]
-        if words and max(map(len, words)) > _MEMO_LENGTH:
-            parts += [look(w) if len(w) <= _MEMO_LENGTH else self.word(w) for w in words]
-        else:
-            parts += map(look, words)
-        return np.frombuffer(b"".join(parts), self.kind)
+        return self.coding.encode_to_numpy(text, disallowed_special=())
 
 
 class Room:

@@ -34,6 +34,7 @@ _LITERAL = "\ud800"
 _WORDS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 _MEMO_LENGTH = 48
 _NEVER = float("-inf")
+_NOTHING: dict = {}
 
 
 class Vocabulary:
@@ -44,11 +45,10 @@ class Vocabulary:
         special = set(special) | set(byte_ids)
         self.ids = {p: i for i, p in enumerate(pieces) if i not in special and p}
         self.scores = list(scores)
-        #: every beginning of a piece, with the piece's id if it is one itself, else -1
-        self.starts = {p[:n]: -1 for p in self.ids for n in range(1, len(p))}
         # a piece that merging its own characters does not give is never an output
         merged = {p: self.merge(p) for p in self.ids} if merges else {}
-        self.starts |= {p: i for p, i in self.ids.items() if not merges or merged[p][0] == [p]}
+        #: the pieces by their characters: char -> (id of the piece that ends here or -1, what may follow)
+        self.tree = self.grown({p: i if not merges or merged[p][0] == [p] else -1 for p, i in self.ids.items()})
         self.halves = {p: last for p, (parts, last) in merged.items() if parts == [p] and last}
         self.pairs = Memo(self.stay_apart, 1_000_000)
         self.longest = max(map(len, self.ids), default=1)
@@ -79,6 +79,19 @@ class Vocabulary:
         scores = [model.get_score(i) for i in ids]
         return cls(pieces, scores, special, byte_ids, model.unk_id(), spec.model_type == spec.BPE)
 
+    @staticmethod
+    def grown(pieces: dict[str, int]) -> dict:
+        tree: dict = {}
+        for text in sorted(pieces):  # a beginning comes before what goes on from it
+            node = tree
+            for char in text[:-1]:
+                piece, below = node.setdefault(char, (-1, _NOTHING))
+                if below is _NOTHING:
+                    node[char] = piece, (below := {})
+                node = below
+            node[text[-1]] = pieces[text], node.get(text[-1], (-1, _NOTHING))[1]
+        return tree
+
     def merge(self, text: str) -> tuple[list[str], tuple[str, str] | None]:
         """Pieces of a short text by merging the best-scored neighbours, leftmost first, and the last merge."""
         parts, ids, scores, last = list(text), self.ids, self.scores, None
@@ -128,21 +141,24 @@ class Vocabulary:
         ``origin`` and ``by`` say where the best path's last piece begins and
         which piece it is (-1: a character that no piece is).
         """
-        starts, scores, size, merges, pairs, many = self.starts, self.scores, len(window), self.merges, self.pairs, len(self.pieces)
+        scores, merges, pairs, many = self.scores, self.merges, self.pairs, len(self.pieces)
         for start in range(first, last):
-            here, before = best[start], by[start]
-            for end in range(start + 1, size + 1):
-                piece = starts.get(window[start:end])
-                if piece is None:
+            here, before, end, next_chars = best[start], by[start], start, self.tree
+            behind = before * many
+            for char in window[start : start + self.longest]:
+                found = next_chars.get(char)
+                if found is None:
                     break
+                end += 1
+                piece, next_chars = found
                 if piece < 0:
                     continue
                 if merges:
-                    if by[end] is None and (before < 0 or pairs[before * many + piece]):
+                    if by[end] is None and (before < 0 or pairs[behind + piece]):
                         origin[end], by[end] = start, piece
                 elif here + scores[piece] > best[end]:
                     best[end], origin[end], by[end] = here + scores[piece], start, piece
-            if by[start + 1] is None and window[start] not in starts:
+            if by[start + 1] is None and window[start] not in self.tree:
                 best[start + 1], origin[start + 1], by[start + 1] = here + self.floor, start, -1
 
     def trace(self, window: str, origin: list, by: list, upto: int) -> list[int]:
@@ -188,28 +204,42 @@ class Vocabulary:
             self.relax(window, best, origin, by, relaxed, len(window))
             yield self.trace(window, origin, by, len(window))
 
-    def word(self, word: str) -> bytes:
-        """Ids of a text that fits the memory, packed."""
+    def word(self, word: str) -> tuple[bytes, bool]:
+        """Packed ids of a text that fits the memory, and whether they decode to it."""
         size = len(word)
         if size > _MEMO_LENGTH:
             parts = (word[i : i + 256] for i in range(0, size, 256))
-            return array(self.code, [i for part in self.stream(parts) for i in part]).tobytes()
-        best, origin, by = [0.0] + [_NEVER] * size, [0] * (size + 1), [-1] + [None] * size
-        self.relax(word, best, origin, by, 0, size)
-        return array(self.code, self.trace(word, origin, by, size)).tobytes()
+            ids = [i for part in self.stream(parts) for i in part]
+        else:
+            best, origin, by = [0.0] + [_NEVER] * size, [0] * (size + 1), [-1] + [None] * size
+            self.relax(word, best, origin, by, 0, size)
+            ids = self.trace(word, origin, by, size)
+        surface = self.surface
+        said = b"".join([surface[i] for i in ids])
+        return array(self.code, ids).tobytes(), said == word.replace(SPACE, " ").replace(_LITERAL, SPACE).encode()
+
+    def spaced(self, word: str) -> tuple[bytes, bool]:
+        return self.word(SPACE + word)
 
-    def encode(self, text: str, memo: Memo) -> bytes:
-        """The ids of a text, packed."""
+    def encode(self, text: str, memo: Memo) -> tuple[bytes, bool]:
+        """The packed ids of a text, and whether those of each of its words decode to that word.
+
+        ``memo`` holds ``spaced`` words, cut at the marks of single spaces.
+        """
         if not text:
-            return b""
-        marked = SPACE + text.replace(SPACE, _LITERAL).replace(" ", SPACE)
+            return b"", True
+        marked = text.replace(SPACE, _LITERAL).replace(" ", SPACE)
         if not self.apart:
-            return self.word(marked)
-        words = _WORDS.findall(marked)
-        look = memo.__getitem__
-        if max(map(len, words)) <= _MEMO_LENGTH:
-            return b"".join(map(look, words))
-        return b"".join(look(w) if len(w) <= _MEMO_LENGTH else self.word(w) for w in words)
+            return self.word(SPACE + marked)
+        words, look = marked.split(SPACE), memo.__getitem__
+        if "" in words:  # several spaces in a row, or one at an end, are one word with what follows
+            words = [w[1:] for w in _WORDS.findall(SPACE + marked)]
+        if max(map(len, words)) < _MEMO_LENGTH:
+            found = map(look, words)
+        else:
+            found = (look(w) if len(w) < _MEMO_LENGTH else self.spaced(w) for w in words)
+        ids, whole = zip(*found)
+        return b"".join(ids), all(whole)
 
     def decode(self, ids: Iterable[int]) -> str:
         surface = self.surface
@@ -235,17 +265,17 @@ def encode_texts(docs: DataFrame, vocabulary: Vocabulary, *, text: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shared.value
         if _MEMO[:1] != [key]:
-            _MEMO[:] = [key, Memo(v.word, 500_000)]
+            _MEMO[:] = [key, Memo(v.spaced, 500_000)]
         memo = _MEMO[1]
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 texts = part.column("t").to_pylist()
                 packed = [None if t is None else v.encode(t, memo) for t in texts]
-                rows = [np.frombuffer(p or b"", v.kind) for p in packed]
+                rows = [np.frombuffer(p[0] if p else b"", v.kind) for p in packed]
                 sizes = np.array([len(r) for r in rows], np.int64)
                 offsets = np.concatenate([[0], np.cumsum(sizes)])
-                same = [None if t is None else v.decode(r.tolist()) == t for t, r in zip(texts, rows)]
+                same = [None if p is None else p[1] for p in packed]
                 listed = pa.LargeListArray.from_arrays(
                     pa.array(offsets), pa.array(np.concatenate(rows).astype(np.int32)), mask=pa.array([p is None for p in packed])
                 ).cast(pa.list_(pa.int32()))

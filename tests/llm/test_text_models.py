@@ -22,7 +22,7 @@ def library():
 
 
 def unpacked(vocabulary, text):
-    return np.frombuffer(vocabulary.encode(text, Memo(vocabulary.word)), vocabulary.kind).tolist()
+    return np.frombuffer(vocabulary.encode(text, Memo(vocabulary.spaced))[0], vocabulary.kind).tolist()
 
 
 def test_merge_pieces_equal_the_library(vocabulary, library):
