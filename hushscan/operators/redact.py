@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from hushscan.functions import patterns as P, redaction
 from hushscan.functions.folds import bind
 from hushscan.operators.detect import DEFAULT, redact_column
-from hushscan.operators.search import automaton, line_hits, shippable
+from hushscan.operators.cluster import hold
+from hushscan.operators.search import candidates, gram_filter, needle_grams, with_grams
 from hushscan.options import Options
 
 
@@ -96,50 +97,31 @@ def scrub_literals(values: DataFrame, column: str = "value", min_length: int = 6
     return rows.select(F.sha2("needle", 256).alias("needle_id"), "needle")
 
 
-def scrub_texts(texts: DataFrame, literals: DataFrame, text: str = "text", mask: str = P.DEFAULT_MASK, key: str | None = None) -> DataFrame:
-    """Replace the literals of a table in every text, the longest first.
+def scrub_texts(texts: DataFrame, literals: DataFrame, text: str = "text", mask: str = P.DEFAULT_MASK) -> DataFrame:
+    """Replace the literals of a table in every text, the longest first, equally long ones in code point order.
 
-    A literal counts if it occurs in the text as given.  Literals that are
-    measured to fit are shipped and every text is read once; otherwise the
-    hits are joined, and ``key`` must name a column that identifies a text.
+    A literal counts if it occurs in the text as given.  Texts that share no
+    gram with any literal stay where they are; the others meet their literals
+    in a join, once per distinct text, by its digest.  ``literals`` are
+    ``(needle_id, needle)`` rows; they and ``texts`` are read more than once.
+    Null texts stay null.
     """
-    if shippable(literals):
-        return _scrubbed_in_place(texts, literals, text, mask)
-    if key is None:
-        raise ValueError("these literals have to be joined: name the key of a text")
-    hits = line_hits(texts, literals, [key], text).join(literals, "needle_id")
+    words = literals.select("needle").where("needle <> ''").distinct().withColumn("key", F.sha2("needle", 256))
+    grams = hold(needle_grams(words, "key"))
+    bitmap, tiers = gram_filter(grams)
+    marked = with_grams(texts, text, bitmap, tiers)
+    untouched = marked.where(F.col("_grams").isNull()).drop("_grams")
+    touched = hold(marked.where(F.col("_grams").isNotNull()).withColumn("_digest", F.sha2(F.col(text), 256)))
+    # copies of a text are put together before anything is shuffled
+    whole = touched.groupBy("_digest").agg(F.first(text).alias("_text"), F.first("_grams").alias("_grams"))
+    met = candidates(whole.select("_digest", "_grams"), grams, ["_digest"]).join(words, "key")
+    sure = met.join(whole.select("_digest", "_text"), "_digest").where(F.contains("_text", F.col("needle")))
     order = F.array_sort(F.collect_list(F.struct((-F.length("needle")).alias("n"), "needle")))
-    found = hits.groupBy(F.col(key).alias("_key")).agg(order.alias("_found"))
+    found = sure.groupBy("_digest").agg(order.alias("_found"))
     hidden = F.aggregate(
         F.coalesce("_found", F.array().cast("array<struct<n:int,needle:string>>")),
         F.col(text),
         lambda out, f: F.replace(out, f["needle"], F.lit(mask)),
     )
-    joined = texts.join(found, F.col(key) == F.col("_key"), "left")
-    return joined.withColumn(text, hidden).select(*texts.columns)
-
-
-def _scrubbed_in_place(texts: DataFrame, literals: DataFrame, text: str, mask: str) -> DataFrame:
-    known = sorted((r[0] for r in literals.select("needle").distinct().collect()), key=lambda v: (-len(v), v))
-    shared = texts.sparkSession.sparkContext.broadcast(known)  # bounded by AUTOMATON_CHARS
-    at = texts.columns.index(text)
-    plain = texts.toDF(*[f"c{i}" for i in range(len(texts.columns))])
-
-    def scrub(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        words = shared.value
-        search = automaton(words) if words else None
-        for batch in batches:
-            out = []
-            for said in batch.column(at).to_pylist():
-                if said and search is not None:
-                    for n in sorted({n for _, n in search.iter(said)}):
-                        said = said.replace(words[n], mask)
-                out.append(said)
-            columns = batch.columns
-            columns[at] = pa.array(out, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
-
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema)
-    return plain.mapInArrow(scrub, fields).toDF(*texts.columns)
+    scrubbed = touched.drop("_grams").join(found, "_digest", "left").withColumn(text, hidden)
+    return untouched.unionByName(scrubbed.select(*texts.columns))

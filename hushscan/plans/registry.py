@@ -848,3 +848,30 @@ def lines_with_literals(spark, sf_dir):
     lines = search.lines_of(talk, ["conv_id", "turn"])
     hits = search.line_hits(lines, hold(needles), ["conv_id", "turn", "line_no"])
     return hits.select(F.md5("needle_id").alias("needle"), "conv_id", "turn", "line_no")
+
+
+_SLICES = "transform(sequence(0, char_length(text) div 40 - 1), i -> substring(text, 40 * i + 1, 40))"
+
+
+@query
+def lines_with_many_literals(spark, sf_dir):
+    """Every line of the documents that holds a 40-character piece of some document: more literals than lines."""
+    docs = PL.table(spark, sf_dir, "documents").select("doc_id", "text")
+    pieces = docs.where("char_length(text) >= 40").select(F.explode(F.expr(_SLICES)).alias("needle"))
+    needles = pieces.where("NOT contains(needle, '\n')").distinct().select(F.col("needle").alias("needle_id"), "needle")
+    hits = search.line_hits(search.lines_of(docs, ["doc_id"]), needles, ["doc_id", "line_no"])
+    return hits.select(F.md5("needle_id").alias("needle"), "doc_id", "line_no")
+
+
+@query
+def scrubbed_events(spark, sf_dir):
+    """One token an order line is known and hidden in the events that name it; the other half of the tokens stays."""
+    lines = PL.table(spark, sf_dir, "lineitem")
+    token = "concat('tok-', md5(concat(l_orderkey, '-', l_linenumber)), 'K')"
+    values = lines.select(F.expr(token).alias("value"))
+    events = PL.table(spark, sf_dir, "events").select(
+        "event_id",
+        F.expr("concat(props, ' tok-', md5(concat(event_id, '-', event_id % 8)), 'K by ', user_id, '; tok-', "
+               "md5(concat(user_id, '-1')), 'K')").alias("text"),
+    )
+    return scrub_texts(events, scrub_literals(values)).select("event_id", "text")

@@ -593,3 +593,18 @@ WITH needles AS (SELECT DISTINCT n FROM (SELECT unnest([regexp_extract(text, '^(
 lines AS (SELECT conv_id, turn, i AS line_no, string_split(text, chr(10))[i] AS line
           FROM conversations, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS u(i))
 SELECT md5(n) AS needle, conv_id, turn, line_no FROM needles JOIN lines ON contains(line, n)"""
+
+STATEMENTS["lines_with_many_literals"] = r"""
+WITH needles AS (SELECT DISTINCT n FROM (SELECT substring(text, CAST(40 * i + 1 AS INT), 40) AS n
+    FROM documents, unnest(range(0, length(text) // 40)) AS u(i)) WHERE NOT contains(n, chr(10))),
+lines AS (SELECT doc_id, i AS line_no, string_split(text, chr(10))[i] AS line
+          FROM documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS u(i)),
+parts AS (SELECT DISTINCT doc_id, CAST(line_no AS INT) AS line_no, substring(line, CAST(i AS INT), 40) AS n
+          FROM lines, unnest(range(1, length(line) - 38)) AS u(i))
+SELECT md5(n) AS needle, doc_id, line_no FROM parts JOIN needles USING (n)"""
+STATEMENTS["scrubbed_events"] = f"""
+WITH known AS (SELECT DISTINCT concat('tok-', md5(concat(l_orderkey, '-', l_linenumber)), 'K') AS v FROM lineitem),
+said AS (SELECT event_id, props, user_id, concat('tok-', md5(concat(event_id, '-', event_id % 8)), 'K') AS a,
+                concat('tok-', md5(concat(user_id, '-1')), 'K') AS b FROM events)
+SELECT event_id, concat(props, ' ', CASE WHEN a IN (SELECT v FROM known) THEN {_MASK} ELSE a END, ' by ', user_id, '; ',
+                        CASE WHEN b IN (SELECT v FROM known) THEN {_MASK} ELSE b END) AS text FROM said"""

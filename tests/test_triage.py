@@ -169,23 +169,75 @@ def test_reports(spark, tmp_path):
     assert all(TOKENS["github_token"] not in r.value for r in lines)
 
 
-def test_literals_shipped_and_joined_find_the_same(spark, monkeypatch):
+def test_literals_of_all_lengths_are_found_and_scrubbed(spark):
     from hushscan.operators import redact, search
 
     lines = [(i, t) for i, t in enumerate(["ab hunter2! x", "abcdefghijkl0123", "", None, "x" * 50, "hunter2!hunter2!", "ü-ü", "ü"])]
-    df = spark.createDataFrame(lines, "n int, line string")
+    df = spark.createDataFrame([*lines, (None, "no number: hunter2!")], "n int, line string")
     words = ["hunter2!", "abcdefghijkl", "xxxx", "ü", "ü-ü", "b", "nowhere at all"]
-    needles = spark.createDataFrame([(w, w) for w in words], "needle_id string, needle string")
-    want = sorted((w, i) for i, t in lines for w in words if t and w in t)
+    # one literal under two ids, and an id of two literals
+    pairs = [(w, w) for w in words] + [("again", "hunter2!"), ("again", "xxxx"), ("empty", ""), ("null", None)]
+    needles = spark.createDataFrame(pairs, "needle_id string, needle string")
+    want = {(i, n) for n, t in [*lines, (None, "no number: hunter2!")] for i, w in pairs if t and w and w in t}
+    got = [(r.needle_id, r.n) for r in search.line_hits(df, needles, ["n"]).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
     values = spark.createDataFrame([("hunter2!",), ("hunter2!hunter2!",), (None,), ("abc",), ("first line of it\n  second line of it \n",)], "value string")
-    texts = spark.createDataFrame([(1, "a hunter2!hunter2! hunter2! abc", "k"), (2, "the second line of it.", "k"), (3, None, "k")], "id int, text string, needle string")
-    scrubbed = [(1, "a ******** ******** abc", "k"), (2, "the ********.", "k"), (3, None, "k")]
-    for limit in (search.AUTOMATON_CHARS, 0):
-        monkeypatch.setattr(search, "AUTOMATON_CHARS", limit)
-        hits = search.line_hits(df, needles, ["n"])
-        assert sorted((r.needle_id, r.n) for r in hits.collect()) == want
-        out = redact.scrub_texts(texts, redact.scrub_literals(values), key="id")
-        assert sorted(map(tuple, out.collect())) == scrubbed and out.columns == texts.columns
+    texts = spark.createDataFrame([(1, "a hunter2!hunter2! hunter2! abc", "k"), (2, "the second line of it.", "k"), (3, None, "k"), (1, "nothing", "k"), (1, "a hunter2!hunter2! hunter2! abc", "m")], "id int, text string, needle string")
+    scrubbed = [(1, "a ******** ******** abc", "k"), (1, "a ******** ******** abc", "m"), (1, "nothing", "k"), (2, "the ********.", "k"), (3, None, "k")]
+    out = redact.scrub_texts(texts, redact.scrub_literals(values))
+    assert sorted(map(tuple, out.collect())) == scrubbed and out.columns == texts.columns
+    nothing = spark.createDataFrame([], "needle_id string, needle string")
+    assert search.line_hits(df, nothing, ["n"]).count() == 0 and redact.scrub_texts(texts, nothing).count() == 5
+
+
+def test_winnowed_grams_of_a_literal_are_grams_of_its_lines(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from hushscan.operators import search
+
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choice("abc0é😀-") for _ in range(n))
+    lines = [word(rng.randint(0, 300)) for _ in range(60)] + [""] * 3
+    for chunk in (search._CHUNK, 50):
+        monkeypatch.setattr(search, "_CHUNK", chunk)
+        for tier, span in enumerate(search._SPANS):
+            owner, grams = search.winnowed(*search._bytes_of(pa.array([None, *lines])), tier)
+            have = {i: set(grams[owner == i].tolist()) for i in range(len(lines) + 1)}
+            for i, line in enumerate(lines, 1):
+                data = line.encode()
+                plain = {_least(data[p : p + span], tier) for p in range(len(data) - span + 1)}
+                assert have[i] == plain
+    prose = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(40_000))
+    _, grams = search.winnowed(*search._bytes_of(pa.array([prose])), 0)
+    assert len(grams) < 0.1 * 40_000
+
+
+def _least(window, tier):
+    import numpy as np
+
+    from hushscan.operators import search
+
+    size = search.TIERS[tier][0]
+    packed = [int.from_bytes(window[i : i + size], "little") for i in range(len(window) - size + 1)]
+    return int(search._mixed(np.array(packed, np.uint64)).min().view(np.int64))
+
+
+def test_only_filtered_grams_leave_the_scan(spark):
+    from hushscan.operators import search
+
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnop0123456789") for _ in range(n))
+    needles = spark.createDataFrame([(str(i), word(30)) for i in range(3000)], "key string, needle string")
+    lines = spark.createDataFrame([(i, word(400)) for i in range(2000)], "n int, line string")
+    grams = search.needle_grams(needles, "key").cache()
+    bitmap, tiers = search.gram_filter(grams)
+    assert tiers == [0] and 8 * len(bitmap) >= 16 * grams.count()
+    left = search.with_grams(lines, "line", bitmap, tiers).select(F.sum(F.size("_grams")).alias("n")).first().n or 0
+    assert left < 0.01 * 2000 * 400
+    own = search.with_grams(needles, "needle", bitmap, tiers)
+    assert own.where("_grams IS NULL").count() == 0  # what was put in is always found
+    grams.unpersist()
 
 
 def test_shared_tables_need_a_named_folder_on_a_cluster():
