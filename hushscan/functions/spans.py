@@ -20,7 +20,7 @@ LOCATED = (
     "struct<start:int,end:int,kind:string,value:string,line:int,column:int,"
     "end_line:int,end_column:int,custom:boolean>"
 )
-_CUSTOM_ORDER = 1000
+CUSTOM_ORDER = 1000
 
 
 def _any_of(text: Column, words: Sequence[str]) -> Column:
@@ -274,10 +274,10 @@ def custom_spans(text: Column, rules: Sequence[tuple[str, str]]) -> Column:
     if not rules:
         return empty_array(SPAN)
     hits = [
-        _hit(_CUSTOM_ORDER + i, name, text, F.regexp_extract_all(text, F.lit(regex), F.lit(0)))
+        _hit(CUSTOM_ORDER + i, name, text, F.regexp_extract_all(text, F.lit(regex), F.lit(0)))
         for i, (name, regex) in enumerate(rules)
     ]
-    regexes = {_CUSTOM_ORDER + i: regex for i, (_, regex) in enumerate(rules)}
+    regexes = {CUSTOM_ORDER + i: regex for i, (_, regex) in enumerate(rules)}
     return F.filter(_resolve(F.array(*hits), regexes), lambda s: s["neg"] < 0)
 
 
@@ -364,7 +364,7 @@ def locate_spans(text: Column, spans: Column) -> Column:
                         (begin["units"] + 1).alias("column"),
                         finish["line"].alias("end_line"),
                         (finish["units"] + 1).alias("end_column"),
-                        (s["rule"] >= _CUSTOM_ORDER).alias("custom"),
+                        (s["rule"] >= CUSTOM_ORDER).alias("custom"),
                     ),
                 )
 

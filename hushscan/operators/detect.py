@@ -16,16 +16,19 @@ DEFAULT = Options()
 
 
 @memoised
-def scan_column(text: str, options: Options) -> Column:
+def scan_column(text: str, options: Options, extra: str | None = None) -> Column:
     """Struct ``(spans, inline_ignored)`` for the text column named ``text``.
 
     built-in spans -> merge -> placeholder filter; custom spans -> placeholder
-    filter; both located, then inline markers applied inside the row.
+    filter; both located, then inline markers applied inside the row.  ``extra``
+    names a column of further custom spans.
     """
     body = F.col(text)
     found = S.detect_spans(body, options.entropy_threshold)
     if options.rules:
         found = F.concat(found, S.custom_spans(body, options.rules))
+    if extra is not None:
+        found = F.concat(found, F.col(extra))
     if options.apply_placeholders:
         found = F.filter(found, lambda s: ~S.is_placeholder(s["value"]))
     located = S.locate_spans(body, found)
@@ -79,12 +82,13 @@ def scan_texts(
     text: str = "text",
     options: Options = DEFAULT,
     keep: Sequence[str] = (),
+    extra: str | None = None,
 ) -> DataFrame:
     """One row per text: ``source_id``, kept columns, ``spans``, ``inline_ignored``."""
     scanned = texts.select(
         F.col(source_id).cast("string").alias("source_id"),
         *keep,
-        scan_column(text, options).alias("scan"),
+        scan_column(text, options, extra).alias("scan"),
     )
     return scanned.select("source_id", *keep, "scan.spans", "scan.inline_ignored")
 

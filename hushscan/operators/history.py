@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hushscan.operators.cluster import materialise
 from hushscan.operators.detect import DEFAULT, explode_findings, scan_texts
-from hushscan.operators.ordered import BLOCK
+from hushscan.operators.ordered import BLOCK, range_of, range_starts
 from hushscan.options import Options
 
 # --- Fixed values: the patch dialect --------------------------------------------
@@ -30,12 +30,16 @@ def annotate_patch(
 
     Content lines start with ``+``, ``-``, space or ``\\``, so commit, file and
     hunk headers are recognisable anywhere; a target header counts only outside
-    a hunk, where it cannot be an added line.
+    a hunk, where it cannot be an added line.  Line numbers only order the
+    lines: they may be sparse, timestamps for instance.  ``block`` is the range
+    of about ``block`` lines that a line was read in.
     """
     rows = lines.select(
         F.col(repo).alias("repo"), F.col(line_no).cast("long").alias("line_no"),
         F.rtrim(F.col(line), F.lit("\n")).alias("line"),
     )
+    keys = ["repo", "line_no"]
+    place = range_of(rows, keys, range_starts(rows, keys, block))
     text = F.col("line")
     is_commit = F.startswith(text, F.lit(commit_prefix))
     is_file = F.startswith(text, F.lit(FILE_PREFIX))
@@ -43,7 +47,7 @@ def annotate_patch(
     is_hunk = start != ""
     rows = rows.select(
         "*",
-        F.floor(F.col("line_no") / F.lit(block)).alias("_block"),
+        place.alias("_block"),
         is_commit.alias("is_commit"),
         (is_commit | is_file | is_hunk).alias("is_header"),
         F.when(
@@ -64,7 +68,7 @@ def annotate_patch(
     header = F.coalesce("at_header", "in_header")
     path = F.coalesce("at_sure", F.when(_outside(F.col("in_header")), F.col("at_open")), "in_target")
     rows = rows.select(
-        "repo", "line_no", "line", "is_header",
+        "repo", "line_no", "line", "is_header", F.col("_block").alias("block"),
         F.coalesce("at_commit", "in_commit").alias("commit"),
         (F.col("at_commits") + F.coalesce("in_commits", F.lit(0))).alias("commits"),
         header.alias("header"),
@@ -80,6 +84,7 @@ def annotate_patch(
         F.when(F.col("header.in_hunk"), F.col("header.at")).alias("hunk"),
         F.col("header.start").alias("first_line"),
         "is_header",
+        "block",
     )
 
 
@@ -145,20 +150,31 @@ def _outside(header: Column) -> Column:
     return header.isNull() | ~header["in_hunk"]
 
 
-def added_lines(annotated: DataFrame, accept: Callable[[Column], Column] | None = None) -> DataFrame:
-    """Added lines of named files, with their line number in the new version."""
+def _added(annotated: DataFrame, accept: Callable[[Column], Column] | None) -> DataFrame:
     added = annotated.where(
         F.col("hunk").isNotNull()
         & F.col("path").isNotNull()
         & ~F.col("is_header")
         & F.startswith("line", F.lit("+"))
     )
-    if accept is not None:
-        added = added.where(accept(F.col("path")))
-    in_hunk = Window.partitionBy("repo", "hunk").orderBy("line_no")
-    return added.select(
+    return added.where(accept(F.col("path"))) if accept is not None else added
+
+
+def added_lines(annotated: DataFrame, accept: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Added lines of named files, with their line number in the new version.
+
+    A hunk is numbered in its blocks at once; only the number of added lines
+    of each block travels along a hunk.
+    """
+    added = _added(annotated, accept)
+    part = ["repo", "hunk", "block"]
+    earlier = Window.partitionBy("repo", "hunk").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    counts = added.groupBy(*part).agg(F.count(F.lit(1)).alias("_here"))
+    ahead = counts.select(*part, F.sum("_here").over(earlier).alias("_ahead")).where(F.col("_ahead").isNotNull())
+    in_block = F.row_number().over(Window.partitionBy(*part).orderBy("line_no"))
+    return added.withColumn("_nth", in_block).join(ahead, part, "left").select(
         "repo", "commit", "rank", "path", "hunk", "first_line", "line_no",
-        (F.col("first_line") + F.row_number().over(in_hunk) - 1).alias("new_line"),
+        (F.col("first_line") + F.coalesce("_ahead", F.lit(0)) + F.col("_nth") - 1).cast("int").alias("new_line"),
         F.col("line").substr(F.lit(2), F.length("line")).alias("text"),
     )
 
@@ -179,7 +195,7 @@ def hunks_from_annotated(
     annotated: DataFrame, accept: Callable[[Column], Column] | None = None
 ) -> DataFrame:
     """Put the added lines of each hunk together."""
-    added = added_lines(annotated, accept)
+    added = _added(annotated, accept).withColumn("text", F.col("line").substr(F.lit(2), F.length("line")))
     body = F.array_sort(F.collect_list(F.struct("line_no", "text")))
     return added.groupBy("repo", "commit", "rank", "path", "hunk", "first_line").agg(
         F.concat(F.array_join(F.transform(body, lambda b: b["text"]), "\n"), F.lit("\n")).alias("text")

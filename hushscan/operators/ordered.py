@@ -1,8 +1,9 @@
 """Ordered work over long sequences without one task per sequence.
 
-A window over a whole sequence puts the longest one into a single task.  Here a
-sequence is cut into blocks of its order column; blocks are processed in
-parallel and only one summary row per block travels along the sequence.
+A window over a whole sequence puts the longest one into a single task.  Here
+rows are cut into ranges of (group, order) with about equally many rows each,
+whatever the values of the order column; ranges are processed in parallel and
+only one summary row per group and range travels along a sequence.
 """
 
 from __future__ import annotations
@@ -13,9 +14,44 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hushscan.operators.cluster import materialise
 
+#: rows of a range
 BLOCK = 100_000
 
 
+def range_starts(rows: DataFrame, keys: Sequence[str], block: int = BLOCK) -> list[tuple]:
+    """Where the ranges begin, one tuple of ``keys`` for each but the first, in order.
+
+    Only the keys are read and dealt out; a range has about ``block`` rows, so
+    the driver gets one row for each ``block`` of the table.
+    """
+    placed = rows.select(*keys)
+    parts = -(-placed.count() // block)
+    if parts < 2:
+        return []
+    dealt = placed.repartitionByRange(parts, *keys).withColumn("_part", F.spark_partition_id())
+    starts = dealt.groupBy("_part").agg(F.min(F.struct(*keys)).alias("start")).orderBy("start").collect()
+    return [tuple(r.start) for r in starts[1:]]
+
+
+def range_of(rows: DataFrame, keys: Sequence[str], starts: Sequence[tuple]) -> Column:
+    """The number of the range a row is in, found by bisection."""
+    if not starts:
+        return F.lit(0)
+    columns = [
+        F.lit([s[i] for s in starts]).cast(f"array<{rows.schema[k].dataType.simpleString()}>") if None not in [s[i] for s in starts]
+        else F.array(*[F.lit(s[i]).cast(rows.schema[k].dataType) for s in starts])
+        for i, k in enumerate(keys)
+    ]
+    mine = F.struct(*keys)
+    steps = [1 << i for i in range(len(starts).bit_length() - 1, -1, -1)]
+
+    def reached(at: Column, step: Column) -> Column:
+        start = F.struct(*[F.get(c, at + step - 1).alias(k) for c, k in zip(columns, keys)])
+        return at + F.when((at + step <= len(starts)) & (start <= mine), step).otherwise(0)
+
+    return F.aggregate(F.lit(steps), F.lit(0), reached)
+
+
 def carry_forward(
     rows: DataFrame,
     group: Sequence[str],
@@ -27,10 +63,11 @@ def carry_forward(
     """Add, per row, the latest non-NULL value and the running total so far.
 
     ``last`` and ``total`` map new column names to expressions; both include
-    the current row.
+    the current row.  ``rows`` are read three times.
     """
     total = total or {}
-    keyed = rows.withColumn("_block", F.floor(F.col(order) / F.lit(block)))
+    keys = [*group, order]
+    keyed = rows.withColumn("_block", range_of(rows, keys, range_starts(rows, keys, block)))
     names = [*last, *total]
     summary = keyed.groupBy(*group, "_block").agg(
         *[F.max_by(e, F.when(e.isNotNull(), F.col(order))).alias(n) for n, e in last.items()],

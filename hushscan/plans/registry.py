@@ -12,6 +12,7 @@ from hushscan.operators import baseline as B, fixes, history as H, lines as L, r
 from hushscan.operators import rules as RU, search, suppress, triage as T
 from hushscan.operators.cluster import hold, materialise, scratch_path
 from hushscan.operators.detect import detect, explode_findings, finding_id, public, scan_texts
+from hushscan.operators.rule_table import detect_with_rules
 from hushscan.operators.redact import redact_nested, redact_texts, scrub_literals, scrub_texts
 from hushscan.options import Options
 from hushscan.plans import planted as PL
@@ -319,6 +320,19 @@ def rule_trials(spark, sf_dir):
     return RU.test_rules(_docs(spark, sf_dir), WITH_RULES.rules, "doc_id")
 
 
+@query
+def many_rule_findings(spark, sf_dir):
+    """A rule for every order, kept in a table, over documents that name one order each."""
+    rules = PL.table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("order "), "o_orderkey").alias("name"),
+        F.concat(F.lit(r"\bord-"), "o_orderkey", F.lit("-[0-9a-f]{8}(?![0-9a-f])")).alias("pattern"),
+    )
+    named = F.expr("concat(text, ' ord-', doc_id + 1, '-', substr(md5(cast(doc_id AS string)), 1, 8))")
+    docs = PL.evened(spark, sf_dir, "documents", "doc_id").select("doc_id", named.alias("text"))
+    found = detect_with_rules(docs, rules, "doc_id").where("custom")
+    return public(found).select("source_id", "kind", "start", "end", "finding_id")
+
+
 # --- files ------------------------------------------------------------------------------
 
 FILE_EXPR = (

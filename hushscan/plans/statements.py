@@ -175,6 +175,13 @@ _TRIALS = " UNION ALL ".join(
 )
 STATEMENTS["rule_trials"] = f"WITH src AS ({_docs()}) {_TRIALS}"
 
+STATEMENTS["many_rule_findings"] = f"""
+WITH named AS (SELECT doc_id, length(text) + 1 AS place, concat('ord-', doc_id + 1, '-', substr(md5(CAST(doc_id AS VARCHAR)), 1, 8)) AS value
+               FROM documents)
+SELECT CAST(doc_id AS VARCHAR) AS source_id, concat('order ', o_orderkey) AS kind, CAST(place AS INT) AS "start",
+       CAST(place + length(value) AS INT) AS "end", sha256(concat_ws(':', CAST(doc_id AS VARCHAR), concat('order ', o_orderkey), value)) AS finding_id
+FROM named JOIN orders ON o_orderkey = doc_id + 1"""
+
 # --- files -------------------------------------------------------------------------------------
 
 

@@ -157,3 +157,46 @@ def test_random_patches_equal_reading_in_order(spark):
             got.setdefault(h.repo, []).append((h.commit, h["rank"], h.path, h.first_line, h.text))
         for r, seq in repos.items():
             assert sorted(got.get(r, []), key=repr) == sorted(plain_reader(seq), key=repr), (r, block)
+
+
+def test_sparse_line_numbers_and_a_long_hunk(spark):
+    """Timestamps as line numbers: ranges hold about equally many lines, and one hunk spans many."""
+    from pyspark.sql import functions as F
+
+    from hushscan.operators.ordered import range_of, range_starts
+
+    n, gap = 20_000, 7_919_000_000
+    head = ["@@commit c1", "diff --git a/big b/big", "--- a/big", "+++ b/big", "@@ -0,0 +1 @@"]
+    early = spark.createDataFrame([("r", i - 5, line) for i, line in enumerate(head)], "repo string, line_no long, line string")
+    body = spark.range(n).select(F.lit("r").alias("repo"), (F.col("id") * gap).alias("line_no"), F.format_string("+line %d", "id").alias("line"))
+    df = early.unionByName(body).repartition(5)
+    starts = range_starts(df, ["repo", "line_no"], 1000)
+    sizes = [r["count"] for r in df.groupBy(range_of(df, ["repo", "line_no"], starts).alias("b")).count().collect()]
+    assert 15 <= len(sizes) <= 22 and max(sizes) < 3000 and sum(sizes) == n + 5
+    annotated = H.annotate_patch(df, block=1000)
+    assert annotated.select("block").distinct().count() == len(sizes)
+    added = H.added_lines(annotated)
+    wrong = added.where(F.concat(F.lit("line "), F.col("new_line") - 1) != F.col("text")).count()
+    assert added.count() == n and wrong == 0
+    (hunk,) = H.hunks_from_annotated(annotated).collect()
+    assert hunk.text == "".join(f"line {i}\n" for i in range(n)) and hunk.commit == "c1"
+
+
+def test_carry_forward_over_any_order(spark):
+    from pyspark.sql import functions as F
+
+    from hushscan.operators.ordered import carry_forward
+
+    import random
+
+    rng = random.Random(3)
+    rows = [(g, rng.choice([0, 10**6]) * i + i - 50, rng.choice([None, i])) for g in ("a", "b", None) for i in range(120)]
+    df = spark.createDataFrame(rows, "g string, at long, v int").repartition(4)
+    for block in (7, 1000):
+        got = carry_forward(df, ["g"], "at", {"seen": F.col("v")}, {"sum": F.col("v")}, block).collect()
+        by = {(r.g, r["at"]): (r.seen, r["sum"]) for r in got}
+        for g in ("a", "b"):
+            seen, total = None, 0
+            for _, at, v in sorted(r for r in rows if r[0] == g):
+                seen, total = (seen if v is None else v), total + (v or 0)
+                assert by[g, at] == (seen, total)
