@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from hushscan.functions.folds import bind
+from hushscan.functions.folds import bind, empty_array, running
 from hushscan.functions.paths import suffix
 from hushscan.operators.cluster import materialise
 from hushscan.operators.detect import DEFAULT, scan_texts
@@ -136,7 +134,8 @@ def candidates(texts: DataFrame, path: str = "path", text: str = "text", options
     )
 
 
-_STEM = r"(?:_[0-9]+)+$"
+#: a name that another name's claims can end up with: that name and a number
+_NUMBERED = "^(.+)_([2-9]|[1-9][0-9]{1,8})$"
 
 
 def assign_env_keys(rows: DataFrame, existing: DataFrame, order: tuple[str, ...] = ("file", "start")) -> DataFrame:
@@ -144,47 +143,101 @@ def assign_env_keys(rows: DataFrame, existing: DataFrame, order: tuple[str, ...]
 
     ``order`` names a row within its project, so it must be unique there.  Rows
     claim in that order: the desired name, else the first free ``_2``,
-    ``_3``, ...  Names can only collide within one stem (the name without its
-    numeric suffixes).  Where a stem has a single desired name, which is nearly
-    always, the n-th claim is computed directly from the row number and the
-    taken numbers; only stems whose names interact are claimed one after the
-    other, as keys streaming through a sorted partition.
-
-    ``rows`` need ``project`` and ``desired``; ``existing`` is ``(project, key)``.
+    ``_3``, ...  ``rows`` need ``project`` and ``desired``; ``existing`` is
+    ``(project, key)``.
+
+    The claims of one name take the numbers 1 (the name itself), 2, 3, ... but
+    for those taken before.  A number n is taken by an existing entry, or by
+    the first claim of the name ``name_n`` if that comes before the claims of
+    ``name`` have got to n.  Which of them do is settled on the distinct names
+    alone; then every claim is numbered at once.  No task holds the claims or
+    the keys of a name.
     """
-    stem = F.regexp_replace("desired", _STEM, "")
-    keyed = rows.withColumn("_stem", stem)
-    taken = existing.select("project", F.col("key").alias("_key")).distinct()
-    stems = keyed.groupBy("project", "_stem").agg(
-        F.min("desired").alias("_low"), F.max("desired").alias("_high")
+    return _numbered_claims(rows, materialise(_taken(rows, existing, order)), order)
+
+
+def _parts(name: str) -> tuple[Column, Column]:
+    """The name in front of a number, null if there is none, and the number."""
+    base = F.nullif(F.regexp_extract(name, _NUMBERED, 1), F.lit(""))
+    return base, F.regexp_extract(name, _NUMBERED, 2).try_cast("bigint")
+
+
+def _taken(rows: DataFrame, existing: DataFrame, order: tuple[str, ...]) -> DataFrame:
+    """(project, desired, number): the numbers each name's claims find taken."""
+    name = ["project", "desired"]
+    claims = rows.select(*name, *order)
+    base, number = _parts("desired")
+    names = materialise(
+        claims.groupBy(*name).agg(F.min(F.struct(*order)).alias("first")).withColumns({"base": base, "at": number})
+    )
+    wanted = names.select(*name)
+    # entries of the project that are a desired name or number one
+    entry, entry_number = _parts("key")
+    entries = existing.select("project", "key").distinct()
+    held = entries.select("project", F.col("key").alias("desired"), F.lit(1).cast("bigint").alias("n")).unionByName(
+        entries.select("project", entry.alias("desired"), entry_number.alias("n")).where("desired IS NOT NULL")
+    ).join(wanted, name, "left_semi")
+    # first claims of names that number another desired name, and how many claims that one had before
+    numbering = names.where("base IS NOT NULL").select(
+        "project", F.col("base").alias("desired"), F.col("at").alias("n"), "first.*"
+    ).join(wanted, name, "left_semi")
+    both = claims.join(numbering.select(*name).distinct(), name, "left_semi").withColumn("n", F.lit(None).cast("bigint"))
+    placed = numbered(both.unionByName(numbering), name, order).where("n IS NOT NULL")
+    ranked = numbered(placed.withColumnRenamed("nth", "place"), name, order)
+    rivals = ranked.select(*name, "n", (F.col("place") - F.col("nth")).cast("bigint").alias("before"))
+    numbers = held.withColumn("before", F.lit(0).cast("bigint")).unionByName(rivals)
+    numbers = materialise(numbers.groupBy(*name, "n").agg(F.min("before").alias("before")))
+    own = numbers.where("n = 1").select(*name, F.lit(True).alias("known"))
+    blocks = numbers.where("n > 1").groupBy(*name).agg(
+        F.array_sort(F.collect_list(F.struct("n", (F.col("n") - F.col("before")).alias("reach")))).alias("blocks")
     )
-    simple = stems.where(F.col("_low") == F.col("_high")).select("project", "_stem")
-    direct = _claim_directly(keyed.join(simple, ["project", "_stem"], "left_semi"), taken, order)
-    mixed = keyed.join(simple, ["project", "_stem"], "left_anti")
-    return direct.drop("_stem").unionByName(_claim_in_turn(mixed, taken, order).drop("_stem"))
-
-
-def _claim_directly(rows: DataFrame, taken: DataFrame, order: tuple[str, ...]) -> DataFrame:
-    """n-th claim of a name = n-th number free of existing entries."""
-    names = rows.select("project", "desired").distinct()
-    number = F.when(
-        F.col("_key") == F.col("desired"), F.lit(1)
-    ).otherwise(F.substring_index("_key", "_", -1).cast("int"))
-    # an existing entry is `name` or `name_n` with n >= 2 written without leading zero
-    entries = (
-        names.join(
-            taken.withColumn("desired", F.explode(F.array("_key", F.regexp_replace("_key", "_[1-9][0-9]*$", "")))),
-            ["project", "desired"],
-        )
-        .where((F.col("_key") == F.col("desired")) | F.col("_key").rlike("_([2-9]|[1-9][0-9]{1,8})$"))
-        .select("project", "desired", number.alias("number"))
-        .distinct()
+    state = materialise(names.select(*name, "base", "at").join(own, name, "left").join(blocks, name, "left"))
+    # a name's own number 1 may be taken by the claims of its base, so bases are settled first
+    upper = state.select("project", F.col("desired").alias("base"), F.lit(True).alias("_upper"))
+    level = state.join(upper, ["project", "base"], "left").withColumn("lost", F.coalesce("known", F.lit(False)))
+    level, left = level.where("_upper IS NULL"), materialise(level.where("_upper"))
+    found = []
+    while True:
+        settled = materialise(level.select(*name, "lost", _effective(F.col("blocks"), F.col("lost")).alias("numbers")))
+        found.append(settled)
+        parents = settled.select("project", F.col("desired").alias("base"), F.col("numbers").alias("_kept"))
+        below = left.join(parents, ["project", "base"])
+        if below.limit(1).count() == 0:
+            break
+        # its first claim gets the name itself where that number was left to it
+        level = below.withColumn("lost", F.col("lost") | ~F.array_contains("_kept", F.col("at"))).drop("_kept")
+    out = None
+    for settled in found:
+        all_ = F.concat(F.when(F.col("lost"), F.array(F.lit(1).cast("bigint"))).otherwise(F.array().cast("array<bigint>")), "numbers")
+        part = settled.select(*name, F.explode(all_).alias("number"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _effective(blocks: Column, lost: Column) -> Column:
+    """The numbers that are taken before the claims get to them.
+
+    Of the numbers up to n, as many as are taken are skipped, so claim
+    n - skipped would get n; ``reach`` is n less the claims made before.
+    """
+    skipped = F.when(lost, F.lit(1)).otherwise(F.lit(0)).cast("bigint")
+    holds = lambda at, b: at < b["reach"]
+    return running(
+        F.coalesce(blocks, F.array().cast("array<struct<n:bigint,reach:bigint>>")),
+        skipped,
+        lambda at, b: at + F.when(holds(at, b), F.lit(1)).otherwise(F.lit(0)),
+        lambda at, b: F.when(holds(at, b), F.array(b["n"])).otherwise(empty_array("bigint")),
+        "bigint",
     )
+
+
+def _numbered_claims(rows: DataFrame, taken: DataFrame, order: tuple[str, ...]) -> DataFrame:
+    """n-th claim of a name = n-th number that is not taken."""
     ranked = numbered(rows, ("project", "desired"), order)
     # The k-th taken number u pushes every claim from the (u - k + 1)-th on by one.
     # Claims and such pushes are put in one order and the pushes counted in it.
-    at = Window.partitionBy("project", "desired").orderBy("number")
-    pushes = entries.select("project", "desired", (F.col("number") - F.row_number().over(at) + 1).alias("nth"))
+    nth_taken = numbered(taken, ("project", "desired"), ("number",))
+    pushes = nth_taken.select("project", "desired", (F.col("number") - F.col("nth") + 1).alias("nth"))
     places = ranked.select("project", "desired", F.col("nth").cast("long").alias("nth"), F.lit(0).alias("push")).unionByName(
         pushes.select("project", "desired", F.col("nth").cast("long").alias("nth"), F.lit(1).alias("push"))
     )
@@ -196,64 +249,6 @@ def _claim_directly(rows: DataFrame, taken: DataFrame, order: tuple[str, ...]) -
     return joined.select(*rows.columns, key.alias("env_key"))
 
 
-def _claim_in_turn(rows: DataFrame, taken: DataFrame, order: tuple[str, ...]) -> DataFrame:
-    """Claims in order for stems with several desired names.
-
-    Only keys are streamed.  Every name before a desired name's next number is
-    taken, so the state is one number per desired name plus the existing entries.
-    """
-    keys = rows.select("project", "_stem", *order, "desired")
-    stems = rows.select("project", "_stem").distinct()
-    used = taken.withColumn("_stem", F.regexp_replace("_key", _STEM, "")).join(
-        stems, ["project", "_stem"], "left_semi"
-    )
-    blank = [F.lit(None).cast(keys.schema[c].dataType).alias(c) for c in (*order, "desired")]
-    both = keys.select("*", F.lit(None).cast("string").alias("_key"), F.lit(1).alias("_turn")).unionByName(
-        used.select("project", "_stem", *blank, "_key", F.lit(0).alias("_turn"))
-    )
-
-    def claim(batches: Iterator) -> Iterator:
-        here: tuple | None = None
-        existing: set[str] = set()
-        following: dict[str, int] = {}
-
-        def is_taken(name: str) -> bool:
-            base, _, number = name.rpartition("_")
-            counted = number.isdigit() and str(int(number)) == number and 2 <= int(number) < following.get(base, 0)
-            return counted or name in following or name in existing
-
-        for batch in batches:
-            claims: list[str | None] = []
-            for project, stem, desired, known in zip(
-                batch["project"], batch["_stem"], batch["desired"], batch["_key"]
-            ):
-                if (project, stem) != here:
-                    here, existing, following = (project, stem), set(), {}
-                if known is not None:
-                    existing.add(known)
-                    claims.append(None)
-                    continue
-                if desired not in following and not is_taken(desired):
-                    claims.append(desired)
-                    following[desired] = 2
-                    continue
-                number = following.get(desired, 2)
-                while is_taken(f"{desired}_{number}"):
-                    number += 1
-                claims.append(f"{desired}_{number}")
-                following[desired] = number + 1
-            batch["env_key"] = claims
-            yield batch.loc[batch["env_key"].notna(), ["project", *order, "env_key"]]
-
-    fields = ", ".join(f"`{c}` {keys.schema[c].dataType.simpleString()}" for c in ("project", *order))
-    claimed = (
-        both.repartition("project", "_stem")
-        .sortWithinPartitions("project", "_stem", "_turn", *order)
-        .mapInPandas(claim, f"{fields}, env_key string")
-    )
-    return rows.join(claimed, ["project", *order]).select(*rows.columns, "env_key")
-
-
 def fix_plan(
     texts: DataFrame,
     existing: DataFrame | None = None,

@@ -889,3 +889,18 @@ def scrubbed_events(spark, sf_dir):
                "md5(concat(user_id, '-1')), 'K')").alias("text"),
     )
     return scrub_texts(events, scrub_literals(values)).select("event_id", "text")
+
+
+@query
+def contested_env_keys(spark, sf_dir):
+    """One name claimed by nearly every order, and numbered names claimed before and after it."""
+    key = F.col("o_orderkey")
+    numbered = F.concat(F.lit("TOKEN_"), key)
+    rows = PL.table(spark, sf_dir, "orders").select(
+        F.lit("app").alias("project"),
+        F.when(key % 50 == 0, "a.py").when(key % 50 == 1, "c.py").otherwise("b.py").alias("file"),
+        key.alias("start"),
+        F.when((key % 50).isin(0, 1), numbered).otherwise("TOKEN").alias("desired"),
+    )
+    existing = spark.createDataFrame([("app", "TOKEN_3"), ("other", "TOKEN_4")], "project string, key string")
+    return fixes.assign_env_keys(rows, existing).select("file", "start", "env_key")

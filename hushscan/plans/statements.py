@@ -615,3 +615,15 @@ said AS (SELECT event_id, props, user_id, concat('tok-', md5(concat(event_id, '-
                 concat('tok-', md5(concat(user_id, '-1')), 'K') AS b FROM events)
 SELECT event_id, concat(props, ' ', CASE WHEN a IN (SELECT v FROM known) THEN {_MASK} ELSE a END, ' by ', user_id, '; ',
                         CASE WHEN b IN (SELECT v FROM known) THEN {_MASK} ELSE b END) AS text FROM said"""
+
+STATEMENTS["contested_env_keys"] = """
+WITH claims AS (SELECT o_orderkey AS k, o_orderkey % 50 AS m FROM orders),
+early AS (SELECT k FROM claims WHERE m = 0 AND k >= 2),
+free AS (SELECT n, row_number() OVER (ORDER BY n) AS nth
+         FROM (SELECT unnest(range(1, (SELECT 2 * count(*) + 10 FROM claims))) AS n)
+         WHERE n <> 3 AND n NOT IN (SELECT k FROM early)),
+plain AS (SELECT k, n FROM (SELECT k, row_number() OVER (ORDER BY k) AS nth FROM claims WHERE m > 1) JOIN free USING (nth))
+SELECT 'a.py' AS file, k AS "start", concat('TOKEN_', k) AS env_key FROM claims WHERE m = 0
+UNION ALL SELECT 'b.py', k, CASE WHEN n = 1 THEN 'TOKEN' ELSE concat('TOKEN_', n) END FROM plain
+UNION ALL SELECT 'c.py', k, CASE WHEN k >= 2 AND (k IN (SELECT n FROM plain) OR k = 3)
+    THEN concat('TOKEN_', k, '_2') ELSE concat('TOKEN_', k) END FROM claims WHERE m = 1"""
