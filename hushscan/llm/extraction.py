@@ -36,6 +36,8 @@ class Training:
 
     #: pages of the table whose <article> or <main> labels their blocks
     pages: int = 600
+    #: longer pages are not learnt from (they are extracted like any other)
+    page_bytes: int = 1 << 20
     #: drawn pages of many layouts, labelled as they are built
     samples: int = 900
     longest: int = 200
@@ -170,12 +172,18 @@ def _gradient(emitted, edges, starts, sizes, labels, same):
 
 
 def fit(pages: DataFrame, options: Training = Training(), *, html: str = "html") -> Field:
-    """Train on drawn samples and on a bounded number of the table's pages that mark their article."""
+    """Train on drawn samples and on a bounded number of the table's pages that mark their article.
+
+    Those are ``options.pages`` different pages, the first by a hash, of at
+    most ``options.page_bytes`` each; copies of a page count once.
+    """
     marked = pages.select(F.col(html).alias("html")).where(F.col("html").rlike("(?i)<(article|main)[ >]"))
+    marked = marked.where(F.octet_length("html") <= options.page_bytes).withColumn("h", F.xxhash64("html"))
     n = marked.count()
-    some = marked.where(F.pmod(F.xxhash64("html"), F.lit(1 << 20)) < F.lit(min(1.0, options.pages / max(n, 1)) * (1 << 20)))
-    found = some.select("html").limit(2 * options.pages).toArrow().column("html").to_pylist()
-    learnt = [tagged(page) for page in sorted(found)[: options.pages]]
+    # twice as many as wanted, so that copies among them do not leave too few
+    some = marked.where(F.pmod("h", F.lit(1 << 20)) < F.lit(min(1.0, 2 * options.pages / max(n, 1)) * (1 << 20)))
+    found = some.distinct().orderBy("h", "html").limit(options.pages).toArrow().column("html").to_pylist()
+    learnt = [tagged(page) for page in found]
     return train([p for p in learnt if p] + labelled_samples(options.samples, options.seed), options)
 
 

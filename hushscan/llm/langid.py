@@ -17,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from hushscan.operators.ordered import numbered
+
 UNKNOWN = "und"
 LETTERS = r"\p{L}+"
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -105,8 +107,9 @@ def fit(docs: DataFrame, options: Training = Training(), *, text: str = "text",
     """Learn from rows with a language; null or empty texts teach nothing.
 
     ``order`` is the pseudo-random order that picks the sample, by default a
-    hash of the text.  Words and n-grams are counted by Spark; what comes to
-    the driver is the model, whose size the options bound.
+    hash of the text.  Of copies of a text in the sample one is taken.  Words
+    and n-grams are counted by Spark; what comes to the driver is the model,
+    whose size the options bound.
     """
     rows = docs.select(
         F.col(text).alias("text"), F.col(lang).alias("lang"), (order if order is not None else F.xxhash64(text)).alias("h")
@@ -114,6 +117,7 @@ def fit(docs: DataFrame, options: Training = Training(), *, text: str = "text",
     sizes = rows.groupBy("lang").count().select(F.col("lang"), F.col("count").alias("n"))
     share = F.least(F.lit(1.0), F.lit(float(options.docs_per_language)) / F.col("n"))
     chosen = rows.join(F.broadcast(sizes), "lang").where(F.pmod("h", F.lit(1 << 20)) < share * (1 << 20))
+    chosen = chosen.select("lang", "text").distinct()
     words = chosen.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(LETTERS), F.lit(0))).alias("item"))
     counts = words.groupBy("lang", "item").agg(F.count(F.lit(1)).alias("n")).withColumn("length", F.lit(0))
     padded = F.concat(F.lit(" "), F.col("item"), F.lit(" "))
@@ -127,11 +131,9 @@ def fit(docs: DataFrame, options: Training = Training(), *, text: str = "text",
     items = every.withColumn("cost", -F.log10(share)).groupBy("length", "item").agg(
         F.sum(F.pow(F.lit(10.0), -F.col("cost"))).alias("weight"), F.collect_list(F.struct("lang", "cost")).alias("costs")
     )
-    best = Window.partitionBy("length").orderBy(F.col("weight").desc(), "item")
+    # six lengths would be six tasks: ranked over ranges of (length, weight) instead
     limit = F.when(F.col("length") == 0, options.words).otherwise(options.ngrams)
-    kept = items.withColumn("rank", F.row_number().over(best)).where(
-        (F.col("rank") <= max(options.words, options.ngrams)) & (F.col("rank") <= limit)
-    )
+    kept = numbered(items.withColumn("lightness", -F.col("weight")), ["length"], ["lightness", "item"]).where(F.col("nth") <= limit)
     return assemble(kept.select("length", "item", "costs").toArrow(), sorted(r[0] for r in sizes.collect()), options)
 
 

@@ -97,6 +97,11 @@ def near_duplicates(docs: DataFrame, similarity: Similarity = Similarity(), *, d
     (component null); rows that repeat an id are one document where that id
     is the smallest of a class.  Other columns are not read.
     """
+    return _labelled(docs, similarity, doc_id, text).drop("digest")
+
+
+def _labelled(docs: DataFrame, similarity: Similarity, doc_id: str, text: str) -> DataFrame:
+    """``near_duplicates`` with the digest of each row's text."""
     scratch = Scratch(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     signed = scratch.write(_signed(rows, similarity))
@@ -106,8 +111,8 @@ def near_duplicates(docs: DataFrame, similarity: Similarity = Similarity(), *, d
     labels = components(links, scratch)
     named = classes.join(labels, "node", "left").select("set_id", F.coalesce("component", "node").alias("component_id"))
     named = scratch.write(named)  # so that the join below can split a set with many copies
-    joined = linkable.join(named, "set_id").select("doc_id", "n_shingles", "component_id")
-    alone = signed.where("doc_id IS NULL OR n_shingles = 0").selectExpr("doc_id", "n_shingles", "doc_id AS component_id")
+    joined = linkable.join(named, "set_id").select("doc_id", "n_shingles", "component_id", "digest")
+    alone = signed.where("doc_id IS NULL OR n_shingles = 0").selectExpr("doc_id", "n_shingles", "doc_id AS component_id", "digest")
     return joined.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
@@ -120,12 +125,12 @@ def _signed(rows: DataFrame, similarity: Similarity) -> DataFrame:
             sets = (shingle_set(t.as_py(), size) for t in batch.column("text"))
             found = [(len(s), set_id(s), band_keys(*signature(s, multipliers, offsets), bands, depth) if len(s) else []) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([f[0] for f in found], pa.int64()),
+                [batch.column("doc_id"), batch.column("digest"), pa.array([f[0] for f in found], pa.int64()),
                  pa.array([f[1] for f in found], pa.binary()), pa.array([f[2] for f in found], pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "set_id", "bands"],
+                names=["doc_id", "digest", "n_shingles", "set_id", "bands"],
             )
 
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, set_id binary, bands array<long>")
+    return rows.withColumn("digest", F.md5("text")).mapInArrow(run, "doc_id long, digest string, n_shingles long, set_id binary, bands array<long>")
 
 
 def _links(rows: DataFrame, linkable: DataFrame, similarity: Similarity, scratch: Scratch) -> DataFrame:
@@ -289,6 +294,12 @@ def _beside_pivots(seen: DataFrame, similarity: Similarity, scratch: Scratch) ->
 
 
 def deduplicate(docs: DataFrame, similarity: Similarity = Similarity(), *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the documents that are not the first of their component; all columns stay."""
-    gone = near_duplicates(docs, similarity, doc_id=doc_id, text=text).where("NOT kept").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs[doc_id].cast("long") == F.col("__gone"), "left_anti")
+    """``docs`` without the documents that are not the first of their component; all columns stay.
+
+    Rows of one id are told apart by their text: one that is a copy of an
+    earlier document goes, another text of the same id stays.  See
+    ``near_duplicates`` for null, empty and repeated rows.
+    """
+    gone = _labelled(docs, similarity, doc_id, text).where("NOT kept").select("doc_id", "digest").distinct()
+    same = (docs[doc_id].cast("long") == gone["doc_id"]) & (F.md5(docs[text]) == gone["digest"])
+    return docs.join(gone, same, "left_anti")

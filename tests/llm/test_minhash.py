@@ -76,6 +76,15 @@ def test_nulls_and_repeated_ids(spark):
     assert sorted((r.doc_id for r in kept.collect()), key=str) == [3, 3, None, None]
 
 
+def test_another_text_of_a_dropped_id_stays(spark):
+    text, other = " ".join(f"w{i}" for i in range(40)), " ".join(f"v{i}" for i in range(40))
+    rows = [(1, text), (2, text), (2, other), (3, text.upper()), (3, None), (2, text)]
+    df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, digest int")
+    kept = minhash.deduplicate(df)
+    assert kept.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == [(1, text), (2, other), (3, None)]
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert minhash.near_duplicates(df).collect() == [] and minhash.deduplicate(df).collect() == []
