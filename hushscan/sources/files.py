@@ -2,17 +2,30 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import contextlib
+import functools
+import itertools
+import os
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from hushscan.functions import content as C, paths as P
+from hushscan.operators.cluster import materialise
 from hushscan.operators.detect import DEFAULT
+from hushscan.operators.ordered import carry_forward
 from hushscan.options import Options
 
 
 _LISTED = "path string, location string, length long"
+_ENTRIES = _LISTED + ", is_folder boolean"
+_PAGE = 10_000
 _BATCH_BYTES = 16 << 20
+#: bytes of files that one task reads
+TASK_BYTES = 128 << 20
+#: opening a file costs about as much as reading this
+_OPEN_BYTES = 256 << 10
 _READERS_PER_CORE = 4
 
 
@@ -27,72 +40,104 @@ def filesystem(root: str):
     return fs.LocalFileSystem(), root
 
 
-def _listing(root: str, folder: str, recursive: bool):
+def _entries(root: str, folder: str) -> Iterator[tuple[str, int, bool]]:
+    """(location, length, is_folder) of what stands in a folder; links to folders are not followed."""
     from pyarrow import fs
 
     system, _ = filesystem(root)
-    return system.get_file_info(fs.FileSelector(folder, recursive=recursive, allow_not_found=True))
+    if isinstance(system, fs.LocalFileSystem):
+        with contextlib.suppress(OSError), os.scandir(folder) as found:  # read page by page
+            for e in found:
+                with contextlib.suppress(OSError):
+                    if e.is_dir(follow_symlinks=False):
+                        yield e.path, 0, True
+                    elif e.is_file():
+                        yield e.path, e.stat().st_size, False
+        return
+    for e in system.get_file_info(fs.FileSelector(folder, recursive=False, allow_not_found=True)):
+        yield e.path, e.size or 0, not e.is_file
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
     """(path, location, length) of every file below ``root``, hidden names included.
 
     Spark's own file listing leaves out names starting with ``.`` or ``_``, which
-    are ordinary sources here.  The upper folder levels are read first, until
-    there are enough folders to list the rest in parallel tasks.
+    are ordinary sources here.  The tree is read level by level: the folders of
+    a level are rows, dealt out over tasks, and what a task finds it hands on
+    in pages.  The driver knows how many levels there are and no names.
     """
     _, base = filesystem(root)
     base = base.rstrip("/")
-    wanted = spark.sparkContext.defaultParallelism * 4
-    folders, shallow, levels = [base], [], 0
-    while folders and len(folders) < wanted and levels < 4:
-        entries = [e for folder in folders for e in _listing(root, folder, False)]
-        shallow += [(e.path[len(base) + 1 :], e.path, e.size) for e in entries if e.is_file]
-        folders = [e.path for e in entries if not e.is_file]
-        levels += 1
-
-    def walk(batches):
-        import pandas as pd
 
+    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for folder in batch["folder"]:
-                found = [e for e in _listing(root, folder, True) if e.is_file]
-                for i in range(0, len(found), 10_000):
-                    part = found[i : i + 10_000]
-                    yield pd.DataFrame(
-                        {
-                            "path": [e.path[len(base) + 1 :] for e in part],
-                            "location": [e.path for e in part],
-                            "length": [e.size for e in part],
-                        }
+            for folder in batch.column("location").to_pylist():
+                found = _entries(root, folder)
+                while page := list(itertools.islice(found, _PAGE)):
+                    places, sizes, folders = zip(*page)
+                    names = [p[len(base) + 1 :] for p in places]
+                    yield pa.record_batch(
+                        [pa.array(names), pa.array(places), pa.array(sizes, pa.int64()), pa.array(folders)],
+                        names=["path", "location", "length", "is_folder"],
                     )
 
-    listed = spark.createDataFrame(shallow, _LISTED)
-    if not folders:
-        return listed
-    deeper = spark.createDataFrame([(f,) for f in folders], "folder string")
-    return listed.unionAll(
-        deeper.repartition(min(len(folders), wanted), "folder").mapInPandas(walk, _LISTED)
-    )
+    tasks = spark.sparkContext.defaultParallelism * _READERS_PER_CORE
+    frontier, levels = spark.createDataFrame([(base,)], "location string"), []
+    while True:
+        level = materialise(frontier.repartition(tasks, "location").mapInArrow(expand, _ENTRIES))
+        levels.append(level.where("NOT is_folder").drop("is_folder"))
+        frontier = level.where("is_folder").select("location")
+        if not frontier.limit(1).count():
+            return functools.reduce(DataFrame.unionAll, levels)
 
 
-def read_contents(paths: DataFrame, root: str) -> DataFrame:
-    """(path, content, error) for listed files; one that cannot be read has an error and no content."""
+def _binary_head(head: bytes, strict: bool) -> bool:
+    """``content.looks_binary`` for the first bytes of a file."""
+
+    def valid(data: bytes) -> bool:
+        try:
+            data.decode()
+        except UnicodeDecodeError:
+            return False
+        return True
+
+    first = head[: C.SNIFFED_BYTES]
+    return b"\0" in first or not any(valid(head[: C.SNIFFED_BYTES + more]) for more in range(1 if strict else 4))
+
+
+def _dealt(paths: DataFrame) -> DataFrame:
+    """The files in reading tasks of about equally many bytes."""
+    cost = F.coalesce("length", F.lit(0)) + _OPEN_BYTES
+    total = paths.agg(F.sum(cost).alias("b")).first().b or 0
+    tasks = max(paths.sparkSession.sparkContext.defaultParallelism * _READERS_PER_CORE, -(-total // TASK_BYTES))
+    rows = paths.select("path", "location", cost.alias("cost"), F.lit(0).alias("all"))
+    placed = carry_forward(rows, ["all"], "location", {}, {"so_far": F.col("cost")})
+    share = F.floor((F.col("so_far") - F.col("cost")) * tasks / F.lit(max(total, 1)))
+    return placed.select("path", "location", share.alias("share")).repartition(tasks, "share")
 
-    def read(batches):
-        import pyarrow as pa
 
+def read_contents(paths: DataFrame, root: str, skip_binary: bool = False, strict_sniff: bool = False) -> DataFrame:
+    """(path, content, error) for listed files; one that cannot be read has an error and no content.
+
+    With ``skip_binary`` the first KiB of a file is read and judged before the
+    rest, and a binary file gives no row.
+    """
+
+    def read(batches):
         system, _ = filesystem(root)
         schema = pa.schema([("path", pa.string()), ("content", pa.binary()), ("error", pa.string())])
         names, contents, errors, held = [], [], [], 0
         for batch in batches:
-            for name, location in zip(batch["path"].to_pylist(), batch["location"].to_pylist()):
+            for name, location in zip(batch.column("path").to_pylist(), batch.column("location").to_pylist()):
                 data, error = None, None
                 try:
                     with system.open_input_stream(location) as stream:
-                        data = stream.read()
+                        data = stream.read(C.SNIFFED_BYTES + 3)
+                        if skip_binary and _binary_head(data, strict_sniff):
+                            continue
+                        data += stream.read()
                 except OSError as problem:
-                    error = str(problem) or type(problem).__name__
+                    data, error = None, str(problem) or type(problem).__name__
                 names.append(name)
                 contents.append(data)
                 errors.append(error)
@@ -102,10 +147,7 @@ def read_contents(paths: DataFrame, root: str) -> DataFrame:
                     names, contents, errors, held = [], [], [], 0
         yield pa.record_batch([names, contents, errors], schema=schema)
 
-    # a fixed number: rows are short here, and runtime coalescing would judge
-    # by their size and leave all the reading to one task
-    tasks = paths.sparkSession.sparkContext.defaultParallelism * _READERS_PER_CORE
-    return paths.repartition(tasks, "location").mapInArrow(read, "path string, content binary, error string")
+    return _dealt(paths).mapInArrow(read, "path string, content binary, error string")
 
 
 def accepted_path(
@@ -136,8 +178,8 @@ def read_files(
 ) -> DataFrame:
     """(path, text, error) of the text files under ``root``.
 
-    Path rules run on the listing, so rejected files are never opened.  A file
-    that cannot be read is a row with an error and a null text, so an
+    Path rules run on the listing, so rejected files are never opened, and of a
+    binary file only the first KiB is read.  A file that cannot be read is a row with an error and a null text, so an
     incomplete scan can be told from a clean one.
     ``explicit`` marks a root that is a single file, which bypasses every rule.
     """
@@ -148,11 +190,8 @@ def read_files(
         return read_contents(single, root).select("path", C.decode_text(F.col("content")).alias("text"), "error")
     listed = list_files(spark, root)
     chosen = listed.where(accepted_path(F.col("path"), options, include, exclude, no_ignore))
-    return (
-        read_contents(chosen, root)
-        .where(F.col("error").isNotNull() | ~C.looks_binary(F.col("content"), strict_sniff))
-        .select("path", C.decode_text(F.col("content")).alias("text"), "error")
-    )
+    read = read_contents(chosen, root, skip_binary=True, strict_sniff=strict_sniff)
+    return read.select("path", C.decode_text(F.col("content")).alias("text"), "error")
 
 
 def select_files(

@@ -139,3 +139,48 @@ def test_long_ignore_lists_are_folded(spark):
     globs = [f"lib{i}/*.py" for i in range(3000)] + [f"name{i}" for i in range(3000)]
     df = spark.createDataFrame([("lib2999/x.py",), ("a/name17",), ("lib3000/x.py",)], "p string")
     assert [r[0] for r in df.select(matches_any(F.col("p"), globs)).collect()] == [True, True, False]
+
+
+def test_a_large_flat_folder(spark, tmp_path):
+    flat = tmp_path / "flat"
+    flat.mkdir()
+    for i in range(25_000):
+        (flat / f"f{i}.txt").touch()
+    (tmp_path / "loop").symlink_to(tmp_path)
+    listed = files.list_files(spark, str(tmp_path))
+    assert "LocalRelation" not in listed._jdf.queryExecution().optimizedPlan().toString()
+    assert listed.count() == listed.select("path").distinct().count() == 25_000
+    assert files.list_files(spark, str(tmp_path / "missing")).count() == 0
+
+
+def test_large_binaries_are_not_read_whole(spark, tmp_path):
+    write(tmp_path, {"a.txt": "x" * 5000, "b.txt": "y"})
+    for i in range(4):
+        with open(tmp_path / f"big{i}.txt", "wb") as out:
+            out.truncate(40 << 30)  # sparse, all NUL
+    assert sorted((r.path, len(r.text)) for r in files.read_files(spark, str(tmp_path)).collect()) == [("a.txt", 5000), ("b.txt", 1)]
+
+
+def test_the_head_of_a_file_is_judged_as_its_content(spark):
+    import random
+
+    from hushscan.functions import content
+
+    draw = random.Random(4)
+    pieces = [b"a", "é".encode(), "\u2603".encode(), "\U0001f600".encode(), b"\xff", b"\x00", b"\xed\xa0\x80", b"\xc3"]
+    given = []
+    for _ in range(400):
+        data = b"a" * draw.choice([0, 5, 1018, 1020, 1021, 1022, 1023, 1024])
+        data += b"".join(draw.choices(pieces, [8, 4, 4, 4, 1, 1, 1, 1], k=draw.randint(0, 9)))
+        given.append((bytearray(data),))
+    df = spark.createDataFrame(given, "content binary")
+    for strict in (False, True):
+        told = df.select("content", content.looks_binary(F.col("content"), strict).alias("b")).collect()
+        assert [files._binary_head(bytes(r.content)[:1027], strict) for r in told] == [r.b for r in told]
+
+
+def test_files_are_dealt_by_bytes(spark):
+    rows = [(f"f{i:04d}", f"f{i:04d}", 64 << 20 if i < 40 else 10) for i in range(400)]
+    dealt = files._dealt(spark.createDataFrame(rows, "path string, location string, length long"))
+    shares = [r["count"] for r in dealt.join(spark.createDataFrame(rows, "path string, l2 string, length long"), "path").where("length > 10").groupBy("share").count().collect()]
+    assert dealt.count() == 400 and len(shares) > 10 and max(shares) <= 5
