@@ -15,8 +15,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from hushscan.llm.common import Scratch
 from hushscan.operators.ordered import numbered
 
 UNKNOWN = "und"
@@ -60,18 +61,17 @@ class Model:
         self.reset()
 
     def reset(self) -> None:
-        self.known, self.table, self.used = {}, np.zeros((4096, len(self.languages)), np.float32), 0
-
-    def row(self, word: str) -> int:
-        """Where the costs of a word stand in ``table``."""
-        at = self.known.get(word)
-        if at is None:
-            if self.used == len(self.table):
-                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            at = self.known[word] = self.used
-            self.table[at] = self.cost(word)
-            self.used += 1
-        return at
+        self.known, self.table, self.used = {}, np.zeros((4096, len(self.languages) + 1), np.float32), 0
+
+    def learn(self, token: str) -> None:
+        """Put the costs of a token's words, and their number, into ``table``."""
+        if self.used == len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        self.known[token] = self.used
+        words = words_of(token)
+        if words:
+            self.table[self.used] = [*np.sum([self.cost(w) for w in words], axis=0), len(words)]
+        self.used += 1
 
     def cost(self, word: str) -> np.ndarray:
         if word in self.words:
@@ -85,15 +85,18 @@ class Model:
         return np.full(len(self.languages), self.options.penalty, np.float32)
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        words = words_of(text) if text else []
+        tokens = text.lower().split() if text else []  # no word holds white space
+        known = self.known
+        for token in set(tokens).difference(known):
+            self.learn(token)
+        rows = np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens))
+        total = np.zeros(len(self.languages) + 1)
+        for at in range(0, len(rows), 65536):
+            total += self.table[rows[at : at + 65536]].sum(axis=0, dtype=np.float64)
+        cost, words = total[:-1], int(total[-1])
         if not words or not self.languages:
             return UNKNOWN, 0.0
-        row, known = self.row, self.known
-        rows = [known[w] if w in known else row(w) for w in words]
-        cost = np.zeros(len(self.languages))
-        for at in range(0, len(rows), 65536):
-            cost += self.table[rows[at : at + 65536]].sum(axis=0, dtype=np.float64)
-        cost = cost / len(rows) * min(len(rows), self.options.certain) * math.log(10)
+        cost = cost / words * min(words, self.options.certain) * math.log(10)
         best = int(cost.argmin())
         return self.languages[best], float(1 / np.exp(cost[best] - cost).sum())
 
@@ -126,15 +129,19 @@ def fit(docs: DataFrame, options: Training = Training(), *, text: str = "text",
         "lang", "n", "length", F.expr("explode(transform(sequence(1, char_length(w) - length + 1), i -> substring(w, i, length)))").alias("item")
     )
     grams = grams.groupBy("lang", "item", "length").agg(F.sum("n").alias("n"))
-    every = counts.select("lang", "item", "length", "n").unionByName(grams.select("lang", "item", "length", "n"))
-    share = F.col("n") / F.sum("n").over(Window.partitionBy("lang", "length"))
-    items = every.withColumn("cost", -F.log10(share)).groupBy("length", "item").agg(
+    scratch = Scratch(docs.sparkSession)
+    every = scratch.write(counts.select("lang", "item", "length", "n").unionByName(grams.select("lang", "item", "length", "n")))
+    totals = every.groupBy("lang", "length").agg(F.sum("n").alias("total"))  # a row a language and length
+    share = F.col("n") / F.col("total")
+    items = every.join(F.broadcast(totals), ["lang", "length"]).withColumn("cost", -F.log10(share)).groupBy("length", "item").agg(
         F.sum(F.pow(F.lit(10.0), -F.col("cost"))).alias("weight"), F.collect_list(F.struct("lang", "cost")).alias("costs")
     )
     # six lengths would be six tasks: ranked over ranges of (length, weight) instead
     limit = F.when(F.col("length") == 0, options.words).otherwise(options.ngrams)
     kept = numbered(items.withColumn("lightness", -F.col("weight")), ["length"], ["lightness", "item"]).where(F.col("nth") <= limit)
-    return assemble(kept.select("length", "item", "costs").toArrow(), sorted(r[0] for r in sizes.collect()), options)
+    learnt = kept.select("length", "item", "costs").toArrow()
+    scratch.drop(every)
+    return assemble(learnt, sorted(r[0] for r in sizes.collect()), options)
 
 
 def assemble(found: pa.Table, languages: list[str], options: Training) -> Model:
