@@ -64,13 +64,20 @@ class Model:
         self.known, self.table, self.used = {}, np.zeros((4096, len(self.languages) + 1), np.float32), 0
 
     def learn(self, token: str) -> None:
-        """Put the costs of a token's words, and their number, into ``table``."""
+        """Know the row of ``table`` with the costs of a token's words, and their number."""
+        words = [token] if token.isalpha() else words_of(token)
+        if len(words) == 1 and words[0] in self.known:
+            self.known[token] = self.known[words[0]]
+            return
         if self.used == len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        row = self.table[self.used]
+        for word in words:
+            row[:-1] += self.cost(word)
+        row[-1] = len(words)
         self.known[token] = self.used
-        words = words_of(token)
-        if words:
-            self.table[self.used] = [*np.sum([self.cost(w) for w in words], axis=0), len(words)]
+        if len(words) == 1:
+            self.known[words[0]] = self.used
         self.used += 1
 
     def cost(self, word: str) -> np.ndarray:
