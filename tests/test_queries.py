@@ -15,7 +15,8 @@ CHECKED = [
     "baseline_former_kinds", "custom_rule_findings", "file_selection", "decoded_files", "history_first_seen",
     "severity_rollup", "sarif_results", "credentials", "leftover_references", "fix_plan", "line_reassembly",
     "alert_counts", "scrubbed_documents", "history_commits", "rotation_rollup", "sarif_log", "scan_files", "exclude_union",
-    "baseline_round_trip", "rule_id_collisions", "history_limit",
+    "baseline_round_trip", "rule_id_collisions", "history_limit", "lines_with_literals", "lines_with_many_literals",
+    "scrubbed_events", "many_rule_findings", "contested_env_keys",
 ]
 
 
