@@ -2,7 +2,8 @@
 
 A page is a chain of leaf blocks, each of them content or not.  Features are
 the tags, class and id words above a block and the shape of its text; edges
-know whether neighbours share their container.  The field is trained on
+know whether neighbours share their container.  Pages that do not mark their
+article have weights of their own for the shapes of texts.  The field is trained on
 labelled pages by gradient ascent on the likelihood and decoded by Viterbi.
 """
 
@@ -26,6 +27,8 @@ NOISE = frozenset(
     ".popup .modal .newsletter .subscribe .signup .comments .comment .disqus .reply .related .share .social "
     "role=navigation role=banner role=contentinfo role=complementary role=search role=dialog =hidden".split()
 )
+#: tags and class words by which a page marks its article
+MARKS = frozenset("article main role=main .content .post .entry .article .story".split())
 #: words that short blocks beside an article often hold
 _CUES = frozenset("cookie cookies subscribe copyright © comment comments reply share login advertisement newsletter privacy".split())
 
@@ -58,6 +61,24 @@ def text_features(block: Block) -> tuple[str, ...]:
     return tuple(found)
 
 
+def shape_features(blocks: list[Block]) -> list[tuple[str, ...]]:
+    """Text features of the blocks of a whole page.
+
+    Where nothing marks the article, only the shapes of the texts and of their
+    neighbours can tell it, and they are told apart from shapes on marked pages.
+    """
+    own = [text_features(b) for b in blocks]
+    if any(not MARKS.isdisjoint(b.path) for b in blocks):
+        return own
+    # size, share of links and tag of the blocks before and after
+    near = [names[:3] for names in own]
+    before, after = [("start",), *near[:-1]], [*near[1:], ("end",)]
+    return [
+        (*mine, *("plain:" + n for n in mine), *("before:" + n for n in a), *("after:" + n for n in b))
+        for mine, a, b in zip(own, before, after)
+    ]
+
+
 @dataclass
 class Field:
     """Weights: two scores a feature, and 2 x 2 scores for edges that leave or stay in a container."""
@@ -79,8 +100,8 @@ class Field:
             return []
         edges = self.edges.tolist()
         scores, back, before = (0.0, 0.0), [], None
-        for block in blocks:
-            (a, b), (c, d) = self.paths[block.path], self.shapes[text_features(block)]
+        for block, shape in zip(blocks, shape_features(blocks)):
+            (a, b), (c, d) = self.paths[block.path], self.shapes[shape]
             if before is None:
                 scores = (a + c, b + d)
             else:
@@ -111,13 +132,14 @@ def tagged(html: str | None) -> list[tuple[Block, bool]]:
 
 def train(pages: list[list[tuple[Block, bool]]], options: Training = Training()) -> Field:
     """Fit the field to labelled pages; long pages are cut into chains of ``longest`` blocks."""
-    chains = [p[i : i + options.longest] for p in pages for i in range(0, len(p), options.longest)]
+    shaped = [list(zip(p, shape_features([block for block, _ in p]))) for p in pages]
+    chains = [p[i : i + options.longest] for p in shaped for i in range(0, len(p), options.longest)]
     names: dict[str, int] = {}
     flat, owner, labels, same = [], [], [], []
     for chain in chains:
         before = None
-        for block, keep in chain:
-            for name in (*sorted(block.path), *text_features(block)):
+        for (block, keep), shape in chain:
+            for name in (*sorted(block.path), *shape):
                 flat.append(names.setdefault(name, len(names)))
                 owner.append(len(labels))
             labels.append(int(keep))

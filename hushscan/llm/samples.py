@@ -28,6 +28,9 @@ _BESIDE = (
     ('div class="share-buttons"', "items"), ('div class="social"', "links"), ("noscript", "prose"), ('div style="display:none"', "prose"),
 )
 
+#: kinds of text that can be told from an article by their shape alone
+_PLAIN_KINDS = ("links", "links", "site", "short", "form")
+
 
 class _Drawer:
     def __init__(self, seed: int):
@@ -68,7 +71,7 @@ class _Drawer:
 
     def content(self) -> str:
         """Blocks of an article; every text starts with the mark that labels it."""
-        draw, out = self.random, [f"<h1>\x01{self.words(2, 12)}</h1>"] if self.random.random() < 0.8 else []
+        draw, out = self.random, [f"<h1>\x01{self.words(1, 12)}</h1>"] if self.random.random() < 0.8 else []
         for _ in range(draw.randint(1, 9)):
             kind = draw.random()
             if kind < 0.7:
@@ -88,15 +91,41 @@ class _Drawer:
             out[0] = f"<header>{out[0]}</header>"
         return out
 
+    def plain(self, start: str, kind: str) -> str:
+        """Something beside the article inside nothing but plain containers."""
+        html = self.beside(start, kind)
+        for name in ("nav", "header", "footer", "form"):
+            html = html.replace(f"<{name}>", "<div>").replace(f"</{name}>", "</div>")
+        return html
+
+    def plain_page(self) -> str:
+        """A page of plain containers: nothing says by name where the article is."""
+        draw = self.random
+        body = "".join(self.content())
+        if draw.random() < 0.25:
+            body = body.replace("<p>", "<div>").replace("</p>", "</div>")
+        for _ in range(draw.choice((0, 0, 1, 2))):
+            body = f"<div>{body}</div>"
+        above = [self.plain("div", draw.choice(_PLAIN_KINDS)) for _ in range(draw.randint(0, 3))]
+        below = [self.plain("div", draw.choice(_PLAIN_KINDS)) for _ in range(draw.randint(0, 3))]
+        if draw.random() < 0.5:
+            # some pages do name what stands beside the article
+            above.insert(draw.randint(0, len(above)), self.beside(*draw.choice(_BESIDE)))
+            below.insert(draw.randint(0, len(below)), self.beside(*draw.choice(_BESIDE)))
+        whole = "".join((*above, body, *below))
+        return f"<html><head><title>{self.words(1, 5)}</title></head><body>{whole}</body></html>"
+
     def page(self) -> str:
         draw = self.random
+        if draw.random() < 0.3:
+            return self.plain_page()
         article = draw.choice(_ARTICLES)
         body = self.content()
         for _ in range(draw.choice((0, 1, 1, 2, 3))):
             body.insert(draw.randint(1, len(body)), self.beside(*draw.choice(_BESIDE[11:])))
         beside = [self.beside(*draw.choice(_BESIDE)) for _ in range(draw.randint(1, 6))]
         split = draw.randint(0, len(beside))
-        middle = f"<{article}>{''.join(body)}</{article.split()[0]}>" if draw.random() < 0.98 else "".join(body)
+        middle = f"<{article}>{''.join(body)}</{article.split()[0]}>"
         if draw.random() < 0.3:
             middle = f'<div class="container"><div class="row">{middle}</div></div>'
         whole = "".join(beside[:split]) + middle + "".join(beside[split:])

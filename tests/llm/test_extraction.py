@@ -58,15 +58,43 @@ def test_held_out_layouts(learnt):
     assert wrong <= 0.01 * total
 
 
+_LONG = "The river rose for three days and the lower town moved its boats, carts and cattle up to the old mill road."
+_MORE = "On the fourth day the water fell again, and people came back to wash the mud out of their kitchens."
+_MENU = '<ul><li><a href="/">Home</a></li><li><a href="/n">News</a></li><li><a href="/c">Contact</a></li></ul>'
+_LINKS = '<a href="/">Home</a> <a href="/n">News</a> <a href="/s">Sport</a>'
+_COPY = "&copy; 2024 Example Press"
+#: (page, its article), written by hand: nothing in them marks the article
+PLAIN_PAGES = [
+    (f"<div>{_LINKS}</div><div><h1>Flood</h1><p>{_LONG}</p><p>{_MORE}</p></div><div>{_COPY}</div>", ["Flood", _LONG, _MORE]),
+    (f"<div>{_MENU}</div><div><h1>Flood in town</h1><p>{_LONG}</p><p>{_MORE}</p></div><div><p>{_COPY}</p></div>", ["Flood in town", _LONG, _MORE]),
+    (f"<div>{_LINKS}</div><h1>Flood in town</h1><p>{_LONG}</p><p>{_MORE}</p><div>{_COPY}</div>", ["Flood in town", _LONG, _MORE]),
+    (f"<div><div>{_MENU}</div></div><div><div><h1>Flood</h1><p>{_LONG}</p><h2>After the flood</h2><p>{_MORE}</p></div></div>", ["Flood", _LONG, "After the flood", _MORE]),
+    (f"<p>{_LONG}</p><p>{_MORE}</p>", [_LONG, _MORE]),
+    (f"<div>{_LONG}</div><div>{_MORE}</div><div>{_LINKS}</div>", [_LONG, _MORE]),
+    (f"<nav>{_MENU}</nav><div><h1>Flood in town</h1><p>{_LONG}</p></div><footer>{_COPY}</footer>", ["Flood in town", _LONG]),
+    (f"<div>{_LINKS}</div><div><p>{_LONG}</p><ul><li>Boats were moved to the mill.</li><li>Carts were moved to the road.</li></ul><p>{_MORE}</p></div>", [_LONG, "Boats were moved to the mill.", "Carts were moved to the road.", _MORE]),
+    (f"<div><h1>Flood in town</h1><p>{_LONG}</p><blockquote>{_MORE}</blockquote><p>{_LONG}</p></div><div>{_MENU}</div><div>{_COPY}</div>", ["Flood in town", _LONG, _MORE, _LONG]),
+    (f"<div><h1>Flood in town</h1><p>{_LONG}</p><p>{_MORE}</p></div><form><label>Name</label><button>Send</button></form>", ["Flood in town", _LONG, _MORE]),
+    (f"<div>{_LINKS}</div><div><p>{_LONG}</p><p>{_MORE}</p></div><div class=\"cookie-notice\"><p>We use cookies.</p></div>", [_LONG, _MORE]),
+]
+
+
+@pytest.mark.parametrize("at", range(len(PLAIN_PAGES)))
+def test_pages_that_mark_nothing(learnt, at):
+    html, want = PLAIN_PAGES[at]
+    assert learnt.extract(html).split("\n\n") == want
+
+
 def test_viterbi_finds_the_best_chain(learnt):
     import itertools
 
     page = [b for b, _ in labelled_samples(40, 3)[7]][:9]
+    shapes = extraction.shape_features(page)
 
     def score(labels):
         total, before = 0.0, None
-        for block, label in zip(page, labels):
-            total += learnt.score(block.path)[label] + learnt.score(extraction.text_features(block))[label]
+        for block, shape, label in zip(page, shapes, labels):
+            total += learnt.score(block.path)[label] + learnt.score(shape)[label]
             if before is not None:
                 total += learnt.edges[int(before[0].path == block.path)][int(before[1])][label]
             before = (block, label)
