@@ -19,6 +19,19 @@ SKIPPED_DIRECTORIES = (
 )
 
 
+def _character_class(body: str, negated: bool) -> str:
+    """The characters of a bracket; a range that runs backwards holds none."""
+    parts, i = [], 0
+    while i < len(body):
+        ends = body[i] + body[i + 2] if body[i + 1 : i + 2] == "-" and i + 2 < len(body) else body[i]
+        i += 2 * len(ends) - 1
+        if ends[0] <= ends[-1]:
+            parts.append("-".join(re.sub(r"[\\\[\]&~|^-]", r"\\\g<0>", c) for c in ends))
+    if parts:
+        return f"[{'^' * negated}{''.join(parts)}]"
+    return "." if negated else "(?!)"
+
+
 def glob_to_regex(pattern: str) -> str:
     """Shell glob as an anchored Java regex; ``*`` and ``?`` cross ``/``."""
     out, i = [], 0
@@ -35,8 +48,7 @@ def glob_to_regex(pattern: str) -> str:
             if close < 0:
                 out.append(r"\[")
                 continue
-            body = re.sub(r"([\\\[\]&~|^])", r"\\\1", pattern[body_at:close])
-            out.append("[" + ("^" if body_at > i else "") + body + "]")
+            out.append(_character_class(pattern[body_at:close], negated=body_at > i))
             i = close + 1
         else:
             out.append(re.escape(char))

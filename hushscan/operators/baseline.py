@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hushscan.functions import patterns as P
 from hushscan.operators.detect import finding_id
@@ -58,3 +58,29 @@ def resolved(baseline: DataFrame, findings: DataFrame) -> DataFrame:
     own = findings.select(F.col("finding_id").alias("_id"))
     ids = own.unionByName(_former_ids(findings).select(F.col("former_id").alias("_id"))).distinct()
     return baseline.join(ids, F.col("id") == F.col("_id"), "left_anti")
+
+
+def keep_baseline(baseline: DataFrame, table: str, path: str, buckets: int = 200) -> None:
+    """Write a baseline as a table bucketed by fingerprint; entries without one are left out.
+
+    Scans compared with it later shuffle their findings only, and not even
+    those where they are kept in as many buckets by ``finding_id``.
+    """
+    rows = baseline.where("id is not null").dropDuplicates(["id"])
+    rows.write.bucketBy(buckets, "id").sortBy("id").mode("overwrite").option("path", path).saveAsTable(table)
+
+
+def new_against_kept(findings: DataFrame, table: str, legacy: bool = True) -> DataFrame:
+    """``new_findings`` against a kept baseline, whose rows are never shuffled.
+
+    Former fingerprints are looked up by a join of their own, since a union
+    with them would lose the buckets.
+    """
+    spark: SparkSession = findings.sparkSession
+    known = spark.table(table).select("id")
+    new = findings.join(known, F.col("finding_id") == F.col("id"), "left_anti")
+    if not legacy:
+        return new
+    former = _former_ids(findings).join(known, F.col("former_id") == F.col("id"), "left_semi")
+    stored = former.select(F.col("finding_id").alias("_stored")).distinct()
+    return new.join(stored, F.col("finding_id") == F.col("_stored"), "left_anti")

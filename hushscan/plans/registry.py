@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from hushscan.functions import content as C, paths as PA, redaction as R, spans as S
 from hushscan.functions.memo import memoised
 from hushscan.operators import baseline as B, fixes, history as H, lines as L, reports as RP
-from hushscan.operators import rules as RU, search, suppress, triage as T
+from hushscan.operators import ignore_index, rules as RU, search, sketches, suppress, triage as T
 from hushscan.operators.cluster import hold, materialise, scratch_path
 from hushscan.operators.detect import detect, explode_findings, finding_id, public, scan_texts
 from hushscan.operators.rule_table import detect_with_rules
@@ -17,7 +17,7 @@ from hushscan.operators.redact import redact_nested, redact_texts, scrub_literal
 from hushscan.options import Options
 from hushscan.plans import planted as PL
 from hushscan.sources import config, files
-from hushscan.streaming import reassembly, redaction as ST
+from hushscan.streaming import first_commits, reassembly, redaction as ST
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -266,6 +266,16 @@ def baseline_round_trip(spark, sf_dir):
     return B.new_findings(found.where("lang <> 'fr'"), config.load_baseline(spark, path)).select("source_id", "line", "kind", "finding_id")
 
 
+@query
+def baseline_kept(spark, sf_dir):
+    """New findings against a baseline kept in buckets of fingerprints."""
+    current, baseline = _sides(spark, sf_dir)
+    path = scratch_path(spark, "baseline")
+    table = path.rpartition("/")[2].replace("-", "_")
+    B.keep_baseline(baseline, table, path, 16)
+    return B.new_against_kept(current, table).select("source_id", "line", "kind", "finding_id")
+
+
 @query
 def baseline_former_kinds(spark, sf_dir):
     """A baseline written when provider formats were still reported as something general."""
@@ -904,3 +914,45 @@ def contested_env_keys(spark, sf_dir):
     )
     existing = spark.createDataFrame([("app", "TOKEN_3"), ("other", "TOKEN_4")], "project string, key string")
     return fixes.assign_env_keys(rows, existing).select("file", "start", "env_key")
+
+
+#: an ignore list with a line for every order: whole names, ends, fronts, and globs with text at the front or inside
+IGNORED_EXPR = (
+    "CASE o_orderkey % 7 WHEN 0 THEN concat('f', o_orderkey, '.py') WHEN 1 THEN concat('*b', o_orderkey, '.min.js') "
+    "WHEN 2 THEN concat('src/src', o_orderkey % 9, '/a', o_orderkey, '*') WHEN 3 THEN concat('src/*/e', o_orderkey, '.[rp]st') "
+    "WHEN 4 THEN concat('*/d ', o_orderkey, '#*') WHEN 5 THEN concat('c', o_orderkey, '?') "
+    "ELSE concat('[x-z]*', o_orderkey, '.p[!a-m][f-h]') END"
+)
+
+
+@query
+def many_ignore_patterns(spark, sf_dir):
+    """The files that an ignore list as long as the orders leaves."""
+    lines = PL.table(spark, sf_dir, "orders").select(F.expr(IGNORED_EXPR).alias("value"))
+    rows = PL.table(spark, sf_dir, "documents").select("doc_id", F.expr(FILE_EXPR).alias("path"))
+    return ignore_index.without_matched(rows, config.ignore_patterns(lines))
+
+
+@query
+def stream_first_commits(spark, sf_dir):
+    """History findings recorded batch by batch, folded once on the way: the same rows as over the whole history."""
+    base = scratch_path(spark, "commits")
+    public(H.history_findings(_hunks(spark, sf_dir))).repartition(4).write.parquet(f"{base}/arriving")
+    shape = spark.read.parquet(f"{base}/arriving").schema
+    arriving = spark.readStream.schema(shape).option("maxFilesPerTrigger", 1).parquet(f"{base}/arriving")
+    writer = first_commits.record_stream(arriving, f"{base}/table", ("repo",))
+    writer.option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    first_commits.compact(spark, f"{base}/table", ("repo",))
+    return first_commits.first_commits(spark, f"{base}/table", ("repo",))
+
+
+@query
+def merged_sketches(spark, sf_dir):
+    """Credentials per kind from sketches kept per language and source, beside the exact number."""
+    found = public(detect(_docs(spark, sf_dir), "doc_id", keep=("lang", "source")))
+    found = materialise(found.select("lang", "source", "kind", "finding_id"))
+    kept = materialise(sketches.sketch_counts(found, "finding_id", ("lang", "source", "kind")))
+    merged = sketches.estimates(sketches.merge_sketches(kept, ("kind",)), "estimate")
+    exact = found.groupBy("kind").agg(F.count_distinct("finding_id").alias("findings"))
+    bound = 4 * sketches.relative_error() * F.col("findings") + 1
+    return exact.join(merged, "kind").select("kind", "findings", (F.abs(F.col("estimate") - F.col("findings")) <= bound).alias("within_bound"))

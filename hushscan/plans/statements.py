@@ -127,7 +127,7 @@ STATEMENTS["baseline_rows"] = _found() + _SIDES + "SELECT * FROM old"
 STATEMENTS["baseline_new_findings"] = (
     _found() + _SIDES + "SELECT * FROM cur WHERE finding_id NOT IN (SELECT id FROM old)"
 )
-STATEMENTS["baseline_round_trip"] = STATEMENTS["baseline_new_findings"]
+STATEMENTS["baseline_round_trip"] = STATEMENTS["baseline_kept"] = STATEMENTS["baseline_new_findings"]
 STATEMENTS["baseline_accepted"] = (
     _found() + _SIDES + "SELECT * FROM cur WHERE finding_id IN (SELECT id FROM old)"
 )
@@ -627,3 +627,12 @@ SELECT 'a.py' AS file, k AS "start", concat('TOKEN_', k) AS env_key FROM claims
 UNION ALL SELECT 'b.py', k, CASE WHEN n = 1 THEN 'TOKEN' ELSE concat('TOKEN_', n) END FROM plain
 UNION ALL SELECT 'c.py', k, CASE WHEN k >= 2 AND (k IN (SELECT n FROM plain) OR k = 3)
     THEN concat('TOKEN_', k, '_2') ELSE concat('TOKEN_', k) END FROM claims WHERE m = 1"""
+STATEMENTS["many_ignore_patterns"] = f"""
+WITH listed AS (SELECT {R.IGNORED_EXPR} AS p FROM orders),
+files AS (SELECT doc_id, path, string_split(path, '/')[-1] AS base FROM (SELECT doc_id, {R.FILE_EXPR} AS path FROM documents)),
+gone AS (SELECT DISTINCT path FROM files JOIN listed ON path GLOB p OR base GLOB p)
+SELECT doc_id, path FROM files WHERE path NOT IN (SELECT path FROM gone)"""
+STATEMENTS["stream_first_commits"] = STATEMENTS["history_first_seen"]
+STATEMENTS["merged_sketches"] = (
+    _found() + "SELECT kind, count(DISTINCT finding_id) AS findings, true AS within_bound FROM found GROUP BY kind"
+)

@@ -17,6 +17,7 @@ CHECKED = [
     "alert_counts", "scrubbed_documents", "history_commits", "rotation_rollup", "sarif_log", "scan_files", "exclude_union",
     "baseline_round_trip", "rule_id_collisions", "history_limit", "lines_with_literals", "lines_with_many_literals",
     "scrubbed_events", "many_rule_findings", "contested_env_keys",
+    "many_ignore_patterns", "stream_first_commits", "merged_sketches", "baseline_kept",
 ]
 
 
