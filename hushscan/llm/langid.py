@@ -128,8 +128,9 @@ def fit(docs: DataFrame, options: Training = Training(), *, text: str = "text",
     share = F.least(F.lit(1.0), F.lit(float(options.docs_per_language)) / F.col("n"))
     chosen = rows.join(F.broadcast(sizes), "lang").where(F.pmod("h", F.lit(1 << 20)) < share * (1 << 20))
     chosen = chosen.select("lang", "text").distinct()
-    words = chosen.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(LETTERS), F.lit(0))).alias("item"))
-    counts = words.groupBy("lang", "item").agg(F.count(F.lit(1)).alias("n")).withColumn("length", F.lit(0))
+    # a plain explode would have the optimizer search the words of all documents, in a filter below the sampling
+    words = chosen.select("lang", F.explode_outer(F.regexp_extract_all(F.lower("text"), F.lit(LETTERS), F.lit(0))).alias("item"))
+    counts = words.where("item IS NOT NULL").groupBy("lang", "item").agg(F.count(F.lit(1)).alias("n")).withColumn("length", F.lit(0))
     padded = F.concat(F.lit(" "), F.col("item"), F.lit(" "))
     grams = counts.select("lang", "n", padded.alias("w"), F.explode(F.sequence(F.lit(1), F.lit(options.longest))).alias("length"))
     grams = grams.where("length <= char_length(w)").select(
