@@ -80,15 +80,18 @@ class Memo(dict):
         self.make, self.limit, self.old = make, limit, {}
 
     def __missing__(self, key):
-        if len(self) >= self.limit:
-            self.old = dict(self)
-            self.clear()
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
-        self[key] = value
+        self.put(key, value)
         return value
 
+    def put(self, key, value) -> None:
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """Connected components of undirected ``edges`` (a long, b long).

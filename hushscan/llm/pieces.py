@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from hushscan.llm.common import Memo
+from hushscan.llm.trie import APART, Trie, characters
 
 #: the tokenizer file is a parameter; this is where the box has one
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -48,7 +49,8 @@ class Vocabulary:
         # a piece that merging its own characters does not give is never an output
         merged = {p: self.merge(p) for p in self.ids} if merges else {}
         #: the pieces by their characters: char -> (id of the piece that ends here or -1, what may follow)
-        self.tree = self.grown({p: i if not merges or merged[p][0] == [p] else -1 for p, i in self.ids.items()})
+        given = {p: i if not merges or merged[p][0] == [p] else -1 for p, i in self.ids.items()}
+        self.tree, self.flat = self.grown(given), Trie(given)
         self.halves = {p: last for p, (parts, last) in merged.items() if parts == [p] and last}
         self.pairs = Memo(self.stay_apart, 1_000_000)
         self.longest = max(map(len, self.ids), default=1)
@@ -218,28 +220,118 @@ class Vocabulary:
         said = b"".join([surface[i] for i in ids])
         return array(self.code, ids).tobytes(), said == word.replace(SPACE, " ").replace(_LITERAL, SPACE).encode()
 
+    def many(self, words: list[str]) -> list[tuple[bytes, bool]]:
+        """``word`` of many short texts: one search over all of them, position by position.
+
+        The words stand behind each other with a gap between them; position p
+        is the border before character p.  What ``relax`` does at one start is
+        done here for all words that are long enough to have it.
+        """
+        if not words:
+            return []
+        joined = APART.join(words) + APART
+        chars = characters(joined)
+        numbers = self.flat.numbers(chars)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        starts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
+        inside = np.arange(len(chars)) - np.repeat(starts, sizes + 1)
+        found = [(at, np.full(len(at), n), piece) for n, (at, piece) in enumerate(self.flat.matches(numbers, self.longest), 1)]
+        begin, length, piece = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in (zip(*found) if found else ((), (), ())))
+        order = np.argsort(inside[begin], kind="stable")
+        begin, length, piece = begin[order], length[order], piece[order]
+        # characters no piece begins with, by their place in the word
+        strange = np.flatnonzero(~np.isin(numbers, self.flat.keys[:-1]) & (inside < np.repeat(sizes, sizes + 1)))
+        strange = strange[np.argsort(inside[strange], kind="stable")]
+        longest = int(sizes.max())
+        cuts = np.searchsorted(inside[begin], np.arange(longest + 1))
+        odd = np.searchsorted(inside[strange], np.arange(longest + 1))
+        origin, by = np.zeros(len(chars), np.int64), np.full(len(chars), -2, np.int64)
+        best = np.full(len(chars), _NEVER)
+        by[starts], best[starts] = -1, 0.0
+        scores, pairs = np.array(self.scores), self.pairs
+        for step in range(longest):
+            some = slice(cuts[step], cuts[step + 1])
+            start, end, one = begin[some], begin[some] + length[some], piece[some]
+            if self.merges:
+                before = by[start]
+                fits = (by[end] == -2) & (before != -2)
+                ask = np.flatnonzero(fits & (before >= 0))
+                keys = before[ask] * len(self.pieces) + one[ask]
+                fits[ask] = np.fromiter(map(pairs.__getitem__, keys.tolist()), bool, len(ask))
+            else:
+                sums = best[start] + scores[one]
+                fits = sums > best[end]
+                best[end[fits]] = sums[fits]
+            origin[end[fits]], by[end[fits]] = start[fits], one[fits]
+            start = strange[odd[step] : odd[step + 1]]
+            start = start[by[start + 1] == -2]
+            best[start + 1], origin[start + 1], by[start + 1] = best[start] + self.floor, start, -1
+        # back from the ends: the borders of the pieces
+        border = np.zeros(len(chars), bool)
+        at, first = starts + sizes, starts
+        while True:
+            on = at > first
+            at, first = at[on], first[on]
+            if not len(at):
+                break
+            border[at] = True
+            at = origin[at]
+        ends = np.flatnonzero(border)
+        ids = by[ends]
+        unknown = np.flatnonzero(ids < 0)
+        at_word = np.searchsorted(starts, ends, "right") - 1
+        if len(unknown):
+            spelt = [self.fallback(joined[i]) for i in (ends[unknown] - 1).tolist()]
+            counts = np.ones(len(ids), np.int64)
+            counts[unknown] = list(map(len, spelt))
+            ids, at_word = np.repeat(ids, counts), np.repeat(at_word, counts)
+            ids[ids < 0] = [i for s in spelt for i in s]
+        upto = np.searchsorted(at_word, np.arange(len(words)), "right").tolist()
+        packed, width = ids.astype(self.kind).tobytes(), self.kind().itemsize
+        said, out, a = list(map(self.surface.__getitem__, ids.tolist())), [], 0
+        for word, b in zip(words, upto):
+            same = b"".join(said[a:b]) == word.replace(SPACE, " ").replace(_LITERAL, SPACE).encode()
+            out.append((packed[a * width : b * width], same))
+            a = b
+        return out
+
     def spaced(self, word: str) -> tuple[bytes, bool]:
         return self.word(SPACE + word)
 
-    def encode(self, text: str, memo: Memo) -> tuple[bytes, bool]:
-        """The packed ids of a text, and whether those of each of its words decode to that word.
-
-        ``memo`` holds ``spaced`` words, cut at the marks of single spaces.
-        """
-        if not text:
-            return b"", True
+    def words(self, text: str) -> list[str]:
+        """The parts of a text that are searched apart, without the mark of their first space."""
         marked = text.replace(SPACE, _LITERAL).replace(" ", SPACE)
         if not self.apart:
-            return self.word(SPACE + marked)
-        words, look = marked.split(SPACE), memo.__getitem__
+            return [marked]
+        words = marked.split(SPACE)
         if "" in words:  # several spaces in a row, or one at an end, are one word with what follows
-            words = [w[1:] for w in _WORDS.findall(SPACE + marked)]
-        if max(map(len, words)) < _MEMO_LENGTH:
-            found = map(look, words)
-        else:
-            found = (look(w) if len(w) < _MEMO_LENGTH else self.spaced(w) for w in words)
-        ids, whole = zip(*found)
-        return b"".join(ids), all(whole)
+            return [w[1:] for w in _WORDS.findall(SPACE + marked)]
+        return words
+
+    def encode(self, texts: list[str | None], memo: Memo) -> list[tuple[bytes, bool] | None]:
+        """The packed ids of each text, and whether those of each of its words decode to that word.
+
+        ``memo`` holds ``spaced`` words; those it lacks are searched together.
+        """
+        parts = [self.words(text) if text else [] for text in texts]
+        found = [list(map(memo.get, words)) for words in parts]
+        lacking = [i for i, got in enumerate(found) if None in got]
+        fresh = {w for i in lacking for w, got in zip(parts[i], found[i]) if got is None and len(w) < _MEMO_LENGTH}
+        fresh = [w for w in fresh if w not in memo.old]
+        for at in range(0, len(fresh), 65536):
+            some = fresh[at : at + 65536]
+            for word, ids in zip(some, self.many([SPACE + w for w in some])):
+                memo.put(word, ids)
+        for i in lacking:
+            found[i] = [memo[w] if len(w) < _MEMO_LENGTH else self.spaced(w) for w in parts[i]]
+        out = []
+        for text, got in zip(texts, found):
+            if not got:
+                out.append(None if text is None else (b"", True))
+                continue
+            ids, whole = zip(*got)
+            out.append((b"".join(ids), all(whole)))
+        return out
 
     def decode(self, ids: Iterable[int]) -> str:
         surface = self.surface
@@ -271,7 +363,7 @@ def encode_texts(docs: DataFrame, vocabulary: Vocabulary, *, text: str = "text",
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 texts = part.column("t").to_pylist()
-                packed = [None if t is None else v.encode(t, memo) for t in texts]
+                packed = v.encode(texts, memo)
                 rows = [np.frombuffer(p[0] if p else b"", v.kind) for p in packed]
                 sizes = np.array([len(r) for r in rows], np.int64)
                 offsets = np.concatenate([[0], np.cumsum(sizes)])

@@ -22,7 +22,7 @@ def library():
 
 
 def unpacked(vocabulary, text):
-    return np.frombuffer(vocabulary.encode(text, Memo(vocabulary.spaced))[0], vocabulary.kind).tolist()
+    return np.frombuffer(vocabulary.encode([text], Memo(vocabulary.spaced))[0][0], vocabulary.kind).tolist()
 
 
 def test_merge_pieces_equal_the_library(vocabulary, library):
@@ -71,6 +71,18 @@ def test_unigram_pieces_against_the_whole_search():
         assert got == ways[-1]
 
 
+def test_words_searched_together_equal_words_alone(vocabulary):
+    draw = random.Random(11)
+    bits = ["the", "in", "▁", "x", "é", "漢", "er", "a", "ing", "\n", "ation", "0", "日本", "😀", "aaaa", "\x00", pieces._LITERAL]
+    words = ["".join(draw.choice(bits) for _ in range(draw.randint(1, 14))) for _ in range(3000)]
+    assert vocabulary.many(words) == [vocabulary.word(w) for w in words] and vocabulary.many([]) == []
+    names = list("abcd") + ["".join(draw.choice("abcd") for _ in range(draw.randint(2, 6))) for _ in range(60)]
+    names = ["<unk>"] + list(dict.fromkeys(names))
+    v = pieces.Vocabulary(names, [-draw.uniform(1, 9) for _ in names], [0], [], 0, merges=False)
+    words = ["".join(draw.choice("abcdx") for _ in range(draw.randint(1, 30))) for _ in range(500)]
+    assert v.many(words) == [v.word(w) for w in words]
+
+
 def test_encode_and_decode_tables(spark, vocabulary, library):
     rows = [(1, "Hello there", "k", 1), (2, None, "k", 1), (3, "", "k", 1), (None, "a▁b " * 3000, "k", 1), (1, "Hello there", "k", 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids string, n int")
