@@ -10,14 +10,16 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hushscan.llm.common import Scratch
+from hushscan.llm.trie import APART, Trie, characters
 from hushscan.operators.ordered import numbered
 
 UNKNOWN = "und"
@@ -58,54 +60,78 @@ class Model:
     options: Training
 
     def __post_init__(self):
+        self.tries = [Trie(grams) for grams in self.ngrams]
         self.reset()
 
     def reset(self) -> None:
+        """Forget the tokens seen so far."""
         self.known, self.table, self.used = {}, np.zeros((4096, len(self.languages) + 1), np.float32), 0
 
-    def learn(self, token: str) -> None:
-        """Know the row of ``table`` with the costs of a token's words, and their number."""
-        words = [token] if token.isalpha() else words_of(token)
-        if len(words) == 1 and words[0] in self.known:
-            self.known[token] = self.known[words[0]]
-            return
-        if self.used == len(self.table):
+    def learn(self, tokens: Iterable[str]) -> None:
+        """Know the rows of ``table`` that hold the costs of each token's words, and their number."""
+        new = [t for t in tokens if t not in self.known]
+        lower = [t.lower() for t in new]
+        split = [[t] if t.isalpha() else words_of(t) for t in lower]
+        words = list(set().union(*split))
+        place = dict(zip(words, range(len(words))))
+        owner = np.repeat(np.arange(len(new)), list(map(len, split)))
+        item = np.fromiter((place[w] for s in split for w in s), np.int64, len(owner))
+        rows = np.zeros((len(new), len(self.languages) + 1), np.float32)
+        np.add.at(rows, owner, np.column_stack([self.word_costs(words), np.ones(len(words), np.float32)])[item])
+        while self.used + len(new) > len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        row = self.table[self.used]
-        for word in words:
-            row[:-1] += self.cost(word)
-        row[-1] = len(words)
-        self.known[token] = self.used
-        if len(words) == 1:
-            self.known[words[0]] = self.used
-        self.used += 1
+        self.table[self.used : self.used + len(new)] = rows
+        self.known.update(zip(new, range(self.used, self.used + len(new))))
+        self.used += len(new)
+
+    def word_costs(self, words: list[str]) -> np.ndarray:
+        """A row of costs for each word: its own, or the mean of its longest n-grams of which one is known."""
+        out = np.full((len(words), len(self.languages)), self.options.penalty, np.float32)
+        whole = np.fromiter((self.words.get(w, -1) for w in words), np.int64, len(words))
+        out[whole >= 0] = self.costs[whole[whole >= 0]]
+        open_ = np.flatnonzero(whole < 0)
+        for n in range(self.options.longest, 0, -1):
+            if not len(open_):
+                break
+            chars = characters("".join([f" {words[i]} {APART}" for i in open_.tolist()]))
+            owner = np.cumsum(chars == ord(APART)) - (chars == ord(APART))
+            trie = self.tries[n - 1]
+            for length, (at, item) in enumerate(trie.matches(trie.numbers(chars), n), 1):
+                if length < n:
+                    continue
+                counts = np.bincount(owner[at], minlength=len(open_))
+                have = counts > 0
+                for language in range(len(self.languages)):
+                    sums = np.bincount(owner[at], self.costs[item, language], len(open_))
+                    out[open_[have], language] = sums[have] / counts[have]
+                open_ = open_[~have]
+        return out
 
     def cost(self, word: str) -> np.ndarray:
-        if word in self.words:
-            return self.costs[self.words[word]]
-        padded = f" {word} "
-        for n in range(self.options.longest, 0, -1):
-            grams = self.ngrams[n - 1]
-            found = [grams[g] for g in (padded[i : i + n] for i in range(len(padded) - n + 1)) if g in grams]
-            if found:
-                return self.costs[found].mean(axis=0)
-        return np.full(len(self.languages), self.options.penalty, np.float32)
+        return self.word_costs([word])[0]
+
+    def predict_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the languages (-1: unknown) and scores of an array of texts."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        tokens = pc.utf8_split_whitespace(texts)  # no word holds white space
+        sizes, found = np.diff(tokens.offsets.to_numpy()), tokens.flatten().dictionary_encode()
+        named = found.dictionary.to_pylist()
+        self.learn(named)
+        rows = np.fromiter(map(self.known.__getitem__, named), np.int64, len(named))[found.indices.to_numpy()]
+        owner = np.repeat(np.arange(len(texts)), sizes)
+        total = np.column_stack([np.bincount(owner, column[rows], len(texts)) for column in self.table[: self.used].T])
+        cost, words = total[:, :-1], total[:, -1]
+        sure = (words > 0) & bool(self.languages)
+        best, score = np.full(len(texts), -1), np.zeros(len(texts))
+        if sure.any():
+            scaled = cost[sure] * (np.minimum(words[sure], self.options.certain) / words[sure] * math.log(10))[:, None]
+            best[sure] = scaled.argmin(axis=1)
+            score[sure] = 1 / np.exp(scaled.min(axis=1)[:, None] - scaled).sum(axis=1)
+        return best, score
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        tokens = text.lower().split() if text else []  # no word holds white space
-        known = self.known
-        for token in set(tokens).difference(known):
-            self.learn(token)
-        rows = np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens))
-        total = np.zeros(len(self.languages) + 1)
-        for at in range(0, len(rows), 65536):
-            total += self.table[rows[at : at + 65536]].sum(axis=0, dtype=np.float64)
-        cost, words = total[:-1], int(total[-1])
-        if not words or not self.languages:
-            return UNKNOWN, 0.0
-        cost = cost / words * min(words, self.options.certain) * math.log(10)
-        best = int(cost.argmin())
-        return self.languages[best], float(1 / np.exp(cost[best] - cost).sum())
+        best, score = self.predict_all(pa.array([text], pa.large_string()))
+        return (self.languages[best[0]] if best[0] >= 0 else UNKNOWN), float(score[0])
 
 
 def held_out(doc_id: str) -> Column:
@@ -165,6 +191,17 @@ def assemble(found: pa.Table, languages: list[str], options: Training) -> Model:
     return Model(languages, words, ngrams, np.minimum(costs, options.penalty), options)
 
 
+def portions(texts: pa.Array, most: int = 8 << 20) -> Iterator[tuple[int, int]]:
+    """(first row, rows) of stretches of at most so many bytes, or of one text."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes, dtype=np.int64)
+    start = 0
+    while start < len(sizes):
+        upto = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, "right")))
+        yield start, upto - start
+        start = upto
+
+
 def identify(docs: DataFrame, model: Model, *, text: str = "text", lang_pred: str = "lang_pred", score: str = "score") -> DataFrame:
     """``docs`` with the predicted language and a score from 0 to 1 behind all its columns.
 
@@ -179,15 +216,18 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text", lang_pred: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         learnt = shared.value
+        names = pa.array([UNKNOWN, *learnt.languages], pa.string())
         for batch in batches:
-            if len(learnt.known) > 400_000:
-                learnt.reset()
-            said = [learnt.predict(t) for t in batch.column(f"c{at}").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(f"c{i}") for i in kept]
-                + [pa.array([s[0] for s in said], pa.string()), pa.array([s[1] for s in said], pa.float64())],
-                names=[f"c{i}" for i in kept] + ["p", "s"],
-            )
+            texts = batch.column(f"c{at}")
+            for start, rows in portions(texts):
+                if learnt.used > 400_000:
+                    learnt.reset()
+                best, score = learnt.predict_all(texts.slice(start, rows))
+                part = batch.slice(start, rows)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(f"c{i}") for i in kept] + [names.take(pa.array(best + 1)), pa.array(score)],
+                    names=[f"c{i}" for i in kept] + ["p", "s"],
+                )
 
     schema = ", ".join(f"c{i} {plain.schema[i].dataType.simpleString()}" for i in kept)
     tagged = plain.mapInArrow(run, schema + ", p string, s double")
