@@ -193,3 +193,12 @@ def test_number_signs_are_no_letters():
     for text in ("\u00bd \u00bd", "\u00b2", "\u2460\u2461", "\u2167", "12 _ \u0663"):
         assert model.predict(text) == (langid.UNKNOWN, 0.0)
     assert langid.words_of("Ab\u00bdc d\u2167 \u4e00\u00b2\u00e9") == ["ab", "c", "d", "\u4e00", "\u00e9"]
+
+
+def test_portions_cover_all_rows_once():
+    import pyarrow as pa
+
+    for texts in ([], [None], ["abc"] * 5, [None, "x" * 9, "", "ab", None, "y" * 30, "c"], ["", ""]):
+        got = list(langid.portions(pa.array(texts, pa.string()), most=10))
+        assert [i for start, n in got for i in range(start, start + n)] == list(range(len(texts)))
+        assert all(n == 1 or sum(len(t or "") for t in texts[start : start + n]) <= 10 for start, n in got)
