@@ -16,7 +16,7 @@ DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 def test_every_operator_has_a_query():
     named = [re.match(r"op(\d+)_", name)[1] for name in queries.QUERIES]
-    assert sorted(map(int, named)) == list(range(1, 11))
+    assert sorted(map(int, named)) == list(range(1, 14))
     assert set(queries.QUERIES) <= set(entry.queries()) and entry.queries()["pipeline"] is corpus_pipeline.run
 
 
@@ -37,11 +37,13 @@ def test_query(spark, name):
 
 @pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.STATEMENTS)))
 def test_query_covers_its_table(spark, name):
-    table, key = ("pages", "page_id") if name.startswith("op4") else ("documents", "doc_id")
+    table, key = {"op4": ("pages", "page_id"), "op13": ("embeddings", "vec_id")}.get(name.split("_")[0], ("documents", "doc_id"))
     rows = queries.QUERIES[name](spark, SF).collect()
     ids = {r[0] for r in spark.read.parquet(f"{SF}/{table}.parquet").select(key).collect()}
     if name.startswith("op1_"):
         assert {i for r in rows for i in r.doc_ids} == ids
+    elif name.startswith("op13_"):
+        assert sorted((r.vec_id, r.component) for r in rows) == [(i, c) for i in sorted(ids) for c in range(1, 9)]
     else:
         assert sorted(r[key] for r in rows) == sorted(ids)
 
