@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from hushscan.functions import patterns as P, redaction
 from hushscan.functions.folds import bind
 from hushscan.operators.detect import DEFAULT, redact_column
-from hushscan.operators.cluster import hold
+from hushscan.operators.cluster import hold, never_broadcast
 from hushscan.operators.search import candidates, gram_filter, needle_grams, with_grams
 from hushscan.options import Options
 
@@ -114,8 +114,8 @@ def scrub_texts(texts: DataFrame, literals: DataFrame, text: str = "text", mask:
     touched = hold(marked.where(F.col("_grams").isNotNull()).withColumn("_digest", F.sha2(F.col(text), 256)))
     # copies of a text are put together before anything is shuffled
     whole = touched.groupBy("_digest").agg(F.first(text).alias("_text"), F.first("_grams").alias("_grams"))
-    met = candidates(whole.select("_digest", "_grams"), grams, ["_digest"]).join(words, "key")
-    sure = met.join(whole.select("_digest", "_text"), "_digest").where(F.contains("_text", F.col("needle")))
+    met = candidates(whole.select("_digest", "_grams"), grams, ["_digest"]).join(never_broadcast(words), "key")
+    sure = met.join(never_broadcast(whole.select("_digest", "_text")), "_digest").where(F.contains("_text", F.col("needle")))
     order = F.array_sort(F.collect_list(F.struct((-F.length("needle")).alias("n"), "needle")))
     found = sure.groupBy("_digest").agg(order.alias("_found"))
     hidden = F.aggregate(
@@ -123,5 +123,5 @@ def scrub_texts(texts: DataFrame, literals: DataFrame, text: str = "text", mask:
         F.col(text),
         lambda out, f: F.replace(out, f["needle"], F.lit(mask)),
     )
-    scrubbed = touched.drop("_grams").join(found, "_digest", "left").withColumn(text, hidden)
+    scrubbed = touched.drop("_grams").join(never_broadcast(found), "_digest", "left").withColumn(text, hidden)
     return untouched.unionByName(scrubbed.select(*texts.columns))

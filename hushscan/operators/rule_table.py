@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from hushscan.functions import spans as S
 from hushscan.functions.folds import empty_array
-from hushscan.operators.cluster import hold
+from hushscan.operators.cluster import hold, never_broadcast
 from hushscan.operators.detect import DEFAULT, explode_findings, scan_texts
 from hushscan.operators.ordered import numbered
 from hushscan.operators.search import candidates, gram_filter, needle_grams, with_grams
@@ -144,15 +144,15 @@ def with_rule_spans(texts: DataFrame, rules: DataFrame, text: str = "text", name
     marked = with_grams(texts, text, bitmap, tiers).withColumn("_digest", F.sha2(F.col(text), 256))
     touched = hold(marked.where(F.col("_grams").isNotNull()))
     whole = touched.groupBy("_digest").agg(F.first(text).alias("_text"), F.first("_grams").alias("_grams"))
-    met = candidates(whole.select("_digest", "_grams"), grams, ["_digest"]).join(indexed, "key")
+    met = candidates(whole.select("_digest", "_grams"), grams, ["_digest"]).join(never_broadcast(indexed), "key")
     chosen = met.groupBy("_digest").agg(F.array_sort(F.collect_list(F.struct("literal", "rule"))).alias("_met"))
     held = F.filter("_met", lambda m: F.contains("_text", m["literal"]))
-    tried = whole.select("_digest", "_text").join(chosen, "_digest").select(
+    tried = whole.select("_digest", "_text").join(never_broadcast(chosen), "_digest").select(
         "_digest", "_text", F.transform(held, lambda m: m["rule"]).cast(_TRIED).alias("_rules")
     )
     found = _tried(tried.where("size(_rules) > 0"), "_text", "_rules", ["_digest"])
     nothing = empty_array(S.SPAN)
-    own = touched.join(found, "_digest", "left").select(*texts.columns, F.coalesce("_custom", nothing).alias(name))
+    own = touched.join(never_broadcast(found), "_digest", "left").select(*texts.columns, F.coalesce("_custom", nothing).alias(name))
     rest = marked.where(F.col("_grams").isNull()).select(*texts.columns, nothing.alias(name))
     return _with_unindexed(rest.unionByName(own), good, text, name)
 

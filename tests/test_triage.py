@@ -280,3 +280,18 @@ def test_no_credential_reaches_the_shared_folder(spark):
     cluster.release(spark)
     after = {os.path.join(d, f) for d, _, names in os.walk(folder) for f in names}
     assert not (after - before) and not cluster._TABLES and not cluster._HELD
+
+
+def test_substring_joins_broadcast_no_side_that_a_step_made_larger(spark):
+    """The optimizer takes exploded rows for as small as the files and had the driver collect them."""
+    from hushscan.operators import redact, search
+
+    lines = spark.createDataFrame([(i, f"some words of line {i} and token tok-{i:08d} in it") for i in range(50)], "n int, line string")
+    needles = spark.createDataFrame([(f"k{i}", f"tok-{i:08d}") for i in range(0, 50, 2)], "needle_id string, needle string")
+    hits = search.line_hits(lines, needles, ["n"])
+    scrubbed = redact.scrub_texts(lines, needles, "line")
+    for made in (hits, scrubbed):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    assert {(r.needle_id, r.n) for r in hits.collect()} == {(f"k{i}", i) for i in range(0, 50, 2)}
+    assert scrubbed.where(F.contains("line", F.lit("tok-"))).count() == 25
