@@ -11,11 +11,13 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hushscan.functions.paths import base_name, glob_to_regex
 from hushscan.operators.cluster import broadcast_if_small, materialise
+from hushscan.operators.search import gram_filter, passes
 
 #: keys inside a path are no longer than this
 INNER = 12
@@ -76,12 +78,46 @@ def _pieces(how: str, starts: Column, lengths: list[int]) -> Column:
     return F.transform(F.array_distinct(keys), lambda key: F.struct(F.lit(how).alias("how"), key.alias("key")))
 
 
+def _known_keys(rows: DataFrame, offers: Column, keyed: DataFrame) -> DataFrame:
+    """(path, base, hash): the pieces of each path that may be a key, by a Bloom filter of all keys."""
+    bitmap, _ = gram_filter(keyed.select(F.lit(0).alias("tier"), F.xxhash64("how", "key").alias("gram")))
+    shared = rows.sparkSession.sparkContext.broadcast(bitmap)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("hashes")
+            hashes = lists.flatten().to_numpy()
+            owner = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
+            ok = passes(shared.value, hashes)
+            owner = pa.array(owner[ok])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("path").take(owner), batch.column("base").take(owner), pa.array(hashes[ok])],
+                names=["path", "base", "hash"],
+            )
+
+    hashes = F.transform(offers, lambda o: F.xxhash64(o["how"], o["key"])).alias("hashes")
+    return rows.select("path", "base", hashes).mapInArrow(kept, "path string, base string, hash bigint")
+
+
+def _has_key() -> Column:
+    """The path has the key where its pattern says."""
+    path, base, key, how = F.col("path"), F.col("base"), F.col("key"), F.col("how")
+    return (
+        F.when(how == "whole", (path == key) | (base == key))
+        .when(how == "head", F.startswith(path, key) | F.startswith(base, key))
+        .when(how == "tail", F.endswith(path, key))
+        .otherwise(F.contains(path, key))
+    )
+
+
 def matched_paths(paths: DataFrame, patterns: DataFrame, path: str = "path", column: str = "pattern") -> DataFrame:
     """The distinct paths that a pattern matches, whole or by their last part.
 
     The driver gets the distinct lengths of keys that fit a path (no more than
-    the longest path has characters); patterns and paths stay rows.  The index
-    is broadcast only after it was measured; where it is not, a key that very
+    the longest path has characters) and a Bloom filter of the keys, 64 MB at
+    most; patterns and paths stay rows, and only pieces that pass the filter
+    leave the scan.  They meet the keys by hash, which the key itself confirms.
+    The index is broadcast only after it was measured; where it is not, a key that very
     many paths offer is split by adaptive execution, since it is one key of few
     patterns.  Patterns without any plain text have nothing to be looked up by
     and are tried on each path, as one array.
@@ -100,11 +136,11 @@ def matched_paths(paths: DataFrame, patterns: DataFrame, path: str = "path", col
     offers = [F.transform(whole, lambda key: F.struct(F.lit("whole").alias("how"), key.alias("key")))]
     offers += [_pieces(how, starts, sorted(lengths[how])) for how in ("head", "tail", "inner") if how in lengths]
     # explode_outer, since the optimizer copies the expression into a filter below a plain explode
-    offered = rows.select("path", "base", F.explode_outer(F.concat(*offers)).alias("o"))
-    offered = offered.select("path", "base", "o.how", "o.key")
-    met = offered.join(broadcast_if_small(fitting, "how", "key", "regex"), ["how", "key"])
+    offered = _known_keys(rows, F.concat(*offers), fitting)
+    keys = fitting.withColumn("hash", F.xxhash64("how", "key"))
+    met = offered.join(broadcast_if_small(keys, "how", "key", "regex"), "hash")
     verified = F.col("regex").isNull() | F.rlike("path", F.col("regex")) | F.rlike("base", F.col("regex"))
-    by_key = met.where(verified).select("path")
+    by_key = met.where(_has_key() & verified).select("path")
     loose = index.where("how = 'any'").agg(F.collect_list("regex").alias("loose"))
     tried = rows.join(F.broadcast(loose)).where(
         F.exists("loose", lambda regex: F.rlike(F.col("path"), regex) | F.rlike(F.col("base"), regex))

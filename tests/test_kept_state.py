@@ -140,3 +140,16 @@ def test_first_commits_survive_replay_and_compaction(spark, tmp_path):
     first_commits.record(batches[4], 5, path, ("repo",))
     same(5)
     assert "value" not in first_commits.first_commits(spark, path, ("repo",)).columns
+
+
+def test_pieces_of_paths_are_never_broadcast(spark, tmp_path, monkeypatch):
+    """A long list met the exploded pieces of all paths in a broadcast, since their files are small."""
+    from hushscan.operators import cluster
+
+    monkeypatch.setattr(cluster, "BROADCAST_ROWS", 5)
+    spark.range(40).selectExpr("id AS n", "concat('src/a', id, '/f', id, '.py') AS path").write.parquet(f"{tmp_path}/paths")
+    spark.range(0, 40, 2).selectExpr("explode(array(concat('f', id, '.py'), concat('*/a', id, '/*.txt'))) AS pattern").write.parquet(f"{tmp_path}/list")
+    left = ignore_index.matched_paths(spark.read.parquet(f"{tmp_path}/paths"), spark.read.parquet(f"{tmp_path}/list"))
+    plan = left._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    assert sorted(r.path for r in left.collect()) == sorted(f"src/a{i}/f{i}.py" for i in range(0, 40, 2))

@@ -282,12 +282,15 @@ def test_no_credential_reaches_the_shared_folder(spark):
     assert not (after - before) and not cluster._TABLES and not cluster._HELD
 
 
-def test_substring_joins_broadcast_no_side_that_a_step_made_larger(spark):
+def test_substring_joins_broadcast_no_side_that_a_step_made_larger(spark, tmp_path):
     """The optimizer takes exploded rows for as small as the files and had the driver collect them."""
     from hushscan.operators import redact, search
 
     lines = spark.createDataFrame([(i, f"some words of line {i} and token tok-{i:08d} in it") for i in range(50)], "n int, line string")
     needles = spark.createDataFrame([(f"k{i}", f"tok-{i:08d}") for i in range(0, 50, 2)], "needle_id string, needle string")
+    for name, rows in (("lines", lines), ("needles", needles)):
+        rows.write.parquet(f"{tmp_path}/{name}")  # files have a size the optimizer goes by
+    lines, needles = (spark.read.parquet(f"{tmp_path}/{name}") for name in ("lines", "needles"))
     hits = search.line_hits(lines, needles, ["n"])
     scrubbed = redact.scrub_texts(lines, needles, "line")
     for made in (hits, scrubbed):
