@@ -97,13 +97,21 @@ def read_rules(rules: DataFrame) -> DataFrame:
             told = [_read(p, n) for n, p in zip(batch.column("name").to_pylist(), batch.column("pattern").to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, *(pa.array([t[i] for t in told], pa.string()) for i in (0, 1))],
-                names=["name", "pattern", "message", "literal"],
+                names=["rule_index", "name", "pattern", "message", "literal"],
             )
 
     rows = rules.select(F.col("name").cast("string"), F.col("pattern").cast("string"))
-    read_ = rows.mapInArrow(read, "name string, pattern string, message string, literal string")
-    placed = numbered(read_.withColumn("_all", F.lit(0)), ["_all"], ["name", "pattern"])
-    return placed.select((F.col("nth") - 1).cast("int").alias("rule_index"), "name", "pattern", "message", "literal")
+    placed = numbered(rows.withColumn("_all", F.lit(0)), ["_all"], ["name", "pattern"])
+    index = (F.col("nth") - 1).cast("int").alias("rule_index")
+    # reading a pattern takes far longer than moving it, so they are dealt out to all tasks
+    dealt = placed.select(index, "name", "pattern").repartition(_tasks(rules), "rule_index")
+    return dealt.mapInArrow(read, "rule_index int, name string, pattern string, message string, literal string")
+
+
+def _tasks(rows: DataFrame) -> int:
+    """A number of partitions that adaptive execution does not lower."""
+    spark = rows.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
 def _matches(text: str, rules: Sequence[dict]) -> list[dict]:

@@ -101,3 +101,14 @@ def test_no_rules_and_no_texts(spark):
     assert R.detect_with_rules(df, none).count() == 0
     rule = spark.createDataFrame([("r", "k1")], "name string, pattern string")
     assert R.detect_with_rules(df.where("source_id = 'z'"), rule).count() == 0
+
+
+def test_rules_of_one_file_are_read_by_many_tasks(spark, tmp_path):
+    from hushscan.operators.rule_table import read_rules
+
+    rows = spark.range(300).selectExpr("concat('r', id) AS name", "concat('lit-', id, '-[0-9]+') AS pattern")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/rules")
+    read = read_rules(spark.read.parquet(f"{tmp_path}/rules"))
+    assert read.rdd.getNumPartitions() >= 4
+    assert "MapInArrow" in (plan := read._jdf.queryExecution().optimizedPlan().toString()) and plan.index("MapInArrow") < plan.index("Repartition")
+    assert [r.name for r in read.orderBy("rule_index").collect()] == sorted(f"r{i}" for i in range(300))
