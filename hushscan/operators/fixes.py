@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hushscan.functions.folds import bind, empty_array, running
 from hushscan.functions.paths import suffix
-from hushscan.operators.cluster import materialise
+from hushscan.operators.cluster import materialise, never_broadcast
 from hushscan.operators.detect import DEFAULT, scan_texts
 from hushscan.operators.ordered import carry_forward, numbered
 from hushscan.options import Options
@@ -200,12 +200,18 @@ def _taken(rows: DataFrame, existing: DataFrame, order: tuple[str, ...]) -> Data
     while True:
         settled = materialise(level.select(*name, "lost", _effective(F.col("blocks"), F.col("lost")).alias("numbers")))
         found.append(settled)
-        parents = settled.select("project", F.col("desired").alias("base"), F.col("numbers").alias("_kept"))
+        parents = settled.select("project", F.col("desired").alias("base"))
         below = left.join(parents, ["project", "base"])
         if below.limit(1).count() == 0:
             break
-        # its first claim gets the name itself where that number was left to it
-        level = below.withColumn("lost", F.col("lost") | ~F.array_contains("_kept", F.col("at"))).drop("_kept")
+        # its first claim gets the name itself where that number was left to it; the
+        # numbers are looked up as rows, since each of very many names asks for one
+        kept = settled.select(
+            "project", F.col("desired").alias("base"), F.explode("numbers").alias("at"), F.lit(True).alias("_kept")
+        )
+        level = below.join(never_broadcast(kept), ["project", "base", "at"], "left").withColumn(
+            "lost", F.col("lost") | (F.col("at").isNotNull() & F.col("_kept").isNull())
+        ).drop("_kept")
     out = None
     for settled in found:
         all_ = F.concat(F.when(F.col("lost"), F.array(F.lit(1).cast("bigint"))).otherwise(F.array().cast("array<bigint>")), "numbers")

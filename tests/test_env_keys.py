@@ -55,3 +55,14 @@ def test_one_stem_of_very_many_claims(spark):
 def test_no_claims(spark):
     none = spark.createDataFrame([], "project string, key string")
     assert fixes.assign_env_keys(spark.createDataFrame([], SCHEMA), none).count() == 0
+
+
+def test_numbers_of_a_stem_are_looked_up_as_rows(spark, monkeypatch):
+    """Every numbered name carried the array of all numbers its stem finds taken."""
+    plans, write = [], fixes.materialise
+    monkeypatch.setattr(fixes, "materialise", lambda df: plans.append(df._jdf.queryExecution().analyzed().toString()) or write(df))
+    rows = [("p", "f", i, f"K_{i}" if i % 3 else "K") for i in range(60)]
+    none = spark.createDataFrame([("p", "K_5")], "project string, key string")
+    got = fixes.assign_env_keys(spark.createDataFrame(rows, SCHEMA), none).collect()
+    assert {(r.project, r.file, r.start): r.env_key for r in got} == in_turn(rows, [("p", "K_5")])
+    assert plans and not any("array_contains" in p for p in plans)
