@@ -10,7 +10,7 @@ from hushscan.functions import patterns as P, redaction
 from hushscan.functions.folds import bind
 from hushscan.operators.detect import DEFAULT, redact_column
 from hushscan.operators.cluster import hold, never_broadcast
-from hushscan.operators.search import candidates, gram_filter, needle_grams, with_grams
+from hushscan.operators.search import candidates, digest, gram_filter, needle_grams, with_grams
 from hushscan.options import Options
 
 
@@ -106,12 +106,12 @@ def scrub_texts(texts: DataFrame, literals: DataFrame, text: str = "text", mask:
     ``(needle_id, needle)`` rows; they and ``texts`` are read more than once.
     Null texts stay null.
     """
-    words = literals.select("needle").where("needle <> ''").distinct().withColumn("key", F.sha2("needle", 256))
+    words = literals.select("needle").where("needle <> ''").distinct().withColumn("key", digest("needle"))
     grams = hold(needle_grams(words, "key"))
     bitmap, tiers = gram_filter(grams)
     marked = with_grams(texts, text, bitmap, tiers)
     untouched = marked.where(F.col("_grams").isNull()).drop("_grams")
-    touched = hold(marked.where(F.col("_grams").isNotNull()).withColumn("_digest", F.sha2(F.col(text), 256)))
+    touched = hold(marked.where(F.col("_grams").isNotNull()).withColumn("_digest", digest(F.col(text))))
     # copies of a text are put together before anything is shuffled
     whole = touched.groupBy("_digest").agg(F.first(text).alias("_text"), F.first("_grams").alias("_grams"))
     met = candidates(whole.select("_digest", "_grams"), grams, ["_digest"]).join(never_broadcast(words), "key")

@@ -298,3 +298,35 @@ def test_substring_joins_broadcast_no_side_that_a_step_made_larger(spark, tmp_pa
         assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
     assert {(r.needle_id, r.n) for r in hits.collect()} == {(f"k{i}", i) for i in range(0, 50, 2)}
     assert scrubbed.where(F.contains("line", F.lit("tok-"))).count() == 25
+
+
+def test_literals_are_keyed_by_sixteen_bytes_and_their_grams_not_shuffled(spark):
+    from hushscan.operators import search
+
+    words = spark.createDataFrame([("k" * 40,), ("some literal of more than 27 bytes",)], "needle string").withColumn("key", search.digest("needle"))
+    assert {len(r.key) for r in words.collect()} == {16}
+    grams = search.needle_grams(words, "key")
+    assert "Aggregate" not in grams._jdf.queryExecution().optimizedPlan().toString()
+    rows = [tuple(r) for r in grams.select(F.hex("key"), "tier", "gram").collect()]
+    assert len(rows) == len(set(rows)) and len({r[0] for r in rows}) == 2
+
+
+def test_grams_the_filter_drops_take_no_memory(monkeypatch):
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from hushscan.operators import search
+
+    monkeypatch.setattr(search, "_CHUNK", 1 << 16)
+    said, places = search._bytes_of(pa.array(["".join(random.Random(3).choices("abcdefgh ", k=2_000_000))]))
+    bitmap = np.random.default_rng(1).integers(0, 256, 1 << 12, dtype=np.uint8) & 17
+    owner, grams = search.winnowed(said, places, 3)
+    ok = search.passes(bitmap, grams)
+    tracemalloc.start()
+    mine = search.winnowed(said, places, 3, bitmap)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.array_equal(mine[0], owner[ok]) and np.array_equal(mine[1], grams[ok])
+    assert peak < 16 * len(grams)  # what all grams and their owners take
