@@ -49,6 +49,8 @@ class Training:
     penalty: float = 7.0
     #: words after which more text does not make a prediction more certain
     certain: int = 20
+    #: tokens of which a task remembers the costs before it begins anew
+    remembered: int = 200_000
 
 
 @dataclass
@@ -191,7 +193,7 @@ def assemble(found: pa.Table, languages: list[str], options: Training) -> Model:
     return Model(languages, words, ngrams, np.minimum(costs, options.penalty), options)
 
 
-def portions(texts: pa.Array, most: int = 8 << 20) -> Iterator[tuple[int, int]]:
+def portions(texts: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """(first row, rows) of stretches of at most so many bytes, or of one text."""
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     ends = np.cumsum(sizes, dtype=np.int64)
@@ -202,6 +204,15 @@ def portions(texts: pa.Array, most: int = 8 << 20) -> Iterator[tuple[int, int]]:
         start = upto
 
 
+def predictions(model: Model, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, rows, places, scores) portion by portion; what Arrow freed goes back to the system in the end."""
+    for start, rows in portions(texts):
+        if model.used > model.options.remembered:
+            model.reset()
+        yield start, rows, *model.predict_all(texts.slice(start, rows))
+    pa.default_memory_pool().release_unused()
+
+
 def identify(docs: DataFrame, model: Model, *, text: str = "text", lang_pred: str = "lang_pred", score: str = "score") -> DataFrame:
     """``docs`` with the predicted language and a score from 0 to 1 behind all its columns.
 
@@ -218,11 +229,7 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text", lang_pred: st
         learnt = shared.value
         names = pa.array([UNKNOWN, *learnt.languages], pa.string())
         for batch in batches:
-            texts = batch.column(f"c{at}")
-            for start, rows in portions(texts):
-                if learnt.used > 400_000:
-                    learnt.reset()
-                best, score = learnt.predict_all(texts.slice(start, rows))
+            for start, rows, best, score in predictions(learnt, batch.column(f"c{at}")):
                 part = batch.slice(start, rows)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(f"c{i}") for i in kept] + [names.take(pa.array(best + 1)), pa.array(score)],

@@ -202,3 +202,18 @@ def test_portions_cover_all_rows_once():
         got = list(langid.portions(pa.array(texts, pa.string()), most=10))
         assert [i for start, n in got for i in range(start, start + n)] == list(range(len(texts)))
         assert all(n == 1 or sum(len(t or "") for t in texts[start : start + n]) <= 10 for start, n in got)
+
+
+def test_a_language_task_holds_little_at_once():
+    import pyarrow as pa
+
+    model = langid.Model(["en", "fr"], {"ab": 0}, [{}] * 5, np.array([[1, 2]], np.float32), langid.Training(remembered=50_000))
+    texts = pa.array([" ".join(f"{at + i:x}" for i in range(10_000)) + " ab" for at in range(0, 600_000, 10_000)], pa.string())
+    seen, most = [], 0
+    for start, rows, best, score in langid.predictions(model, texts):
+        assert texts.slice(start, rows).nbytes <= (1 << 20) + 8 * (rows + 1)
+        seen += range(start, start + rows)
+        assert len(best) == len(score) == rows and set(best) == {0}
+        most = max(most, model.used)
+    assert seen == list(range(60))
+    assert most <= 50_000 + (1 << 20) // 4  # tokens of one portion on top
