@@ -61,3 +61,20 @@ def test_detection_reads_only_what_it_needs(spark):
     plan = entry.queries()["detected_findings"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
     assert plan.count("Generate explode") == 1
+
+
+def test_tables_of_one_row_group_are_dealt_out_at_any_size(spark, tmp_path, monkeypatch):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    from pyspark.sql import functions as F
+
+    from hushscan.plans import planted as PL
+
+    monkeypatch.setattr(PL, "SMALL_BYTES", 0, raising=False)
+    monkeypatch.setattr(PL, "PART_BYTES", 1 << 10, raising=False)
+    ids = [*range(2000), None, 7]
+    pq.write_table(pa.table({"doc_id": ids}), tmp_path / "documents.parquet")
+    dealt = PL.evened(spark, str(tmp_path), "documents", "doc_id")
+    rows = dealt.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(rows) > 5 and max(r["count"] for r in rows) < 1000
+    assert sorted(r["doc_id"] or -1 for r in dealt.collect()) == sorted(i or -1 for i in ids)
