@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import samples
@@ -330,3 +331,92 @@ def test_grams_the_filter_drops_take_no_memory(monkeypatch):
     tracemalloc.stop()
     assert np.array_equal(mine[0], owner[ok]) and np.array_equal(mine[1], grams[ok])
     assert peak < 16 * len(grams)  # what all grams and their owners take
+
+
+def _shuffled(frame) -> list[str]:
+    """What each exchange of a plan moves, as schemas."""
+    spark, found = frame.sparkSession, []
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        todo = [frame.select("*")._jdf.queryExecution().executedPlan()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "Exchange":
+            found.append(node.schema().toDDL())
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return found
+
+
+def test_lines_and_literals_are_shuffled_as_digests_and_only_hits(spark):
+    """Literals, their grams and the lines were held and shuffled: more than ten times the texts."""
+    from hushscan.operators import search
+
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopé ") for _ in range(n))
+    texts = [(i, word(400)) for i in range(200)]
+    lines = spark.createDataFrame(texts, "n int, line string")
+    pieces = [t[i : i + 40] for _, t in texts for i in range(0, 400, 40)]
+    needles = spark.createDataFrame([(p,) for p in [*pieces, "nowhere", ""]], "needle string")
+    hits = search.line_hits(lines, needles, ["n"])
+    moved = _shuffled(hits)
+    assert len(moved) == 2 and not any("STRING" in m.upper() for m in moved)
+    want = {(hashlib.md5(p.encode()).hexdigest(), n) for p in pieces for n, t in texts if p in t}
+    got = [tuple(r) for r in hits.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_windows_hold_all_literals_and_little_else(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from hushscan.operators import search
+
+    rng = random.Random(12)
+    word = lambda n: "".join(rng.choice("abc0é😀-") for _ in range(n))
+    rows = [word(rng.randint(0, 300)).encode() for _ in range(60)] + [b""] * 3 + [("é" * 900).encode()]
+    literals = {t[a : a + n] for t in rows for n in (1, 2, 3, 5, 17, 31, 32, 40, 63, 64, 90, 200) for a in (0, 7, 33) if len(t) >= a + n}
+    said, places = search._bytes_of(pa.array(rows, pa.binary()))
+    for step in (search._STEP, 250):
+        monkeypatch.setattr(search, "_STEP", step)
+        for rounds in (1, 3):
+            sizes = search.Sizes(tuple(sorted({len(x) for x in literals})), 18, rounds)
+            made = [[np.zeros(1 << b >> 3, np.uint8) for b in (17, 18)] for _ in range(rounds)]
+            for x in literals:
+                data, width = np.frombuffer(x, np.uint8), search._width(len(x))
+                front = search._known_by(data, np.array([0]), width)
+                whole = search._whole(front, search._known_by(data, np.array([len(x) - width]), width), len(x))
+                pair = made[int(search._round_of(front, rounds)[0])]
+                for bitmap, bits, probes, hashes in zip(pair, (17, 18), search._PROBES, (front, whole)):
+                    for nth in range(probes):
+                        bit = int(search._bit(search._entries(hashes, bits), nth)[0])
+                        bitmap[bit >> 3] |= 1 << (bit & 7)
+            found = set()
+            for nth in range(rounds):
+                for owner, start, length in search.windows(said, places, sizes, made[nth], nth):
+                    found |= {(o, bytes(said[s : s + n])) for o, s, n in zip(owner.tolist(), start.tolist(), length.tolist())}
+            want = {(i, x) for i, t in enumerate(rows) for x in literals if x in t}
+            assert want <= found and len(found) < 1.05 * len(want)
+
+
+def test_literals_are_looked_up_in_rounds(spark, monkeypatch):
+    """More literals than the filters tell apart: every round finds its share, and the rounds all of them."""
+    from hushscan.operators import search
+
+    monkeypatch.setattr(search, "_WHOLE_BITS", 18)
+    rng = random.Random(13)
+    texts = [(i, " ".join(f"{rng.randrange(36**6):x}" for _ in range(60))) for i in range(1000)]
+    pairs = [(k, " ".join(t.split(" ")[i : i + 2])) for k, (_, t) in enumerate(texts) for i in range(0, 60, 1)]
+    sizes = search.Sizes.of({10: len(pairs)})
+    assert sizes.rounds == 3 and sizes.bits == 18
+    lines = spark.createDataFrame([(n, t) for n, t in texts if n % 5 == 0], "n int, line string")
+    hits = search.line_hits(lines, spark.createDataFrame(pairs, "needle_id int, needle string"), ["n"])
+    got = [tuple(r) for r in hits.collect()]
+    assert len(got) == len(set(got)) and {(n, n) for n in range(0, 1000, 5)} <= set(got)
+    by_text = dict(texts)
+    said = {}
+    for k, p in pairs:
+        said.setdefault(k, []).append(p)
+    assert all(any(p in by_text[n] for p in said[k]) for k, n in got)
