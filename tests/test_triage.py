@@ -420,3 +420,19 @@ def test_literals_are_looked_up_in_rounds(spark, monkeypatch):
     for k, p in pairs:
         said.setdefault(k, []).append(p)
     assert all(any(p in by_text[n] for p in said[k]) for k, n in got)
+
+
+def test_lines_take_no_more_room_for_many_short_literals(spark):
+    """Every line carried all grams that pass the filter: nearly one for each of its bytes where literals are short."""
+    from hushscan.operators import search
+
+    rng = random.Random(14)
+    talk = [(i, " ".join(rng.choice(("in", "that", "ation", "to", "é", "whan", "ing")) + rng.choice(("", "er", "ed")) for _ in range(30))) for i in range(400)]
+    lines = spark.createDataFrame(talk, "n int, line string")
+    pairs = sorted({" ".join(t.split(" ")[:2]) for _, t in talk} | {" ".join(t.split(" ")[-2:]) for _, t in talk})
+    needles = spark.createDataFrame([(p,) for p in pairs], "needle string")
+    sizes, filters = search.window_filters(needles)
+    left = search._window_digests(lines, ["n"], "line", sizes, next(filters), 0, search._md5).count()
+    want = {(hashlib.md5(p.encode()).hexdigest(), n) for p in pairs for n, t in talk if p in t}
+    assert left < 1.05 * len(want)
+    assert {tuple(r) for r in search.line_hits(lines, needles, ["n"]).collect()} == want
