@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from hushscan.functions.folds import bind, empty_array, running
+from hushscan.functions.folds import bind
 from hushscan.functions.paths import suffix
 from hushscan.operators.cluster import materialise, never_broadcast
 from hushscan.operators.detect import DEFAULT, scan_texts
-from hushscan.operators.ordered import carry_forward, numbered
+from hushscan.operators.ordered import numbered
 from hushscan.options import Options
 
 # --- Fixed values: languages a plan is offered for, and display names -------------
@@ -188,71 +191,65 @@ def _taken(rows: DataFrame, existing: DataFrame, order: tuple[str, ...]) -> Data
     numbers = held.withColumn("before", F.lit(0).cast("bigint")).unionByName(rivals)
     numbers = materialise(numbers.groupBy(*name, "n").agg(F.min("before").alias("before")))
     own = numbers.where("n = 1").select(*name, F.lit(True).alias("known"))
-    blocks = numbers.where("n > 1").groupBy(*name).agg(
-        F.array_sort(F.collect_list(F.struct("n", (F.col("n") - F.col("before")).alias("reach")))).alias("blocks")
-    )
-    state = materialise(names.select(*name, "base", "at").join(own, name, "left").join(blocks, name, "left"))
+    events = numbers.where("n > 1").select(*name, "n", (F.col("n") - F.col("before")).alias("reach"))
+    state = materialise(names.select(*name, "base", "at").join(own, name, "left"))
     # a name's own number 1 may be taken by the claims of its base, so bases are settled first
     upper = state.select("project", F.col("desired").alias("base"), F.lit(True).alias("_upper"))
     level = state.join(upper, ["project", "base"], "left").withColumn("lost", F.coalesce("known", F.lit(False)))
     level, left = level.where("_upper IS NULL"), materialise(level.where("_upper"))
-    found = []
+    out = None
     while True:
-        settled = materialise(level.select(*name, "lost", _effective(F.col("blocks"), F.col("lost")).alias("numbers")))
-        found.append(settled)
-        parents = settled.select("project", F.col("desired").alias("base"))
-        below = left.join(parents, ["project", "base"])
+        level = materialise(level.select(*name, "lost"))
+        settled = materialise(_effective(events.join(level, name)))
+        part = level.where("lost").select(*name, F.lit(1).cast("bigint").alias("number")).unionByName(settled)
+        out = part if out is None else out.unionByName(part)
+        below = left.join(level.select("project", F.col("desired").alias("base")), ["project", "base"])
         if below.limit(1).count() == 0:
-            break
+            return out
         # its first claim gets the name itself where that number was left to it; the
         # numbers are looked up as rows, since each of very many names asks for one
-        kept = settled.select(
-            "project", F.col("desired").alias("base"), F.explode("numbers").alias("at"), F.lit(True).alias("_kept")
-        )
+        kept = settled.select("project", F.col("desired").alias("base"), F.col("number").alias("at"), F.lit(True).alias("_kept"))
         level = below.join(never_broadcast(kept), ["project", "base", "at"], "left").withColumn(
             "lost", F.col("lost") | (F.col("at").isNotNull() & F.col("_kept").isNull())
-        ).drop("_kept")
-    out = None
-    for settled in found:
-        all_ = F.concat(F.when(F.col("lost"), F.array(F.lit(1).cast("bigint"))).otherwise(F.array().cast("array<bigint>")), "numbers")
-        part = settled.select(*name, F.explode(all_).alias("number"))
-        out = part if out is None else out.unionByName(part)
-    return out
+        )
 
 
-def _effective(blocks: Column, lost: Column) -> Column:
-    """The numbers that are taken before the claims get to them.
+def _effective(events: DataFrame) -> DataFrame:
+    """(project, desired, number): the numbers that are taken before the claims get to them.
 
     Of the numbers up to n, as many as are taken are skipped, so claim
-    n - skipped would get n; ``reach`` is n less the claims made before.
+    n - skipped would get n; ``reach`` is n less the claims made before.  The
+    numbers of a name are rows that pass one task in order, which holds none.
     """
-    skipped = F.when(lost, F.lit(1)).otherwise(F.lit(0)).cast("bigint")
-    holds = lambda at, b: at < b["reach"]
-    return running(
-        F.coalesce(blocks, F.array().cast("array<struct<n:bigint,reach:bigint>>")),
-        skipped,
-        lambda at, b: at + F.when(holds(at, b), F.lit(1)).otherwise(F.lit(0)),
-        lambda at, b: F.when(holds(at, b), F.array(b["n"])).otherwise(empty_array("bigint")),
-        "bigint",
-    )
+    name = ["project", "desired"]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, skipped = None, 0
+        for batch in batches:
+            taken = []
+            for project, desired, reach, lost in zip(*(batch.column(c).to_pylist() for c in (*name, "reach", "lost"))):
+                if of != (project, desired):
+                    of, skipped = (project, desired), int(lost)
+                taken.append(skipped < reach)
+                skipped += taken[-1]
+            yield batch.select([*name, "n"]).filter(pa.array(taken, pa.bool_())).rename_columns([*name, "number"])
+
+    fields = [f"{c} {events.schema[c].dataType.simpleString()}" for c in name]
+    return events.repartition(*name).sortWithinPartitions(*name, "n").mapInArrow(fold, ", ".join([*fields, "number bigint"]))
 
 
 def _numbered_claims(rows: DataFrame, taken: DataFrame, order: tuple[str, ...]) -> DataFrame:
     """n-th claim of a name = n-th number that is not taken."""
-    ranked = numbered(rows, ("project", "desired"), order)
+    name = ("project", "desired")
+    ranked = numbered(rows, name, order)
     # The k-th taken number u pushes every claim from the (u - k + 1)-th on by one.
-    # Claims and such pushes are put in one order and the pushes counted in it.
-    nth_taken = numbered(taken, ("project", "desired"), ("number",))
-    pushes = nth_taken.select("project", "desired", (F.col("number") - F.col("nth") + 1).alias("nth"))
-    places = ranked.select("project", "desired", F.col("nth").cast("long").alias("nth"), F.lit(0).alias("push")).unionByName(
-        pushes.select("project", "desired", F.col("nth").cast("long").alias("nth"), F.lit(1).alias("push"))
-    )
-    places = places.withColumn("place", 2 * F.col("nth") - F.col("push"))  # a push comes before its claim
-    counted = carry_forward(places, ("project", "desired"), "place", {}, {"pushed": F.col("push")})
-    numbers = counted.where("push = 0").select("project", "desired", "nth", (F.col("nth") + F.col("pushed")).alias("_n"))
-    joined = ranked.join(numbers, ["project", "desired", "nth"])
-    key = F.when(F.col("_n") == 1, F.col("desired")).otherwise(F.concat_ws("_", "desired", "_n"))
-    return joined.select(*rows.columns, key.alias("env_key"))
+    # Claims and such pushes are put in one order, and a claim's number is its place in it.
+    nth_taken = numbered(taken, name, ("number",))
+    pushes = nth_taken.select(*name, (F.col("number") - F.col("nth") + 1).cast("long").alias("_at"), F.lit(0).alias("_claim"))
+    claims = ranked.select(*rows.columns, F.col("nth").cast("long").alias("_at"), F.lit(1).alias("_claim"))
+    placed = numbered(claims.unionByName(pushes, allowMissingColumns=True), name, ("_at", "_claim")).where("_claim = 1")
+    key = F.when(F.col("nth") == 1, F.col("desired")).otherwise(F.concat_ws("_", "desired", "nth"))
+    return placed.select(*rows.columns, key.alias("env_key"))
 
 
 def fix_plan(

@@ -66,3 +66,23 @@ def test_numbers_of_a_stem_are_looked_up_as_rows(spark, monkeypatch):
     got = fixes.assign_env_keys(spark.createDataFrame(rows, SCHEMA), none).collect()
     assert {(r.project, r.file, r.start): r.env_key for r in got} == in_turn(rows, [("p", "K_5")])
     assert plans and not any("array_contains" in p for p in plans)
+
+
+def test_numbers_a_stem_finds_taken_are_rows_and_settled_in_linear_time(spark):
+    """A stem's numbers were one array, folded in one expression: 24 s for 60,000 numbers."""
+    import time
+
+    n = 60_000
+    events = spark.range(n).select(
+        F.lit("p").alias("project"), F.lit("K").alias("desired"), (F.col("id") + 2).alias("n"),
+        F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id")).alias("reach"), F.lit(True).alias("lost"),
+    ).repartition(5)
+    began = time.time()
+    got = fixes._effective(events).collect()
+    taken, skipped = [], 1
+    for i in range(n):
+        if skipped < (0 if i % 3 == 0 else i):
+            taken.append(i + 2)
+            skipped += 1
+    assert sorted(r.number for r in got) == taken and {(r.project, r.desired) for r in got} == {("p", "K")}
+    assert time.time() - began < 15
