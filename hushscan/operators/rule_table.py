@@ -22,11 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from hushscan.functions import spans as S
-from hushscan.functions.folds import empty_array
-from hushscan.operators.cluster import hold, never_broadcast
+from hushscan.operators.cluster import materialise, never_broadcast
 from hushscan.operators.detect import DEFAULT, explode_findings, scan_texts
 from hushscan.operators.ordered import numbered
-from hushscan.operators.search import candidates, gram_filter, needle_grams, with_grams
+from hushscan.operators.search import digest, text_hits
 from hushscan.options import Options
 
 #: the place of a custom rule among the rules of a text
@@ -123,46 +122,47 @@ def _matches(text: str, rules: Sequence[dict]) -> list[dict]:
     return found
 
 
-def _tried(rows: DataFrame, text: str, rules: str, keep: Sequence[str]) -> DataFrame:
-    """``keep`` and ``_custom``: the matches of each row's own rules in its text."""
+def _tried(rows: DataFrame, text: str, rules: str, by: str, name: str) -> DataFrame:
+    """All columns but ``rules`` and ``by``, and the matches of each row's own rules in its text.
+
+    Neighbours with the same ``by`` are tried once.
+    """
+    kept = [i for i, c in enumerate(rows.columns) if c not in (rules, by)]
+    flat = rows.toDF(*[f"c{i}" for i in range(len(rows.columns))])
+    at, mine, key = (rows.columns.index(c) for c in (text, rules, by))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, spans = None, []
         for batch in batches:
-            found = [_matches(t.as_py(), r.as_py()) for t, r in zip(batch.column(text), batch.column(rules))]
+            found = []
+            for t, r, d in zip(batch.column(at), batch.column(mine), batch.column(key).to_pylist()):
+                if d is None or d != of:
+                    of, spans = d, _matches(t.as_py(), r.as_py()) if r.is_valid else []
+                found.append(spans)
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in keep), pa.array(found, _SPANS)], names=[*keep, "_custom"]
+                [*(batch.column(i) for i in kept), pa.array(found, _SPANS)], names=[*(f"c{i}" for i in kept), "found"]
             )
 
-    fields = [f"{c} {rows.schema[c].dataType.simpleString()}" for c in keep]
-    return rows.mapInArrow(run, ", ".join([*fields, f"_custom array<{S.SPAN}>"]))
+    fields = [f"c{i} {flat.schema[i].dataType.simpleString()}" for i in kept]
+    return flat.mapInArrow(run, ", ".join([*fields, f"found array<{S.SPAN}>"])).toDF(*[rows.columns[i] for i in kept], name)
 
 
 def with_rule_spans(texts: DataFrame, rules: DataFrame, text: str = "text", name: str = "_custom") -> DataFrame:
     """All rows of ``texts`` with the spans of all rules, by the order of ``read_rules``.
 
     ``rules`` is what ``read_rules`` gave.  Copies of a text are tried once.
-    Texts that hold no rule's literal are not shuffled.  Null texts have no spans.
+    Literals and texts meet as digests (``search.text_hits``); then a rule that a
+    text may match moves to the digest of the text, and each text to it, once.
+    Null texts have no spans.
     """
-    good = hold(rules.where("message IS NULL"))
+    good = materialise(rules.where("message IS NULL"))
     entry = F.struct(F.col("rule_index").alias("rule"), "name", "pattern")
-    indexed = good.where("literal IS NOT NULL").select(entry.alias("rule"), "literal", F.sha2("literal", 256).alias("key"))
-    words = indexed.select("key", "literal").distinct()
-    grams = hold(needle_grams(words, "key", "literal"))
-    bitmap, tiers = gram_filter(grams)
-    marked = with_grams(texts, text, bitmap, tiers).withColumn("_digest", F.sha2(F.col(text), 256))
-    touched = hold(marked.where(F.col("_grams").isNotNull()))
-    whole = touched.groupBy("_digest").agg(F.first(text).alias("_text"), F.first("_grams").alias("_grams"))
-    met = candidates(whole.select("_digest", "_grams"), grams, ["_digest"]).join(never_broadcast(indexed), "key")
-    chosen = met.groupBy("_digest").agg(F.array_sort(F.collect_list(F.struct("literal", "rule"))).alias("_met"))
-    held = F.filter("_met", lambda m: F.contains("_text", m["literal"]))
-    tried = whole.select("_digest", "_text").join(never_broadcast(chosen), "_digest").select(
-        "_digest", "_text", F.transform(held, lambda m: m["rule"]).cast(_TRIED).alias("_rules")
-    )
-    found = _tried(tried.where("size(_rules) > 0"), "_text", "_rules", ["_digest"])
-    nothing = empty_array(S.SPAN)
-    own = touched.join(never_broadcast(found), "_digest", "left").select(*texts.columns, F.coalesce("_custom", nothing).alias(name))
-    rest = marked.where(F.col("_grams").isNull()).select(*texts.columns, nothing.alias(name))
-    return _with_unindexed(rest.unionByName(own), good, text, name)
+    indexed = good.where("literal IS NOT NULL").select(F.col("literal").alias("needle"), entry.alias("rule"))
+    told = texts.withColumn("_digest", digest(F.col(text)))
+    hits = text_hits(told.select("_digest", text), indexed, ["_digest"], text)
+    chosen = hits.groupBy("_digest").agg(F.array_sort(F.collect_set("rule")).cast(_TRIED).alias("_rules"))
+    met = told.join(never_broadcast(chosen), "_digest", "left").select(*texts.columns, "_digest", "_rules")
+    return _with_unindexed(_tried(met, text, "_rules", "_digest", name), good, text, name)
 
 
 def _with_unindexed(rows: DataFrame, good: DataFrame, text: str, name: str) -> DataFrame:

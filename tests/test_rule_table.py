@@ -112,3 +112,16 @@ def test_rules_of_one_file_are_read_by_many_tasks(spark, tmp_path):
     assert read.rdd.getNumPartitions() >= 4
     assert "MapInArrow" in (plan := read._jdf.queryExecution().optimizedPlan().toString()) and plan.index("MapInArrow") < plan.index("Repartition")
     assert [r.name for r in read.orderBy("rule_index").collect()] == sorted(f"r{i}" for i in range(300))
+
+
+def test_a_text_is_shuffled_once_to_meet_its_rules(spark):
+    """Texts were held and shuffled three times, and every gram of every literal with a key of 64 characters."""
+    from test_triage import _shuffled
+
+    texts = spark.createDataFrame([(f"s{i}", f"text {i % 50} with id{i % 50} in it") for i in range(100)], "source_id string, text string")
+    rules = spark.range(60).selectExpr("concat('r', id) AS name", r"concat('\\bid', id, '\\b') AS pattern")
+    out = R.with_rule_spans(texts, R.read_rules(rules))
+    moved = [m.replace("`", "") for m in _shuffled(out)]
+    assert sum("text STRING" in m for m in moved) == 1
+    found = {r.source_id: [s.kind for s in r._custom] for r in out.collect()}
+    assert found == {f"s{i}": [f"r{i % 50}"] for i in range(100)}
