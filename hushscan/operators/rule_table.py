@@ -16,7 +16,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
-from re import _constants as C, _parser
+from re import _compiler, _constants as C, _parser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -40,7 +40,10 @@ def required_literal(pattern: str) -> str | None:
     Only what cannot be skipped counts: not the branches of an alternative,
     nothing that may repeat no times, nothing that ignores case.
     """
-    tree = _parser.parse(pattern)
+    return _literal_of(_parser.parse(pattern))
+
+
+def _literal_of(tree: _parser.SubPattern) -> str | None:
     found = [""]
 
     def walk(items, folded: bool) -> None:
@@ -78,8 +81,9 @@ def _read(pattern: str | None, name: str | None) -> tuple[str | None, str | None
     if not pattern:
         return 'missing or invalid "pattern"', None
     try:
-        re.compile(pattern)
-        return None, required_literal(pattern)
+        tree = _parser.parse(pattern)  # once, which is most of the work
+        _compiler.compile(tree)
+        return None, _literal_of(tree)
     except (re.error, RecursionError, OverflowError):
         return "invalid regular expression", None
 
